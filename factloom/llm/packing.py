@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
 def place(lengths, capacity: int):
     """(bin, offset) of each length, in the given order: sum-of-squares with the longest first.
 
-    A length goes where the sum of squared numbers of open bins per residual gap becomes smallest: into an
-    open bin, or a new one.  Equal sums: the smaller gap that remains.
+    A length goes into the open bin for which the sum of squared numbers of open bins per residual gap becomes
+    smallest, and into a new bin if none has room.  Equal sums: the smaller gap that remains.
     """
     import numpy as np
 
@@ -58,13 +58,13 @@ def place(lengths, capacity: int):
         # Moving one bin from gap g to g - size changes the sum by 2 * (count[g - size] - count[g] + 1).
         after = count[: capacity + 1 - size].copy()
         after[0] = 0
-        change = np.where(count[size:] > 0, after - count[size:] + 1.0, np.inf)
-        change[capacity - size] = count[capacity - size] + 0.5 if capacity > size else 0.0
+        change = np.where(count[size:] > 0, after - count[size:], np.inf)
         rest = int(np.argmin(change))
-        gap = rest + size
-        if gap == capacity:
+        if np.isinf(change[rest]):
+            gap, rest = capacity, capacity - size
             bin_no, made = made, made + 1
         else:
+            gap = rest + size
             bin_no = open_bins[gap].pop()
             count[gap] -= 1
         where[i], offset[i] = bin_no, capacity - gap
