@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import langid, oracles, packing, quality, simhash
+from factloom.llm import bpe, langid, oracles, packing, quality, simhash
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
@@ -19,6 +19,10 @@ def op7_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
 
+def op8_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
+
+
 def op9_marginal_unigram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model")
     model = langid.train(docs, vocabulary)
