@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, langid, oracles, packing, quality, simhash
+from factloom.llm import bpe, langid, licenses, oracles, packing, quality, simhash
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
@@ -15,6 +15,10 @@ def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_ordered_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
 
