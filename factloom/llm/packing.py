@@ -33,6 +33,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, id_
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, n, at // 4, len(part) // 4, crc32(part)))
+            if not rows:
+                continue
             yield pa.RecordBatch.from_pydict(
                 dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows, strict=True), strict=True)),
                 schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]),
