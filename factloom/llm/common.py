@@ -36,6 +36,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each evaluated once per row whatever later steps do with them.
+
+    Filters and projections are not merged through a generator, as they are through a projection.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _forest(batches):
     """A spanning forest of one task's edges: every node points at the smallest node it reaches."""
     import pyarrow as pa

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import checkpoint, let
+from factloom.llm.common import checkpoint, let, once
 
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
@@ -62,17 +62,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null text has no words; shares of nothing are zero.  Columns of ``docs`` with these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Apart from the next select, so that the words are made once for each row.
-    split = docs.withColumns({"_text": text, "_words": F.array_remove(F.split(text, f"{SPACE}+"), "")})
+    split = once(docs, {"_text": text, "_words": F.array_remove(F.split(text, f"{SPACE}+"), "")})
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = split.withColumns(
+    counted = once(
+        split,
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.translate("_text", " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
             "_lines": let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("different"))),
             "n_repeat_words": _repeated_words(F.col("_words")),
-        }
+        },
     )
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     mean = share(F.col("word_chars"), F.col("n_words"))
@@ -157,20 +157,38 @@ def select_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "g
     return tested.groupBy(stratum).agg(*[F.min(F.when((F.col("measure") == m) & (F.col("passes") == 1), F.col("cutoff"))).alias(f"cut_{m}") for m in names])
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """``measure(docs)`` with ``kept``: not base_failed, and below every cutoff of its stratum.
+def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """``select_cutoffs`` for the rows of ``measured`` that ``labels`` knows.
 
-    Strata are the values of ``stratum_col``, null being one of them; a stratum without labelled rows, or
-    with too few for any cutoff to pass, rejects nothing.  Of a label's repeated rows the smallest value counts;
-    null labels and ids don't.  Repeated documents stay.  Empty tables give an empty result or no cutoffs.
+    Of a label's repeated rows the smallest value counts; null labels and ids don't.
     """
-    extra = [c for c in docs.columns if c in ("stratum", "good", "kept") or c.startswith("cut_")]
-    measured = checkpoint(measure(docs.drop(*extra), text_col).withColumn("stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))).drop(text_col))
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg((F.min(label) == 1).alias("good"))
-    holdout = measured.join(known, measured[id_col] == known["_id"])
-    cuts = checkpoint(select_cutoffs(holdout.select("stratum", "good", *CUTOFFS)))
+    rows = measured.select(F.col(id_col).alias("_id"), _stratum(stratum_col), *CUTOFFS)
+    return checkpoint(select_cutoffs(rows.join(known, "_id").drop("_id")))
+
+
+def _stratum(stratum_col: str) -> Column:
+    return F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")
+
+
+def verdicts(measured: DataFrame, cuts: DataFrame, stratum_col: str = "lang") -> DataFrame:
+    """``measured`` with ``kept``: not base_failed, and below every cutoff of its stratum."""
+    cuts = cuts.withColumnRenamed("stratum", "_stratum")
     small = cuts.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     rejected = F.lit(False)
     for m in CUTOFFS:
         rejected = rejected | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    return measured.join(F.broadcast(cuts) if small else cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    rows = measured.withColumn("_own", _stratum(stratum_col))
+    joined = rows.join(F.broadcast(cuts) if small else cuts, F.col("_own") == F.col("_stratum"), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_own", "_stratum", *[f"cut_{m}" for m in CUTOFFS])
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The measures of ``docs`` and ``kept``, without the text.
+
+    Strata are the values of ``stratum_col``, null being one of them; a stratum without labelled rows, or
+    with too few for any cutoff to pass, rejects nothing.  Repeated documents stay.  Empty tables give an
+    empty result or no cutoffs.
+    """
+    measured = checkpoint(measure(docs.select(id_col, text_col, stratum_col), text_col).drop(text_col))
+    return verdicts(measured, cutoffs(measured, labels, id_col, stratum_col), stratum_col)
