@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from factloom.llm import urlfilter
 from factloom.llm.quality import CUTOFFS, DELTA, RISK
 
 
@@ -41,3 +42,26 @@ c AS (SELECT stratum, {cuts} FROM s WHERE passes GROUP BY stratum)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({above}) AS kept
 FROM m LEFT JOIN c USING (stratum)
 """
+
+
+def url_filter(rules: list[tuple[str, str]]) -> str:
+    u = urlfilter
+    fits = " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{rule}|{action}'"
+        for rule, host, path, action in sorted((u.parse_rule(a, r) for a, r in rules), key=lambda r: (-len(r[0]), -len(r[1]), r[3]))
+    )
+    return f"""
+WITH RECURSIVE tags AS (SELECT url AS u, unnest(regexp_extract_all(html, '{u.TAGS}', 0)) AS tag FROM pages WHERE contains(url, '://')),
+named AS (SELECT u, {u.target_sql("tag", "regexp_matches")} AS t FROM tags),
+full_ AS (SELECT u, {u.resolve_sql("t", "u")} AS t FROM named WHERE t IS NOT NULL),
+edges AS (SELECT {u.node_sql("u", ", 'g'")} AS a, {u.node_sql("t", ", 'g'")} AS b FROM full_),
+both_ AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reach AS (SELECT DISTINCT a, a AS b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+node AS (SELECT a, regexp_extract(b, '^([^/?#]*)', 1) AS host, regexp_extract(b, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+group_ AS (SELECT a, bool_or(f LIKE '%|allow') AS allowed, bool_or(f LIKE '%|block') AS blocked FROM (SELECT a, CASE {fits} END AS f FROM node) GROUP BY a),
+page AS (SELECT page_id, {u.host_sql("url")} AS host, {u.path_sql("url")} AS path, CASE WHEN contains(url, '://') THEN {u.node_sql("url", ", 'g'")} END AS a FROM pages),
+ruled AS (SELECT *, CASE {fits} END AS f FROM page)
+SELECT page_id, host, path, nullif(split_part(f, '|', 1), '') AS rule,
+       COALESCE(nullif(split_part(f, '|', 2), ''), CASE WHEN blocked AND NOT COALESCE(allowed, FALSE) THEN 'block' END, 'allow') AS verdict
+FROM ruled LEFT JOIN group_ USING (a)
+"""

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, langid, licenses, oracles, packing, quality, simhash
+from factloom.llm import bpe, langid, licenses, oracles, packing, quality, simhash, urlfilter
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -42,4 +49,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_risk_controlled_rules": oracles.quality_rules()}
+    return {"op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
