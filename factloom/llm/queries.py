@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, langid, licenses, oracles, packing, quality, simhash, urlfilter
+from factloom.llm import bpe, langid, licenses, neardup, oracles, packing, quality, simhash, urlfilter
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
