@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import urlfilter
+from factloom.llm import ngrams, urlfilter
 from factloom.llm.quality import CUTOFFS, DELTA, RISK
 
 
@@ -65,3 +65,20 @@ SELECT page_id, host, path, nullif(split_part(f, '|', 1), '') AS rule,
        COALESCE(nullif(split_part(f, '|', 2), ''), CASE WHEN blocked AND NOT COALESCE(allowed, FALSE) THEN 'block' END, 'allow') AS verdict
 FROM ruled LEFT JOIN group_ USING (a)
 """
+
+
+def stupid_backoff() -> str:
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+e AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS u FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+c1 AS (SELECT w, count(*) AS n FROM e GROUP BY w),
+c2 AS (SELECT u, w, count(*) AS n FROM e WHERE u IS NOT NULL GROUP BY u, w),
+s AS (SELECT e.r, CASE WHEN e.u IS NULL THEN ln(cw.n / (SELECT count(*) FROM e))
+                       WHEN c2.n >= {ngrams.LEAST_COUNT} THEN ln(c2.n) - ln(cu.n)
+                       ELSE ln({ngrams.BACKOFF}) + ln(cw.n / (SELECT count(*) FROM e)) END AS x
+      FROM e JOIN c1 AS cw ON cw.w = e.w LEFT JOIN c2 ON c2.u = e.u AND c2.w = e.w LEFT JOIN c1 AS cu ON cu.w = e.u),
+d AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(COALESCE(x, 0), 3) AS log_score, round(x / len(ws), 6) AS score
+FROM t LEFT JOIN d USING (r)
+"""

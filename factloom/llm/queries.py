@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, langid, licenses, neardup, oracles, packing, quality, simhash, urlfilter
+from factloom.llm import bpe, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
@@ -20,6 +21,11 @@ def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("score", 6).alias("score"))
+
+
 def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -53,4 +59,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
+    return {"op3_stupid_backoff": oracles.stupid_backoff(), "op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
