@@ -82,3 +82,19 @@ d AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(COALESCE(x, 0), 3) AS log_score, round(x / len(ws), 6) AS score
 FROM t LEFT JOIN d USING (r)
 """
+
+
+def revisits() -> str:
+    return f"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {urlfilter.node_sql("url", ", 'g'")} END AS url_key, md5(html) AS tag FROM pages),
+v AS (SELECT 2 * page_id + 1 AS record_id, url_key, 10 * page_id + 5 AS date, page_id,
+             CASE WHEN page_id % 7 = 0 THEN 'other' ELSE 'W/' || tag END AS etag FROM p),
+m AS (SELECT v.record_id, arg_max(struct_pack(id := 2 * p.page_id, tag := p.tag), struct_pack(d := 10 * p.page_id, i := 2 * p.page_id)) AS r
+      FROM v JOIN p ON p.url_key = v.url_key AND 10 * p.page_id < v.date GROUP BY v.record_id),
+o AS (SELECT v.*, r, CASE WHEN r IS NULL THEN 'no_response' WHEN etag IS NULL OR r.tag IS NULL THEN 'unvalidated'
+                          WHEN replace(etag, 'W/', '') <> r.tag THEN 'mismatch' ELSE 'resolved' END AS outcome FROM v LEFT JOIN m USING (record_id))
+SELECT record_id, url_key, date, CASE WHEN outcome = 'resolved' THEN r.id END AS resolved_id, outcome,
+       'cache-control=max-age=' || page_id % 100 || ';content-type=' || CASE WHEN outcome = 'resolved' THEN 'text/html' ELSE 'text/plain' END
+       || ';date=' || date || ';etag=' || COALESCE(etag, '') AS headers
+FROM o
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter
+from factloom.llm import bpe, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter, warc
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
@@ -32,6 +32,28 @@ def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page gives a full response and, half a step later, a not-modified revisit; every seventh has another tag."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("url").contains("://"), F.expr(urlfilter.node_sql("url"))).alias("url_key"), F.md5("html").alias("tag"))
+    text = lambda c: c.cast("string")
+    response = pages.select(
+        (2 * F.col("page_id")).alias("record_id"), "url_key", (10 * F.col("page_id")).alias("date"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
+        F.create_map(F.lit("ETag"), F.col("tag"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), text(10 * F.col("page_id"))).alias("headers"),
+        F.col("tag").alias("digest"),
+    )
+    revisit = pages.select(
+        (2 * F.col("page_id") + 1).alias("record_id"), "url_key", (10 * F.col("page_id") + 5).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        F.create_map(
+            F.lit("etag"), F.when(F.col("page_id") % 7 == 0, F.lit("other")).otherwise(F.concat(F.lit("W/"), "tag")), F.lit("content-type"), F.lit("text/plain"),
+            F.lit("cache-control"), F.concat(F.lit("max-age="), text(F.col("page_id") % 100)), F.lit("date"), text(10 * F.col("page_id") + 5),
+        ).alias("headers"),
+        F.lit(None).cast("string").alias("digest"),
+    )
+    found = warc.resolve(response.unionByName(revisit))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))), ";")
+    return found.select("record_id", "url_key", "date", "resolved_id", "outcome", shown.alias("headers"))
+
+
 def op6_ordered_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -59,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_stupid_backoff": oracles.stupid_backoff(), "op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
+    return {"op5_revisit_resolution": oracles.revisits(), "op3_stupid_backoff": oracles.stupid_backoff(), "op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
