@@ -19,18 +19,36 @@ STRETCH = 32
 #: Longest piece looked up, in characters.
 LONGEST = 16
 #: Words a worker remembers or counts before it starts anew; this changes time, not results.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 500_000
 #: Expected counts are added as integers of this unit, so that sums don't depend on their order.
 UNIT = 1 << 20
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
 
-def stretches(word: bytes) -> list[str]:
-    """The lower-cased letter runs of a word, each begun by the mark of a word's start, in stretches."""
-    runs = re.findall(r"[^\W\d_]+", word.decode("utf-8", "replace").lower())
-    marked = ["▁" + "".join(filter(str.isalpha, r)) for r in runs if any(map(str.isalpha, r))]
-    return [r[i : i + STRETCH] for r in marked for i in range(0, len(r), STRETCH)]
+RUNS = re.compile(r"[^\W\d_]+")
+
+
+def runs(text: str | None) -> list[str]:
+    """The letter runs of a text, lower-cased; marks and numbers that count as letters are left out later."""
+    return RUNS.findall((text or "").lower())
+
+
+def stretches(run: str) -> list[str]:
+    """A run with the mark of a word's start, in stretches; none if it has no letter."""
+    letters = run if run.isalpha() else "".join(filter(str.isalpha, run))
+    marked = "▁" + letters if letters else ""
+    return [marked[i : i + STRETCH] for i in range(0, len(marked), STRETCH)]
+
+
+def all_stretches(words) -> tuple[list[str], list[int]]:
+    """The stretches of all words, and the place of each one's word."""
+    texts, owner = [], []
+    for i, w in enumerate(words):
+        for t in stretches(w):
+            texts.append(t)
+            owner.append(i)
+    return texts, owner
 
 
 class Pieces:
@@ -111,13 +129,13 @@ def by_length(texts: list[str]) -> dict[int, list[int]]:
     return groups
 
 
-def expected_counts(vocabulary: Pieces, texts: list[str], counts):
-    """Expected uses of each piece, by column of ``counts`` (texts x languages), from equal probabilities."""
+def expected_counts(vocabulary: Pieces, texts: list[str], times):
+    """Expected uses of each piece by ``texts``, each ``times`` over, from equal probabilities."""
     import numpy as np
 
     equal = np.full((vocabulary.size + 2, 1), 1 / (vocabulary.size + 1))
     equal[vocabulary.nothing] = 0
-    out = np.zeros((vocabulary.size + 2, counts.shape[1]))
+    out = np.zeros(vocabulary.size + 2)
     for length, at in by_length(texts).items():
         found = vocabulary.found([texts[i] for i in at])
         ahead = forward(found, equal)[:, :, 0]
@@ -126,12 +144,11 @@ def expected_counts(vocabulary: Pieces, texts: list[str], counts):
         for start in range(length - 1, -1, -1):
             for size in range(1, min(length - start, len(found)) + 1):
                 behind[:, start] += behind[:, start + size] * equal[found[size - 1][:, start], 0]
-        weight = counts[at] / ahead[:, length, None]
+        weight = times[at] / ahead[:, length]
         for size, ids in enumerate(found, 1):
             uses = ahead[:, : length - size + 1] * behind[:, size:] * equal[ids, 0]
             row, start = np.nonzero(uses)
-            for k in range(counts.shape[1]):
-                out[:, k] += np.bincount(ids[row, start], uses[row, start] * weight[row, k], minlength=len(out))
+            out += np.bincount(ids[row, start], uses[row, start] * weight[row], minlength=len(out))
     return out
 
 
@@ -147,24 +164,19 @@ def piece_counts(rows: DataFrame, vocabulary: str) -> DataFrame:
         have, seen = pieces(vocabulary), {}
 
         def flush():
-            names, words = list(seen), sorted(set().union(*seen.values()))
-            texts, owner = [], []
-            for i, w in enumerate(words):
-                for t in stretches(w):
-                    texts.append(t)
-                    owner.append(i)
-            counts = np.array([[seen[k][w] for k in names] for w in words], dtype=float)[owner]
+            for lang, counter in seen.items():
+                words = list(counter)
+                texts, owner = all_stretches(words)
+                if texts:
+                    times = np.array([counter[w] for w in words], dtype=float)[owner]
+                    total = np.rint(expected_counts(have, texts, times) * UNIT).astype(np.int64)
+                    at = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), type=pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "piece", "n"])
             seen.clear()
-            if texts:
-                total = np.rint(expected_counts(have, texts, counts) * UNIT).astype(np.int64)
-                at, k = np.nonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in k], type=pa.string()), pa.array(at), pa.array(total[at, k])], names=["lang", "piece", "n"]
-                )
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(text.encode("utf-8", "replace").lower().split())
+                seen.setdefault(lang, Counter()).update(runs(text))
             if sum(map(len, seen.values())) > MEMORY_WORDS:
                 yield from flush()
         if seen:
@@ -220,30 +232,18 @@ def identify(docs: DataFrame, model, vocabulary: str, id_col: str = "doc_id", te
         values = np.zeros((0, len(langs) + 1))
 
         def learn(words):
+            """Each language's logarithm of the words' probability, and how many stretches they have."""
             nonlocal values
-            if len(known) + len(words) > MEMORY_WORDS:
-                known.clear()
-                values = values[:0]
-            new = [w for w in words if w not in known]
-            texts, owner = [], []
-            for i, w in enumerate(new):
-                for t in stretches(w):
-                    texts.append(t)
-                    owner.append(i)
-            rows = np.zeros((len(new), len(langs) + 1))
+            texts, owner = all_stretches(words)
+            rows = np.zeros((len(words), len(langs) + 1))
             owner = np.array(owner, dtype=np.int64)
             for length, at in by_length(texts).items():
                 whole = np.log(forward(have.found([texts[i] for i in at]), weights)[:, length])
                 np.add.at(rows, owner[at], np.c_[whole, np.ones(len(at))])
-            known.update(zip(new, range(len(values), len(values) + len(new)), strict=True))
+            known.update(zip(words, range(len(values), len(values) + len(words)), strict=True))
             values = np.concatenate([values, rows])
 
-        def score(text):
-            words = (text or "").encode("utf-8", "replace").lower().split()
-            at = list(map(known.get, words))
-            if None in at:
-                learn(list(dict.fromkeys(words)))
-                at = [known[w] for w in words]
+        def score(at):
             total = values[at].sum(axis=0) if at else np.zeros(len(langs) + 1)
             if not langs or not total[-1]:
                 return UNDETERMINED, 0.0
@@ -251,17 +251,13 @@ def identify(docs: DataFrame, model, vocabulary: str, id_col: str = "doc_id", te
             return langs[best], float(1 / np.exp(total[:-1] - total[best]).sum())
 
         for batch in batches:
-            # The words of a batch are learned together: that is far quicker than text by text.
-            texts = batch.column(place).to_pylist()
-            fresh: dict = {}
-            for t in texts:
-                if t:
-                    fresh.update((w, None) for w in set(t.encode("utf-8", "replace").lower().split()) if w not in known)
-                if len(fresh) > MEMORY_WORDS // 2:
-                    break
-            if fresh:
-                learn(list(fresh))
-            judged = [score(t) for t in texts]
+            # The new words of a batch are learned together, which is far quicker than text by text.
+            split = [runs(t) for t in batch.column(place).to_pylist()]
+            if len(known) > MEMORY_WORDS:
+                known, values = {}, values[:0]
+            if fresh := {w for words in split for w in words if w not in known}:
+                learn(sorted(fresh))
+            judged = [score([known[w] for w in words]) for words in split]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], batch.column(len(kept)), pa.array([x for x, _ in judged], type=pa.string()), pa.array([s for _, s in judged], type=pa.float64())],
                 names=[*kept, "held_out", "lang_pred", "score"],

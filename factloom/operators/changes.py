@@ -34,6 +34,6 @@ def change_set(previous: DataFrame, following: DataFrame, key: str, compared: li
 def affected_views(changed: DataFrame, kind: str, entities: str) -> DataFrame:
     """(view) of changed facts: their section, each entity's page, and the manifest if anything changed."""
     sections = changed.select(F.concat(F.lit("section:"), section_of(F.col(kind))).alias("view"))
-    pages = changed.select(F.concat(F.lit("entity:"), F.explode(entities)).alias("view"))
+    pages = changed.select(F.explode(entities).alias("entity")).select(F.concat(F.lit("entity:"), "entity").alias("view"))
     manifest = changed.select(F.lit("manifest").alias("view"))
     return sections.unionByName(pages).unionByName(manifest).distinct()
