@@ -9,7 +9,7 @@ nodes with all others; if it finds a link that the graph lacks, more signatures
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import checkpoint, components
@@ -21,32 +21,57 @@ AUDIT, BATCHES = 256, 6
 LINKS = "id long, other array<long>"
 
 
-def _scaled(vector_col: str) -> Column:
-    """The vector over its largest entry, so that squares neither overflow nor vanish; null if that is zero."""
-    v = F.col(vector_col).cast("array<double>")
-    top = F.array_max(F.transform(v, F.abs))
-    return F.when(top > 0, F.transform(v, lambda x: x / F.nullif(top, F.lit(0.0)) + 0.0))
+def packed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(id, label, key, vec) of every row: the vector's numbers as bytes, and a 128-bit digest of these.
+
+    Both are null for a vector that links with nothing: null, empty, zero, or with a null or non-finite entry.
+    Bytes, unlike lists, pass through shuffles and aggregates without being taken apart.
+    """
+    kind = number_kind(vectors, vector_col)
+    spark_kind = "float" if kind == "<f4" else "double"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            size = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(b.column(2).flatten(), float("nan")).to_numpy(zero_copy_only=False)
+            flat = flat.astype(kind) + np.zeros(1, dtype=kind)  # so that -0.0 is written as 0.0
+            end = np.cumsum(size)
+            count = lambda x: np.r_[0, np.cumsum(x)][end] - np.r_[0, np.cumsum(x)][end - size]
+            good = ((count(~np.isfinite(flat)) == 0) & (count(flat != 0) > 0)).tolist()
+            raw, width = flat.tobytes(), flat.itemsize
+            vec = [raw[(e - n) * width : e * width] if g else None for e, n, g in zip(end.tolist(), size.tolist(), good, strict=True)]
+            key = [None if v is None else xxh3_128_digest(v) for v in vec]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, type=pa.binary()), pa.array(vec, type=pa.binary())], names=["id", "label", "key", "vec"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{spark_kind}>").alias("v"))
+    return rows.mapInArrow(run, f"id long, label {rows.schema['label'].dataType.simpleString()}, key binary, vec binary")
+
+
+def number_kind(vectors: DataFrame, vector_col: str) -> str:
+    """How a vector's numbers are written: as they are, so that cosines in double precision see their exact values."""
+    return "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, vec, copies): one row per label and value, under its smallest id, as unit vectors.
+def nodes(rows: DataFrame) -> DataFrame:
+    """(id, label, key, vec, copies): one row per label and value of ``packed`` rows, under its smallest id.
 
-    Without rows whose label or id is null, or whose vector is null, empty, zero or not finite throughout.
+    Without rows whose label or id is null, or whose vector links with nothing.
     """
-    v = F.col(vector_col).cast("array<double>")
-    good = F.size(v) > 0
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vector_col).isNotNull()).where(good & fine)
-    scaled = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), _scaled(vector_col).alias("vec"))
-    return scaled.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "label", "vec", "copies")
+    good = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull())
+    return good.groupBy("label", "key", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "label", "key", "vec", "copies")
 
 
-def _unit(column):
-    """A matrix of unit rows from a list column, or None if the lengths differ."""
+def _unit(column, kind: str):
+    """A matrix of unit rows from equally long vectors; scaled first, so that squares neither overflow nor vanish."""
     import numpy as np
 
-    lengths = np.diff(column.offsets.to_numpy())
-    matrix = column.flatten().to_numpy().reshape(len(lengths), -1)
+    matrix = np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1).astype(float)
+    matrix /= np.abs(matrix).max(axis=1, keepdims=True)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
@@ -56,7 +81,7 @@ def _by_width(table):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    widths = pc.list_value_length(table.column("vec")).to_numpy()
+    widths = pc.binary_length(table.column("vec")).to_numpy()
     for width in np.unique(widths):
         yield table.filter(pa.array(widths == width)).combine_chunks()
 
@@ -91,7 +116,7 @@ def _lists(ids, hits):
     yield pa.RecordBatch.from_arrays([pa.array(a[first]), other], names=["id", "other"])
 
 
-def seeds(all_nodes: DataFrame, least: float, bits: int, batch: int) -> DataFrame:
+def seeds(all_nodes: DataFrame, kind: str, least: float, bits: int, batch: int) -> DataFrame:
     """Links (id, other) among nodes next to each other in the order of a signature, for SIGNATURES signatures."""
 
     def sign(batches):
@@ -104,15 +129,15 @@ def seeds(all_nodes: DataFrame, least: float, bits: int, batch: int) -> DataFram
                 column = part.column("vec").chunk(0) if part.num_rows else None
                 if column is None:
                     continue
-                unit = _unit(column)
+                unit = _unit(column, kind)
                 for n in range(SIGNATURES):
                     planes = np.random.default_rng([batch, n, unit.shape[1]]).normal(size=(unit.shape[1], bits + 1))
                     side = unit @ planes
                     signature = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                     yield from part.select(["id", "label", "vec"]).append_column("table", pa.array(np.full(part.num_rows, n, dtype=np.int32))).append_column("signature", pa.array(signature)).append_column("along", pa.array(side[:, bits])).to_batches()
 
-    kind = all_nodes.schema["label"].dataType.simpleString()
-    signed = all_nodes.select("id", "label", "vec").mapInArrow(sign, f"id long, label {kind}, vec array<double>, table int, signature long, along double")
+    label_kind = all_nodes.schema["label"].dataType.simpleString()
+    signed = all_nodes.select("id", "label", "vec").mapInArrow(sign, f"id long, label {label_kind}, vec binary, table int, signature long, along double")
     # The order, not the bucket, is dealt out, so that one large bucket still spreads over tasks.
     ordered = signed.repartitionByRange("table", "label", "signature", "along").sortWithinPartitions("table", "label", "signature", "along", "id")
 
@@ -127,7 +152,7 @@ def seeds(all_nodes: DataFrame, least: float, bits: int, batch: int) -> DataFram
             label = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
             where = np.arange(t.num_rows)
             for part in _by_width(t.append_column("where", pa.array(where))):
-                at, unit, ids = part.column("where").to_numpy(), _unit(part.column("vec").chunk(0)), part.column("id").to_numpy()
+                at, unit, ids = part.column("where").to_numpy(), _unit(part.column("vec").chunk(0), kind), part.column("id").to_numpy()
                 key, table = label[at], part.column("table").to_numpy()
                 signature = part.column("signature").to_numpy()
                 hits = []
@@ -148,7 +173,7 @@ def merge(*links: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("other")))).alias("other"))
 
 
-def refine(all_nodes: DataFrame, graph: DataFrame, least: float) -> DataFrame:
+def refine(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> DataFrame:
     """Links found by comparing each node with the neighbours of its neighbours, in cells.
 
     A node's cells are the hubs of itself and of its neighbours; a node's hub is the smallest node within two
@@ -175,7 +200,7 @@ def refine(all_nodes: DataFrame, graph: DataFrame, least: float) -> DataFrame:
 
         def group(t):
             for part in _by_width(t):
-                unit, ids, block = _unit(part.column("vec").chunk(0)), part.column("id").to_numpy(), part.column("block").to_numpy()
+                unit, ids, block = _unit(part.column("vec").chunk(0), kind), part.column("id").to_numpy(), part.column("block").to_numpy()
                 a, b = part.column("a")[0].as_py(), part.column("b")[0].as_py()
                 left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
                 x, y = np.nonzero(_close(unit[left], unit[right], least))
@@ -199,13 +224,13 @@ def refine(all_nodes: DataFrame, graph: DataFrame, least: float) -> DataFrame:
     return dealt.select("id", "hub", "a", "b", "block", "vec").mapInArrow(compare, LINKS)
 
 
-def audit(all_nodes: DataFrame, graph: DataFrame, least: float) -> tuple[int, int]:
+def audit(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> tuple[int, int]:
     """(links of the audited nodes, those of them in ``graph``): AUDIT nodes against every node, in a scan."""
     import numpy as np
 
     chosen = all_nodes.orderBy(F.xxhash64("id")).limit(AUDIT)
     linked = all_nodes.join(graph.select("id"), "id", "left_semi").orderBy(F.xxhash64("id")).limit(AUDIT)
-    asked = {r["id"]: (r["label"], np.array(r["vec"])) for r in chosen.unionByName(linked).collect()}
+    asked = {r["id"]: (r["label"], bytes(r["vec"])) for r in chosen.unionByName(linked).collect()}
     shared = all_nodes.sparkSession.sparkContext.broadcast(asked)
 
     def scan(batches):
@@ -214,15 +239,15 @@ def audit(all_nodes: DataFrame, graph: DataFrame, least: float) -> tuple[int, in
         for batch in batches:
             for part in _by_width(pa.Table.from_batches([batch])):
                 column = part.column("vec").chunk(0)
-                unit, ids, label = _unit(column), part.column("id").to_numpy(), part.column("label").to_pylist()
+                unit, ids, label = _unit(column, kind), part.column("id").to_numpy(), part.column("label").to_pylist()
                 same: dict = {}
                 for i, x in enumerate(label):
                     same.setdefault(x, []).append(i)
                 hits = []
                 for key, (own, vec) in shared.value.items():
-                    if len(vec) == unit.shape[1] and own in same:
+                    if len(vec) == unit.shape[1] * np.dtype(kind).itemsize and own in same:
                         at = np.array(same[own])
-                        for i in at[unit[at] @ (vec / np.linalg.norm(vec)) >= least]:
+                        for i in at[_close(unit[at], _unit(pa.array([vec]), kind), least)[:, 0]]:
                             if ids[i] != key:
                                 hits.append((key, int(ids[i])))
                 if hits:
@@ -234,21 +259,21 @@ def audit(all_nodes: DataFrame, graph: DataFrame, least: float) -> tuple[int, in
     return total[0], total[1]
 
 
-def link_graph(all_nodes: DataFrame, least: float) -> DataFrame:
+def link_graph(all_nodes: DataFrame, kind: str, least: float) -> DataFrame:
     """(id, other): all links of each node that has one."""
     per_label = all_nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits = max(4, min(60, (per_label // NEXT).bit_length()))
     graph = None
     for batch in range(BATCHES):
-        found = seeds(all_nodes, least, bits, batch)
+        found = seeds(all_nodes, kind, least, bits, batch)
         graph = checkpoint(merge(found) if graph is None else merge(graph, found))
         total = graph.agg(F.sum(F.size("other"))).first()[0] or 0
         while total:
-            graph = checkpoint(merge(graph, refine(all_nodes, graph, least)))
+            graph = checkpoint(merge(graph, refine(all_nodes, kind, graph, least)))
             before, total = total, graph.agg(F.sum(F.size("other"))).first()[0]
             if total == before:
                 break
-        true, known = audit(all_nodes, graph, least)
+        true, known = audit(all_nodes, kind, graph, least)
         if known == true:
             break
     return graph
@@ -262,8 +287,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     with nothing: n_links 0, component_id their own id, kept true (null for a null id).  Equal rows link like any
     others; of rows that share an id none is told apart.  An empty table gives an empty result.
     """
-    all_nodes = checkpoint(nodes(vectors, id_col, vector_col, label_col))
-    graph = link_graph(all_nodes, least)
+    rows, kind = packed(vectors, id_col, vector_col, label_col), number_kind(vectors, vector_col)
+    all_nodes = checkpoint(nodes(rows))
+    graph = link_graph(all_nodes, kind, least)
     copies = all_nodes.select(F.col("id").alias("other"), F.col("copies"))
     many = copies.where("copies > 1")
     # Links count copies: one for each node, and those beyond one for nodes that have copies.
@@ -275,13 +301,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         .join(beyond, "id", "left")
         .join(groups, "id", "left")
         .select(
-            "label", "vec",
+            "label", "key",
             (F.col("copies") - 1 + F.coalesce("others", F.lit(0)) + F.coalesce("beyond", F.lit(0))).cast("long").alias("n_links"),
             F.coalesce("component", "id").alias("component_id"),
         )
     )
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), _scaled(vector_col).alias("vec"))
-    joined = rows.join(counted, ["label", "vec"], "left").select(
+    joined = rows.select(F.col("id").alias("vec_id"), "label", "key").join(counted, ["label", "key"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return joined.withColumn("kept", F.col("vec_id") == F.col("component_id"))
