@@ -173,18 +173,33 @@ def merge(*links: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("other")))).alias("other"))
 
 
+def twins(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, twin, low) of each node, and (twin, other) of each group with one and the same closed neighbourhood.
+
+    twin: the group's smallest id; low: the neighbourhood's.  Only one list of a group is ever taken apart, so that a
+    cluster whose members all link gives rows in proportion to its members.
+    """
+    closed = graph.select("id", F.array_sort(F.array_append("other", F.col("id"))).alias("c"))
+    keyed = closed.select("id", F.get("c", F.lit(0)).alias("low"), F.size("c").alias("n"), F.xxhash64("c").alias("h"))
+    first = keyed.groupBy("low", "n", "h").agg(F.min("id").alias("twin"))
+    members = checkpoint(keyed.join(first, ["low", "n", "h"]).select("id", "twin", "low"))
+    lists = graph.join(members.where("id = twin").select("id"), "id", "left_semi").withColumnRenamed("id", "twin")
+    return members, lists
+
+
 def refine(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> DataFrame:
     """Links found by comparing each node with the neighbours of its neighbours, in cells.
 
     A node's cells are the hubs of itself and of its neighbours; a node's hub is the smallest node within two
     steps.  A cell's members stand in blocks of BLOCK; each pair of blocks is compared in some task.
     """
-    one = graph.select("id", F.least("id", F.array_min("other")).alias("low"))
-    steps = graph.select("id", F.explode("other").alias("other"))
-    two = steps.join(one.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("low").alias("far"))
-    hubs = checkpoint(one.join(two, "id").select("id", F.least("low", "far").alias("hub")))
-    near = steps.join(hubs.withColumnRenamed("id", "other"), "other").select("id", "hub").distinct()
-    cells = checkpoint(near.unionByName(hubs.select("id", "hub")).distinct())
+    members, lists = twins(graph)
+    steps = lists.select("twin", F.explode("other").alias("id"))
+    far = steps.join(members.select("id", "low"), "id").groupBy("twin").agg(F.min("low").alias("far"))
+    hubs = checkpoint(members.join(far, "twin").select("id", "twin", F.least("low", "far").alias("hub")))
+    near = steps.join(hubs.select("id", "hub"), "id").select("twin", "hub").distinct()
+    every = near.join(hubs.select("id", "twin"), "twin").select("id", "hub").unionByName(hubs.select("id", "hub"))
+    cells = checkpoint(every.distinct())
     size = cells.groupBy("hub").agg(F.count("*").alias("size")).where("size > 2").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     # A member's block is drawn by its hash; each block meets every block from itself on.
     drawn = cells.join(size, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -290,21 +305,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     rows, kind = packed(vectors, id_col, vector_col, label_col), number_kind(vectors, vector_col)
     all_nodes = checkpoint(nodes(rows))
     graph = link_graph(all_nodes, kind, least)
-    copies = all_nodes.select(F.col("id").alias("other"), F.col("copies"))
-    many = copies.where("copies > 1")
-    # Links count copies: one for each node, and those beyond one for nodes that have copies.
-    beyond = graph.select("id", F.explode("other").alias("other")).join(many, "other").groupBy("id").agg(F.sum(F.col("copies") - 1).alias("beyond"))
-    edges = graph.select(F.col("id").alias("a"), F.explode("other").alias("b")).where("a > b")
-    groups = components(edges).withColumnRenamed("node", "id")
+    members, lists = twins(graph)
+    steps = checkpoint(lists.select("twin", F.explode("other").alias("id")))
+    # Links count copies: one for each linked node, and those beyond one of every node of the closed neighbourhood.
+    many = all_nodes.where("copies > 1").select("id", "copies")
+    around = steps.unionByName(lists.select("twin", F.col("twin").alias("id")))
+    beyond = around.join(many, "id").groupBy("twin").agg(F.sum(F.col("copies") - 1).alias("beyond"))
+    edges = steps.unionByName(members.where("id <> twin").select("twin", "id"))
+    groups = components(edges, "twin", "id").withColumnRenamed("node", "id")
+    linked = graph.select("id", F.size("other").alias("others")).join(members.select("id", "twin"), "id").join(beyond, "twin", "left")
     counted = (
-        all_nodes.join(graph.select("id", F.size("other").alias("others")), "id", "left")
-        .join(beyond, "id", "left")
+        all_nodes.join(linked.select("id", (F.col("others") + F.coalesce("beyond", F.lit(0))).alias("links")), "id", "left")
         .join(groups, "id", "left")
-        .select(
-            "label", "key",
-            (F.col("copies") - 1 + F.coalesce("others", F.lit(0)) + F.coalesce("beyond", F.lit(0))).cast("long").alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
+        .select("label", "key", F.coalesce("links", F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
     joined = rows.select(F.col("id").alias("vec_id"), "label", "key").join(counted, ["label", "key"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
