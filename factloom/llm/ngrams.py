@@ -3,11 +3,11 @@
 Three scans' worth of rows would be one row per n-gram and document.  They travel in packed blocks instead: a
 block holds the n-grams that some documents send to one hash partition, as sorted and compressed columns.
 
-1. Words are counted.  Words so frequent that they would fill a partition alone are known to every task; there are
-   at most HOT_PER_PARTITION times the number of partitions of them.
+1. Words are counted.  The FREQUENT most frequent ones, and their counts, are known to every task; among them are
+   all that would fill a partition alone.  They are written as small numbers, other words as hashes.
 2. Bigrams go to the partition of their second word's hash, those with a frequent second word to that of both
-   words' hashes.  The partition counts them, joins the counts to the documents' bigrams and sums up.
-3. Bigrams that count go on to the partition of their first word, whose count divides theirs.
+   words.  The partition counts them, joins the counts to the documents' bigrams and sums up.
+3. Bigrams that count go on to the partition of their first word, whose count divides theirs, unless it is frequent.
 4. A block's sums return to its documents.
 """
 
@@ -20,11 +20,15 @@ from factloom.llm.common import bound_batches, checkpoint
 
 #: A bigram seen less often backs off to its last word; a step back costs this factor.
 LEAST_COUNT, BACKOFF = 2, 0.4
-#: A word is frequent if it has more than 1 / HOT_PER_PARTITION of a partition's share of words.
-HOT_PER_PARTITION = 4
+#: Frequent words: so many whatever the number of words (1 MB), or FREQUENT_PER_PARTITION for each partition if that
+#: is more.  A word left out then has under 1 / FREQUENT_PER_PARTITION of a partition's share of words.
+FREQUENT, FREQUENT_PER_PARTITION = 65_535, 4
+#: Words that are not frequent are written as their hash with this bit set.
+RARE = 1 << 63
 #: Words a worker remembers the hashes of.
 MEMORY_WORDS = 400_000
 PACKED = "p int, block long, data binary"
+DOCUMENT_COLUMNS = 3
 
 
 class Hashes(dict):
@@ -126,19 +130,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = checkpoint(word_counts(rows.select("text")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = counts.where(F.col("n") > total / (n_parts * HOT_PER_PARTITION)).toArrow()
+    frequent = counts.orderBy(F.desc("n"), "hash").limit(max(FREQUENT, FREQUENT_PER_PARTITION * n_parts)).toArrow()
     keys = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    hot = spark.sparkContext.broadcast((keys[order], frequent.column("n").to_numpy()[order]))
+    hot = spark.sparkContext.broadcast((keys[order], order.astype(np.uint64) + np.uint64(1), np.r_[0, frequent.column("n").to_numpy()].astype(np.int64)))
 
-    def is_hot(hashes):
+    def coded(hashes):
+        """Frequent words by their rank from 1 on, others by their hash with RARE set."""
         import numpy as np
 
-        known = hot.value[0]
+        known, rank, _ = hot.value
         if not len(known):
-            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+            return hashes | np.uint64(RARE)
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return known[at] == hashes, hot.value[1][at]
+        return np.where(known[at] == hashes, rank[at], hashes | np.uint64(RARE))
+
+    def is_hot(codes):
+        """Whether a coded word is frequent, and its count if so; the start of a text is not."""
+        import numpy as np
+
+        frequent = (codes > 0) & (codes < np.uint64(RARE))
+        return frequent, hot.value[2][np.where(frequent, codes, np.uint64(0)).astype(np.int64)]
 
     def explode(batches):
         import numpy as np
@@ -151,8 +163,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             ids = batch.column(0)
             # The documents of the block, for the way back; a null id has a flag of its own.
             null = np.array(ids.is_null().to_pylist(), dtype=np.uint8)
-            out = [(-1, number, pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), sizes, null))]
-            w = np.array([h for x in lists for h in x], dtype=np.uint64)
+            out = [(number % n_parts, number, pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), sizes, null))]
+            w = coded(np.array([h for x in lists for h in x], dtype=np.uint64))
             if len(w):
                 doc = np.repeat(np.arange(len(lists), dtype=np.uint32), sizes)
                 u = np.r_[np.zeros(1, dtype=np.uint64), w[:-1]]
@@ -193,6 +205,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         import numpy as np
 
         for held in gather(batches).values():
+            # What tells a block's documents has DOCUMENT_COLUMNS columns; it only passes through here.
+            if through := [(-2, b, d) for b, d in held if d[0] == DOCUMENT_COLUMNS]:
+                yield _table(through)
+            held = [(b, d) for b, d in held if d[0] != DOCUMENT_COLUMNS]
+            if not held:
+                continue
             blocks = [b for b, _ in held]
             parts = [unpack(d) for _, d in held]
             sizes = [len(x[0]) for x in parts]
@@ -238,9 +256,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         import numpy as np
 
         for batch in batches:
-            keys = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            if len(keys):
-                yield _table(_send(_partition(keys, n_parts), -1, [keys, batch.column(1).to_numpy().astype("<i8")], n_parts))
+            keys = coded(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
+            rare = keys >= np.uint64(RARE)
+            if rare.any():
+                yield _table(_send(_partition(keys[rare], n_parts), -1, [keys[rare], batch.column(1).to_numpy()[rare].astype("<i8")], n_parts))
 
     def add(batches):
         import numpy as np
@@ -262,9 +281,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             mean = pa.array(log_score / np.maximum(sizes, 1), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64), mask=null.astype(bool)), pa.array(sizes), pa.array(log_score), mean], names=["doc_id", "n_words", "log_score", "score"])
 
-    exploded = checkpoint(rows.mapInArrow(explode, PACKED))
-    counted = checkpoint(exploded.where("p >= 0").repartitionById(n_parts, "p").mapInArrow(count, PACKED))
+    counted = checkpoint(rows.mapInArrow(explode, PACKED).repartitionById(n_parts, "p").mapInArrow(count, PACKED))
     onward = counted.where("p >= 0").unionByName(counts.mapInArrow(send_counts, PACKED))
     divided = onward.repartitionById(n_parts, "p").mapInArrow(divide, PACKED)
-    back = counted.where("p < 0").unionByName(divided).withColumn("p", F.lit(1)).unionByName(exploded.where("p < 0").withColumn("p", F.lit(0)))
+    back = counted.where("p < 0").unionByName(divided).withColumn("p", F.when(F.col("p") == -2, 0).otherwise(1))
     return back.repartition("block").mapInArrow(add, "doc_id long, n_words long, log_score double, score double")
