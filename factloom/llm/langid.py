@@ -19,7 +19,9 @@ STRETCH = 32
 #: Longest piece looked up, in characters.
 LONGEST = 16
 #: Words a worker remembers or counts before it starts anew; this changes time, not results.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 200_000
+#: Stretches whose substrings are looked up at once.
+AT_ONCE = 4096
 #: Expected counts are added as integers of this unit, so that sums don't depend on their order.
 UNIT = 1 << 20
 SMOOTHING = 0.5
@@ -122,11 +124,14 @@ def forward(found, weights):
     return alpha
 
 
-def by_length(texts: list[str]) -> dict[int, list[int]]:
+def by_length(texts: list[str]):
+    """(length, places) of texts of one length, at most AT_ONCE of them, which bounds the arrays made of them."""
     groups: dict[int, list[int]] = {}
     for i, t in enumerate(texts):
         groups.setdefault(len(t), []).append(i)
-    return groups
+    for length, at in groups.items():
+        for begin in range(0, len(at), AT_ONCE):
+            yield length, at[begin : begin + AT_ONCE]
 
 
 def expected_counts(vocabulary: Pieces, texts: list[str], times):
@@ -136,7 +141,7 @@ def expected_counts(vocabulary: Pieces, texts: list[str], times):
     equal = np.full((vocabulary.size + 2, 1), 1 / (vocabulary.size + 1))
     equal[vocabulary.nothing] = 0
     out = np.zeros(vocabulary.size + 2)
-    for length, at in by_length(texts).items():
+    for length, at in by_length(texts):
         found = vocabulary.found([texts[i] for i in at])
         ahead = forward(found, equal)[:, :, 0]
         behind = np.zeros_like(ahead)
@@ -237,7 +242,7 @@ def identify(docs: DataFrame, model, vocabulary: str, id_col: str = "doc_id", te
             texts, owner = all_stretches(words)
             rows = np.zeros((len(words), len(langs) + 1))
             owner = np.array(owner, dtype=np.int64)
-            for length, at in by_length(texts).items():
+            for length, at in by_length(texts):
                 whole = np.log(forward(have.found([texts[i] for i in at]), weights)[:, length])
                 np.add.at(rows, owner[at], np.c_[whole, np.ones(len(at))])
             known.update(zip(words, range(len(values), len(values) + len(words)), strict=True))

@@ -10,7 +10,7 @@ import os
 import re
 
 #: Words a worker remembers.  Beyond it the memory starts anew, which costs time and never a result.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 300_000
 #: Letters that stay one code point each under NFC and lower-casing, then at most one mark that stands alone.
 PLAIN = re.compile("([a-zà-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]?)")
 
