@@ -26,7 +26,9 @@ FREQUENT, FREQUENT_PER_PARTITION = 65_535, 4
 #: Words that are not frequent are written as their hash with this bit set.
 RARE = 1 << 63
 #: Words a worker remembers the hashes of.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
+#: Words per partition at most on average, so that a task's memory doesn't grow with the input.
+PARTITION_WORDS = 4_000_000
 PACKED = "p int, block long, data binary"
 DOCUMENT_COLUMNS = 3
 
@@ -42,9 +44,12 @@ class Hashes(dict):
         return self.setdefault(word, xxh3_64_intdigest(word) or 1)
 
 
-def words_of(text: str | None, known: Hashes) -> list[int]:
+def words_of(text: str | None, known: Hashes):
     """Hashes of the text's words: stretches without white space, A-Z lower-cased.  Null has none."""
-    return [known[w] for w in (text or "").encode("utf-8", "replace").lower().split()]
+    import numpy as np
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def pack(*columns) -> bytes:
@@ -107,9 +112,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         known = Hashes()
         for batch in batches:
-            every = [h for t in batch.column(0).to_pylist() for h in words_of(t, known)]
+            every = [words_of(t, known) for t in batch.column(0).to_pylist()]
             if every:
-                keys, n = np.unique(np.array(every, dtype=np.uint64), return_counts=True)
+                keys, n = np.unique(np.concatenate(every), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -126,10 +131,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     spark = docs.sparkSession
     bound_batches(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = checkpoint(word_counts(rows.select("text")))
     total = counts.agg(F.sum("n")).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_WORDS))
     frequent = counts.orderBy(F.desc("n"), "hash").limit(max(FREQUENT, FREQUENT_PER_PARTITION * n_parts)).toArrow()
     keys = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -164,9 +169,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             # The documents of the block, for the way back; a null id has a flag of its own.
             null = np.array(ids.is_null().to_pylist(), dtype=np.uint8)
             out = [(number % n_parts, number, pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), sizes, null))]
-            w = coded(np.array([h for x in lists for h in x], dtype=np.uint64))
+            w = coded(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]))
+            lists = None
             if len(w):
-                doc = np.repeat(np.arange(len(lists), dtype=np.uint32), sizes)
+                doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
                 u = np.r_[np.zeros(1, dtype=np.uint64), w[:-1]]
                 u[np.cumsum(sizes)[:-1][np.cumsum(sizes)[:-1] < len(w)]] = 0
                 u[0] = 0
@@ -188,11 +194,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 held.setdefault(p, []).append((block, data))
         return held
 
-    def split(values, sizes):
-        import numpy as np
-
-        return np.split(values, np.cumsum(sizes)[:-1])
-
     def sums(block, doc, value):
         """A block's packed sums: documents and values, those in units of a 2**-30th."""
         import numpy as np
