@@ -1,12 +1,15 @@
 """License scan: ordered signature rules behind a keyword prefilter, with overlapping detections resolved.
 
 Each license gives up to four rules: its SPDX tag, its page, a grant ("licensed under ..."), its plain name.  A rule
-runs only on texts that hold a gate word and the rule's own keyword.  Of the detections in a text, one that lies
+runs only on texts that hold a gate word and one of the rule's keywords, which are worked out from its pattern so that
+every match holds one.  Of the detections in a text, one that lies
 within another of the same or higher priority is suppressed.  Everything is array functions within a text's own row.
 """
 
 from __future__ import annotations
 
+from re import _parser as sre
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,23 +127,63 @@ LEVELS = 3
 BASE_SCORE = 0.8
 
 
+def keywords(pattern: str) -> list[str]:
+    """Strings of which every match of ``pattern`` holds one, as long as possible; a grant's come from the license's name."""
+    return sorted(_needed(sre.parse(pattern.removeprefix(GRANT))) or {""})
+
+
+def _needed(parts) -> set[str] | None:
+    """Strings of which every match of a parsed sequence holds one; None if it needs none."""
+    found, run = [], {""}
+    for op, value in parts:
+        one = None
+        if op is sre.LITERAL:
+            one = {chr(value)}
+        elif op is sre.IN and all(o is sre.LITERAL for o, _ in value) and len(value) * len(run) <= 4:
+            one = {chr(v) for _, v in value}
+        if one is not None:
+            run = {r + c for r in run for c in one}
+            continue
+        found.append(run)
+        run = {""}
+        if op is sre.SUBPATTERN:
+            found.append(_needed(value[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            found.append(_needed(value[2]))
+        elif op is sre.BRANCH:
+            ways = [_needed(way) for way in value[1]]
+            found.append(None if None in ways else set().union(*ways))
+    found = [f for f in [*found, run] if f and "" not in f]
+    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+def gates() -> list[str]:
+    """GATES, and every rule's keywords that hold none of them: a text without any of these matches no rule."""
+    every = {k for r in rules() for k in keywords(r[2])}
+    return [*GATES, *sorted(k for k in every if not any(g in k for g in {*GATES, *every} - {k}))]
+
+
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, pattern, label, score) of every rule, those of higher priority first, in fixed order."""
+    """(priority, keyword, pattern, label, score) of every rule, those of higher priority first, in fixed order.
+
+    keyword: the string that every match holds; empty where ``keywords`` gives more than one.
+    """
     out = []
-    for label, word, tag, name, page in LICENSES:
-        out.append((3, "spdx-license-identifier", rf"spdx-license-identifier:\s{{0,8}}{tag}(?![a-z0-9.+-])", label, 1.0))
+    for label, _, tag, name, page in LICENSES:
+        out.append((3, rf"spdx-license-identifier:\s{{0,8}}{tag}(?![a-z0-9.+-])", label, 1.0))
         if page:
-            out.append((3, "://", rf"https?://(www\.)?{page}", label, 0.95))
-        out.append((2, word, rf"{GRANT}{name}(?![a-z0-9])", label, 0.9))
-        out.append((1, word, rf"(?<![a-z0-9]){name}(?![a-z0-9])", label, 0.7))
-    return sorted(out, key=lambda r: -r[0])
+            out.append((3, rf"https?://(www\.)?{page}", label, 0.95))
+        out.append((2, rf"{GRANT}{name}(?![a-z0-9])", label, 0.9))
+        out.append((1, rf"(?<![a-z0-9]){name}(?![a-z0-9])", label, 0.7))
+    only = lambda pattern: own[0] if len(own := keywords(pattern)) == 1 else ""
+    return [(p, only(x), x, m, s) for p, x, m, s in sorted(out, key=lambda r: -r[0])]
 
 
 def _literal_rules() -> Column:
     return F.array(
         *[
-            F.struct(F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"), F.lit(m).alias("label"), F.lit(s).alias("score"), F.lit(i).alias("rule"))
-            for i, (p, k, x, m, s) in enumerate(rules())
+            F.struct(F.lit(p).alias("priority"), F.array(*map(F.lit, keywords(x))).alias("keywords"), F.lit(x).alias("pattern"), F.lit(m).alias("label"), F.lit(s).alias("score"), F.lit(i).alias("rule"))
+            for i, (p, _, x, m, s) in enumerate(rules())
         ]
     )
 
@@ -197,13 +240,13 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     of the surviving detections', and BASE_SCORE for a base phrase.
     """
     low = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keywords = sorted({r[1] for r in rules()})
+    every = sorted({k for r in rules() for k in keywords(r[2])})
     # Each step apart, so that the text is lower-cased and cut into words once for each row.
     lower = docs.withColumn("_low", low)
     gated = lower.withColumns(
         {
             "_words": F.regexp_extract_all("_low", F.lit(WORD), F.lit(0)),
-            "_gate": F.greatest(*[F.contains(F.col("_low"), F.lit(g)).cast("int") for g in GATES]) == 1,
+            "_gate": F.greatest(*[F.contains(F.col("_low"), F.lit(g)).cast("int") for g in gates()]) == 1,
         }
     )
     stands = lambda i: F.coalesce(
@@ -213,10 +256,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.struct(i.cast("long").alias("at"), stands(i).alias("label"))),
         lambda x: x["label"].isNotNull(),
     )
-    here = lambda: F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_low"), k))
+    here = lambda: F.filter(F.array(*map(F.lit, every)), lambda k: F.contains(F.col("_low"), k))
     hits = let(
         here(),
-        lambda own: F.flatten(F.transform(F.filter(_literal_rules(), lambda r: F.array_contains(own, r["keyword"])), lambda r: _detections(F.col("_low"), r))),
+        lambda own: F.flatten(F.transform(F.filter(_literal_rules(), lambda r: F.arrays_overlap(own, r["keywords"])), lambda r: _detections(F.col("_low"), r))),
     )
     found = gated.withColumns(
         {
