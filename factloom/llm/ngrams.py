@@ -1,47 +1,47 @@
 """Stupid-backoff scores of documents under bigram counts of the whole corpus.
 
-Three scans' worth of rows would be one row per n-gram and document.  They travel in packed blocks instead: a
-block holds the n-grams that some documents send to one hash partition, as sorted and compressed columns.
-
-1. Words are counted.  The FREQUENT most frequent ones, and their counts, are known to every task; among them are
-   all that would fill a partition alone.  They are written as small numbers, other words as hashes.
-2. Bigrams go to the partition of their second word's hash, those with a frequent second word to that of both
-   words.  The partition counts them, joins the counts to the documents' bigrams and sums up.
-3. Bigrams that count go on to the partition of their first word, whose count divides theirs, unless it is frequent.
-4. A block's sums return to its documents.
+1. Words are counted.  Those with at least 1 / FREQUENT of all occurrences, of which there are FREQUENT at most, are
+   known to every task by a small number and their count; other words are written as a negative 64-bit hash.
+2. Bigrams of the TOP most frequent words are counted: at most TOP * TOP, known to every task as well.  They are
+   scored where they are met, so that no bigram that a large share of the texts holds is ever shuffled.
+3. All other bigrams become one row per document and bigram, which goes once to the partition of its key: the bigram
+   itself if both words are frequent, else its infrequent word, whose count is the sum of its own rows there.  The
+   counts are window sums over these rows; a bigram of two infrequent words goes to both words' partitions, to the
+   second for backing off and to the first for its own count.
+4. Values are summed per document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches, checkpoint
 
 #: A bigram seen less often backs off to its last word; a step back costs this factor.
 LEAST_COUNT, BACKOFF = 2, 0.4
-#: Frequent words: so many whatever the number of words (1 MB), or FREQUENT_PER_PARTITION for each partition if that
-#: is more.  A word left out then has under 1 / FREQUENT_PER_PARTITION of a partition's share of words.
-FREQUENT, FREQUENT_PER_PARTITION = 65_535, 4
-#: Words that are not frequent are written as their hash with this bit set.
-RARE = 1 << 63
+#: Words with at least 1 / FREQUENT of all occurrences are broadcast, with the counts of bigrams of the TOP first ones.
+FREQUENT, TOP = 1 << 20, 1024
 #: Words a worker remembers the hashes of.
-MEMORY_WORDS = 200_000
-#: Words per partition at most on average, so that a task's memory doesn't grow with the input.
-PARTITION_WORDS = 4_000_000
-PACKED = "p int, block long, data binary"
-DOCUMENT_COLUMNS = 3
+MEMORY_WORDS = 100_000
+#: Rows of an Arrow batch that a task returns.
+ROWS = 1 << 16
+#: Kinds of rows: a document, a bigram of frequent words, one keyed by its second word, one keyed by its first word.
+DOCUMENT, PAIR, SECOND, FIRST = range(4)
+START = 0
+#: Sums are made of integers in this unit, so that they don't depend on their order.
+UNIT = 1 << 30
 
 
 class Hashes(dict):
-    """word (UTF-8 bytes) -> 64-bit hash; zero is kept for the start of a text."""
+    """word (UTF-8 bytes) -> 64-bit hash, which is negative as a signed number."""
 
     def __missing__(self, word):
         from xxhash import xxh3_64_intdigest
 
         if len(self) > MEMORY_WORDS:
             self.clear()
-        return self.setdefault(word, xxh3_64_intdigest(word) or 1)
+        return self.setdefault(word, xxh3_64_intdigest(word) | 1 << 63)
 
 
 def words_of(text: str | None, known: Hashes):
@@ -52,59 +52,26 @@ def words_of(text: str | None, known: Hashes):
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def pack(*columns) -> bytes:
-    """Equally long integer columns, each byte plane apart, compressed."""
+def joined_words(texts: list, known: Hashes):
+    """(hashes of all texts' words, words of each text)."""
     import numpy as np
-    import zstandard
 
-    parts = [np.ascontiguousarray(c) for c in columns]
-    head = np.array([len(parts[0]), *[c.dtype.itemsize for c in parts]], dtype="<i8").tobytes()
-    # Sorted hashes share their upper bytes, which compress well once they stand together.
-    planes = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in parts)
-    return bytes([len(parts)]) + head + zstandard.ZstdCompressor(level=1).compress(planes)
+    lists = [words_of(t, known) for t in texts]
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64), np.array([len(x) for x in lists], dtype=np.int64)
 
 
-def unpack(data: bytes):
-    import numpy as np
-    import zstandard
-
-    n = data[0]
-    head = np.frombuffer(data, dtype="<i8", count=n + 1, offset=1)
-    size, widths = int(head[0]), head[1:].tolist()
-    raw = zstandard.ZstdDecompressor().decompress(data[1 + 8 * (n + 1) :], max_output_size=max(1, size * sum(widths)))
-    out, at = [], 0
-    for w in widths:
-        planes = np.frombuffer(raw, dtype=np.uint8, count=size * w, offset=at).reshape(w, size)
-        out.append(np.ascontiguousarray(planes.T).view(f"<u{w}").ravel())
-        at += size * w
-    return out
-
-
-def _partition(hashes, n: int):
-    import numpy as np
-
-    return (hashes % np.uint64(n)).astype(np.int64)
-
-
-def _send(p, block, columns, n: int):
-    """One packed row per partition of rows with partitions ``p``, sorted by the first columns."""
+def before(words, sizes):
+    """The word before each word of its text, START for the first."""
     import numpy as np
 
-    order = np.lexsort((*columns[::-1], p))
-    p, columns = p[order], [c[order] for c in columns]
-    edges = np.searchsorted(p, np.arange(n + 1))
-    return [(k, block, pack(*[c[edges[k] : edges[k + 1]] for c in columns])) for k in range(n) if edges[k] < edges[k + 1]]
-
-
-def _table(rows, names=("p", "block", "data")):
-    import pyarrow as pa
-
-    kinds = [pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+    out = np.r_[np.zeros(1, dtype=np.int64), words[:-1]] if len(words) else words
+    first = np.cumsum(sizes) - sizes
+    out[first[sizes > 0]] = START
+    return out
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(hash, n) of every word of a column of texts; hashes as signed integers."""
+    """(hash, n) of every word of a column of texts."""
 
     def run(batches):
         import numpy as np
@@ -112,178 +79,164 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         known = Hashes()
         for batch in batches:
-            every = [words_of(t, known) for t in batch.column(0).to_pylist()]
-            if every:
-                keys, n = np.unique(np.concatenate(every), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
+            keys, n = np.unique(joined_words(batch.column(0).to_pylist(), known)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["hash", "n"])
 
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_COUNT, backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_words, log_score (sum of natural logarithms) and score (its mean per word) of each row.
+class Frequent:
+    """Frequent words, numbered from 1 on by falling count, and counts of the bigrams of the first of them."""
 
-    With counts c over all of ``docs`` and N words in all, a word w after u scores c(u w) / c(u) if
-    c(u w) >= ``least``, else ``backoff`` * c(w) / N; a text's first word scores c(w) / N.  A text without words
-    has log_score 0 and a null score.  Repeated rows count each time and are scored alike.
-    """
-    import numpy as np
-
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = checkpoint(word_counts(rows.select("text")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_WORDS))
-    frequent = counts.orderBy(F.desc("n"), "hash").limit(max(FREQUENT, FREQUENT_PER_PARTITION * n_parts)).toArrow()
-    keys = frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    hot = spark.sparkContext.broadcast((keys[order], order.astype(np.uint64) + np.uint64(1), np.r_[0, frequent.column("n").to_numpy()].astype(np.int64)))
-
-    def coded(hashes):
-        """Frequent words by their rank from 1 on, others by their hash with RARE set."""
+    def __init__(self, hashes, counts):
         import numpy as np
 
-        known, rank, _ = hot.value
-        if not len(known):
-            return hashes | np.uint64(RARE)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, rank[at], hashes | np.uint64(RARE))
+        order = np.lexsort((hashes, -counts))
+        self.count = np.r_[0, counts[order]].astype(np.int64)
+        by_hash = np.argsort(hashes[order])
+        self.hashes, self.number = hashes[order][by_hash], by_hash + 1
+        self.pairs = None
 
-    def is_hot(codes):
-        """Whether a coded word is frequent, and its count if so; the start of a text is not."""
+    def code(self, hashes):
+        """The word's number if it is frequent, else its hash."""
         import numpy as np
 
-        frequent = (codes > 0) & (codes < np.uint64(RARE))
-        return frequent, hot.value[2][np.where(frequent, codes, np.uint64(0)).astype(np.int64)]
+        if not len(self.hashes):
+            return hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], hashes)
 
-    def explode(batches):
-        import numpy as np
-        from pyspark import TaskContext
+    def first_pairs(self, u, w):
+        """Which bigrams (u, w) are of the TOP first words, and the places of those in ``pairs``."""
+        known = (u > 0) & (w > 0) & (u <= TOP) & (w <= TOP)
+        return known, (u[known] - 1) * TOP + w[known] - 1
 
-        known, number = Hashes(), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            lists = [words_of(t, known) for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
-            ids = batch.column(0)
-            # The documents of the block, for the way back; a null id has a flag of its own.
-            null = np.array(ids.is_null().to_pylist(), dtype=np.uint8)
-            out = [(number % n_parts, number, pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), sizes, null))]
-            w = coded(np.concatenate([np.zeros(0, dtype=np.uint64), *lists]))
-            lists = None
-            if len(w):
-                doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-                u = np.r_[np.zeros(1, dtype=np.uint64), w[:-1]]
-                u[np.cumsum(sizes)[:-1][np.cumsum(sizes)[:-1] < len(w)]] = 0
-                u[0] = 0
-                order = np.lexsort((doc, u, w))
-                w, u, doc = w[order], u[order], doc[order]
-                fresh = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])])
-                times = np.diff(np.r_[fresh, len(w)]).astype(np.uint32)
-                w, u, doc = w[fresh], u[fresh], doc[fresh]
-                p = _partition(np.where(is_hot(w)[0], w ^ (u * np.uint64(0x9E3779B97F4A7C15)), w), n_parts)
-                out += _send(p, number, [w, u, doc, times], n_parts)
-            yield _table(out)
-            number += 1
-
-    def gather(batches):
-        """By partition, the blocks that came, whatever the task got."""
-        held: dict[int, list] = {}
-        for batch in batches:
-            for p, block, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(p, []).append((block, data))
-        return held
 
-    def sums(block, doc, value):
-        """A block's packed sums: documents and values, those in units of a 2**-30th."""
+def pair_counts(texts: DataFrame, shared) -> DataFrame:
+    """(place, n) of the bigrams of the TOP first words: at most TOP * TOP rows."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        docs_, at = np.unique(doc, return_inverse=True)
-        added = np.bincount(at, value)
-        return (-1, block, pack(docs_.astype("<u4"), np.rint(added * 2**30).astype("<i8")))
+        frequent, known, total = shared.value, Hashes(), np.zeros(TOP * TOP, dtype=np.int64)
+        for batch in batches:
+            words, sizes = joined_words(batch.column(0).to_pylist(), known)
+            words = frequent.code(words)
+            total += np.bincount(frequent.first_pairs(before(words, sizes), words)[1], minlength=len(total))
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "n"])
 
-    def count(batches):
-        import numpy as np
+    return texts.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
-        for held in gather(batches).values():
-            # What tells a block's documents has DOCUMENT_COLUMNS columns; it only passes through here.
-            if through := [(-2, b, d) for b, d in held if d[0] == DOCUMENT_COLUMNS]:
-                yield _table(through)
-            held = [(b, d) for b, d in held if d[0] != DOCUMENT_COLUMNS]
-            if not held:
-                continue
-            blocks = [b for b, _ in held]
-            parts = [unpack(d) for _, d in held]
-            sizes = [len(x[0]) for x in parts]
-            w, u, doc, times = (np.concatenate([x[i] for x in parts]) for i in range(4))
-            own = np.repeat(np.arange(len(blocks)), sizes)
-            order = np.lexsort((u, w))
-            new = np.r_[True, (w[order][1:] != w[order][:-1]) | (u[order][1:] != u[order][:-1])]
-            pair = np.empty(len(w), dtype=np.int64)
-            pair[order] = np.cumsum(new) - 1
-            c_pair = np.bincount(pair, times)[pair]
-            frequent, c_hot = is_hot(w)
-            word = np.unique(w, return_inverse=True)[1]
-            c_word = np.where(frequent, c_hot, np.bincount(word, times)[word])
-            first, hit = u == 0, (c_pair >= least) & (u != 0)
-            value = np.where(hit, np.log(c_pair), np.log(c_word / total) + np.where(first, 0.0, np.log(backoff)))
-            # A frequent first word's count is known here; the others' are in their own partitions.
-            u_hot, c_u = is_hot(u)
-            value = times * np.where(hit & u_hot, value - np.log(np.maximum(c_u, 1)), value)
-            go = hit & ~u_hot
-            out = []
-            for i, block in enumerate(blocks):
-                at = np.flatnonzero(own == i) if len(blocks) < 3 else np.arange(sum(sizes[:i]), sum(sizes[: i + 1]))
-                out.append(sums(block, doc[at], value[at]))
-                on = at[go[at]]
-                if len(on):
-                    out += _send(_partition(u[on], n_parts), block, [u[on], doc[on], times[on].astype("<u4")], n_parts)
-            yield _table(out)
-
-    def divide(batches):
-        import numpy as np
 
-        for held in gather(batches).values():
-            known = [unpack(d) for b, d in held if b == -1]
-            blocks = [(b, unpack(d)) for b, d in held if b != -1]
-            if not blocks:
-                continue
-            keys, n = (np.concatenate([x[i] for x in known]) for i in range(2))
-            order = np.argsort(keys)
-            keys, n = keys[order], n[order]
-            yield _table([sums(b, doc, -(times.astype(np.int64) * np.log(n[np.searchsorted(keys, u)]))) for b, (u, doc, times) in blocks])
-
-    def send_counts(batches):
-        import numpy as np
+def exploded(rows: DataFrame, shared, total: int, least: int, backoff: float) -> DataFrame:
+    """(kind, key, other, row, times, doc_id, base): a DOCUMENT row of each text, and its bigrams.
 
-        for batch in batches:
-            keys = coded(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
-            rare = keys >= np.uint64(RARE)
-            if rare.any():
-                yield _table(_send(_partition(keys[rare], n_parts), -1, [keys[rare], batch.column(1).to_numpy()[rare].astype("<i8")], n_parts))
+    row numbers the texts, from the task and the place in it.  times: words of a document, or occurrences of a bigram
+    in it.  base: what a document's bigrams of the TOP first words score, and its first word if that is frequent.
+    """
 
-    def add(batches):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        held: dict[int, list] = {}
+        frequent, known, row = shared.value, Hashes(), TaskContext.get().partitionId() << 32
+        log_count = np.log(np.maximum(frequent.count, 1))
+        log_pairs = np.log(np.maximum(frequent.pairs, 1))
+        step, log_total = np.log(backoff), np.log(max(total, 1))
+        names = ["kind", "key", "other", "row", "times", "doc_id", "base"]
         for batch in batches:
-            for kind, block, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(block, []).append((kind, data))
-        for parts in held.values():
-            ids, sizes, null = next(unpack(d) for k, d in parts if k == 0)
-            total_ = np.zeros(len(ids), dtype=np.int64)
-            for k, d in parts:
-                if k:
-                    doc, value = unpack(d)
-                    total_[doc.astype(np.int64)] += value.view(np.int64)
-            sizes = sizes.view(np.int64)
-            log_score = total_ / 2**30
-            mean = pa.array(log_score / np.maximum(sizes, 1), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64), mask=null.astype(bool)), pa.array(sizes), pa.array(log_score), mean], names=["doc_id", "n_words", "log_score", "score"])
-
-    counted = checkpoint(rows.mapInArrow(explode, PACKED).repartitionById(n_parts, "p").mapInArrow(count, PACKED))
-    onward = counted.where("p >= 0").unionByName(counts.mapInArrow(send_counts, PACKED))
-    divided = onward.repartitionById(n_parts, "p").mapInArrow(divide, PACKED)
-    back = counted.where("p < 0").unionByName(divided).withColumn("p", F.when(F.col("p") == -2, 0).otherwise(1))
-    return back.repartition("block").mapInArrow(add, "doc_id long, n_words long, log_score double, score double")
+            words, sizes = joined_words(batch.column(1).to_pylist(), known)
+            w = frequent.code(words)
+            u = before(w, sizes)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            top, place = frequent.first_pairs(u, w)
+            hit = frequent.pairs[place] >= least
+            value = np.where(hit, log_pairs[place] - log_count[u[top]], step + log_count[w[top]] - log_total)
+            begins = (u == START) & (w > 0)
+            base = np.bincount(text[top], value, minlength=len(sizes)) + np.bincount(text[begins], log_count[w[begins]] - log_total, minlength=len(sizes))
+            pair, second, first = (u > 0) & (w > 0) & ~top, w < 0, u < 0
+            kind = np.repeat(np.array([PAIR, SECOND, FIRST], dtype=np.int32), [pair.sum(), second.sum(), first.sum()])
+            key = np.concatenate([u[pair] * (2 * FREQUENT) + w[pair], w[second], u[first]])
+            other = np.concatenate([np.zeros(pair.sum(), dtype=np.int64), u[second], w[first]])
+            text = np.concatenate([text[pair], text[second], text[first]])
+            order = np.lexsort((other, key, kind, text))
+            kind, key, other, text = kind[order], key[order], other[order], text[order]
+            fresh = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])]) if len(key) else order
+            times = np.diff(np.r_[fresh, len(key)])
+            own = row + np.arange(len(sizes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(own), DOCUMENT, dtype=np.int32)), pa.array(own), pa.array(np.zeros(len(own), dtype=np.int64)), pa.array(own), pa.array(sizes), batch.column(0), pa.array(base)], names=names
+            )
+            for at in range(0, len(fresh), ROWS):
+                some = fresh[at : at + ROWS]
+                nothing = [pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(kind[some]), pa.array(key[some]), pa.array(other[some]), pa.array(row + text[some]), pa.array(times[at : at + ROWS]), *nothing], names=names)
+            row += len(sizes)
+
+    return rows.mapInArrow(run, "kind int, key long, other long, row long, times long, doc_id long, base double")
+
+
+def valued(grams: DataFrame, counts: DataFrame, total: int, least: int, backoff: float) -> DataFrame:
+    """``exploded`` rows with ``value``, from the counts of their bigram and their words."""
+    # One shuffle, by key: both sums are over rows that it brings together.
+    dealt = grams.repartition("key")
+    same = Window.partitionBy("key", "kind", "other")
+    c2 = F.sum("times").over(same)
+    c1 = F.sum(F.when(F.col("kind") == SECOND, F.col("times"))).over(Window.partitionBy("key"))
+    counted = dealt.withColumn("c2", c2).withColumn("c1", c1)
+    kind, other = F.col("kind"), F.col("other")
+    hit = (F.col("c2") >= least) & ~((kind == SECOND) & (other == START))
+    # Of two infrequent words, the row at the first one scores a hit, and that at the second one backing off.
+    elsewhere = ((kind == SECOND) & (other < 0) & hit) | ((kind == FIRST) & (other < 0) & ~hit)
+    first, second = F.shiftright("key", FREQUENT.bit_length()), F.col("key").bitwiseAND(2 * FREQUENT - 1)
+    # The frequent word whose count is needed besides: the first one's of a hit, else the second one's.
+    needed: Column = (
+        F.when(kind == PAIR, F.when(hit, first).otherwise(second))
+        .when((kind == SECOND) & hit & (other > 0), other)
+        .when((kind == FIRST) & ~hit & (other > 0), other)
+    )
+    known = counted.withColumns({"hit": hit, "elsewhere": elsewhere, "needed": needed}).join(F.broadcast(counts), F.col("needed") == F.col("number"), "left")
+    x = F.ln(F.coalesce("n", "c1").cast("double"))
+    step = F.when((kind == SECOND) & (other == START), 0.0).otherwise(F.log(F.lit(backoff)))
+    score = F.when(F.col("hit"), F.ln(F.col("c2").cast("double")) - x).otherwise(step + x - F.log(F.lit(float(max(total, 1)))))
+    return known.withColumn("value", F.when(kind == DOCUMENT, F.col("base")).when(F.col("elsewhere"), 0.0).otherwise(F.col("times") * score))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_COUNT, backoff: float = BACKOFF) -> DataFrame:
+    """doc_id, n_words, log_score (sum of natural logarithms) and score (its mean per word) of each row.
+
+    With counts c over all of ``docs`` and N words in all, a word w after u scores c(u w) / c(u) if
+    c(u w) >= ``least``, else ``backoff`` * c(w) / N; a text's first word scores c(w) / N.  A text without words
+    has log_score 0 and a null score.  Repeated rows count each time and are scored alike; an empty table gives
+    an empty result.  Words that aren't frequent are told apart by 63 bits of a hash.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    bound_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    counts = checkpoint(word_counts(rows.select("text")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") * FREQUENT >= total).toArrow()
+    frequent = Frequent(found.column("hash").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64))
+    pairs = pair_counts(rows.select("text"), spark.sparkContext.broadcast(frequent)).toArrow()
+    frequent.pairs = np.zeros(TOP * TOP, dtype=np.int64)
+    frequent.pairs[pairs.column("place").to_numpy()] = pairs.column("n").to_numpy()
+    numbers = spark.createDataFrame(_table(frequent.count))
+    grams = exploded(rows, spark.sparkContext.broadcast(frequent), total, least, backoff)
+    document = F.col("kind") == DOCUMENT
+    summed = valued(grams, numbers, total, least, backoff).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max(F.when(document, F.col("times"))).alias("n_words"), F.sum(F.round(F.col("value") * UNIT).cast("long")).alias("units")
+    )
+    log_score = F.col("units") / F.lit(float(UNIT))
+    return summed.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("score"))
+
+
+def _table(count):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.table({"number": pa.array(np.arange(1, len(count)), type=pa.int64()), "n": pa.array(count[1:], type=pa.int64())})
