@@ -23,8 +23,8 @@ CUTOFFS = {
 }
 #: At most RISK of a stratum's good documents are rejected, in all strata at once with probability 1 - DELTA.
 RISK, DELTA = 0.01, 0.05
-#: Cutoffs of so many strata are broadcast; those of more are joined by a shuffle.
-BROADCAST_STRATA = 10_000
+#: Cutoffs of so many strata, and so many ids of labelled documents, are broadcast; more are joined by a shuffle.
+BROADCAST_STRATA, BROADCAST_LABELS = 10_000, 500_000
 
 
 def _repeated_words(words: Column) -> Column:
@@ -59,34 +59,35 @@ def _repeated_words(words: Column) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the measures.
 
-    A null text has no words; shares of nothing are zero.  Columns of ``docs`` with these names are replaced.
+    A null text has no words; shares of nothing are zero.  Columns of ``docs`` with the names of the results are
+    replaced, all others stay.  Repeated rows are measured alike; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = once(docs, {"_text": text, "_words": F.array_remove(F.split(text, f"{SPACE}+"), "")})
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    split = once(docs, {"__quality_text": text, "__quality_words": F.array_remove(F.split(text, f"{SPACE}+"), "")})
+    lines = F.filter(F.split("__quality_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = once(
         split,
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate("_text", " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long"),
-            "_lines": let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("different"))),
-            "n_repeat_words": _repeated_words(F.col("_words")),
+            "n_words": F.size("__quality_words").cast("long"),
+            "word_chars": F.length(F.translate("__quality_text", " \t\n\x0b\f\r", "")).cast("long"),
+            "n_symbols": (F.length("__quality_text") - F.length(F.translate("__quality_text", "#*$%&|<>", ""))).cast("long"),
+            "__quality_lines": let(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("different"))),
+            "n_repeat_words": _repeated_words(F.col("__quality_words")),
         },
     )
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     mean = share(F.col("word_chars"), F.col("n_words"))
     return counted.withColumns(
         {
-            "n_dup_lines": (F.col("_lines.all") - F.col("_lines.different")).cast("long"),
+            "n_dup_lines": (F.col("__quality_lines.all") - F.col("__quality_lines.different")).cast("long"),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
             "symbol_share": share(F.col("n_symbols"), F.col("word_chars")),
-            "dup_line_share": share((F.col("_lines.all") - F.col("_lines.different")), F.col("_lines.all")),
+            "dup_line_share": share((F.col("__quality_lines.all") - F.col("__quality_lines.different")), F.col("__quality_lines.all")),
             "repeat_share": share(F.col("n_repeat_words"), F.col("n_words")),
             "long_words": mean,
             "short_words": -mean,
         }
-    ).drop("_text", "_words", "_lines")
+    ).drop("__quality_text", "__quality_words", "__quality_lines")
 
 
 def _ln_gamma(x: Column) -> Column:
@@ -140,7 +141,8 @@ def select_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "g
             )
         ).alias("x"),
     )
-    counts = rows.groupBy(stratum, "x.measure", "x.above").agg(F.count("*").alias("n"))
+    # A row per stratum, measure and number of cutoffs; kept, so that the rows are measured once.
+    counts = checkpoint(rows.groupBy(stratum, "x.measure", "x.above").agg(F.count("*").alias("n")))
     grid = F.create_map(*[y for m in names for y in (F.lit(m), F.array(*[F.lit(c) for c in CUTOFFS[m]]))])
     tried = counts.groupBy(stratum, "measure").agg(F.sum("n").alias("n"), F.collect_list(F.struct("above", "n")).alias("h"))
     # At most one entry for each number of cutoffs, so the list stays short.
@@ -150,7 +152,7 @@ def select_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "g
         "k",
         F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.when(x["above"] >= F.col("steps") - F.col("step"), x["n"]).otherwise(0)),
     )
-    strata = labelled.where(F.col(good)).agg(F.countDistinct(stratum)).first()[0]
+    strata = counts.agg(F.countDistinct(stratum)).first()[0]
     order = Window.partitionBy(stratum, "measure").orderBy("step")
     level = delta / (max(strata, 1) * len(names))
     tested = tried.withColumn("passes", F.min((binomial_tail(F.col("k"), F.col("n"), part) <= level).cast("int")).over(order))
@@ -162,9 +164,18 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", stra
 
     Of a label's repeated rows the smallest value counts; null labels and ids don't.
     """
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg((F.min(label) == 1).alias("good"))
-    rows = measured.select(F.col(id_col).alias("_id"), _stratum(stratum_col), *CUTOFFS)
-    return checkpoint(select_cutoffs(rows.join(known, "_id").drop("_id")))
+    rows = labelled_good(measured.select(F.col(id_col), _stratum(stratum_col), *CUTOFFS), labels, id_col, label_id, label)
+    return checkpoint(select_cutoffs(rows.withColumn("good", F.lit(True))))
+
+
+def labelled_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Rows of ``docs`` that ``labels`` calls good, the only ones that cutoffs are chosen by.
+
+    Their ids are broadcast up to BROADCAST_LABELS of them, so that texts aren't shuffled for a small holdout.
+    """
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.min(label).alias("_least")).where("_least = 1").select("_id")
+    small = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.join(F.broadcast(known) if small else known, F.col(id_col) == F.col("_id"), "left_semi")
 
 
 def _stratum(stratum_col: str) -> Column:

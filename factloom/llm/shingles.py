@@ -1,9 +1,12 @@
 """Near-duplicates by word shingles: texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
-Texts with equal sets are one node.  A set's minima under BANDS * ROWS permutations put it in one bucket per band; two
+SimHash fingerprints alone can't find these: at a similarity of 0.8 two fingerprints differ in 10 of 64 bits on average
+and in up to 24, which unrelated texts often do too.  So fingerprints are compared within groups that share more:
+texts with equal sets are one node, and a set's minima under BANDS * ROWS permutations put it in one bucket per band; two
 sets of similarity 0.8 share none with a chance of 5 in 100000, more similar ones with less.  Links come only from
-comparing the sets themselves.  In each of two rounds one node of a bucket is compared with those that aren't connected
-with it, and then all pairs of a bucket that still aren't, so that a group of copies isn't expanded to all its pairs.
+comparing the sets themselves.  In each of two rounds the nodes of a bucket are compared with one of them, and then
+all that still aren't connected are searched for in a Gray-order index of the bucket's fingerprints, so that a group of
+copies isn't expanded to all its pairs.
 """
 
 from __future__ import annotations
@@ -14,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches, checkpoint, components
+from factloom.llm.simhash import GrayIndex, gray_rank, voted
 
 BANDS, ROWS = 25, 5
 #: Shingles hashed at once and shingles permuted at once.
 SLICE, PERMUTED = 1 << 16, 1024
-#: Pairs whose minima agree in fewer places than this share aren't compared: more than 5 deviations under 0.8.
-LEAST_AGREEING = 0.6
+#: Fingerprints that differ in more bits aren't compared further: 5 deviations over the mean of sets of similarity 0.8.
+MOST_BITS = 26
+#: Nodes of a bucket that one task searches at once; larger buckets are cut into blocks, which meet in pairs.
+BLOCK = 4096
 PAIR = "a binary, b binary"
 
 
@@ -53,7 +59,7 @@ def minima(hashes):
 
 
 def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, size, keys, mark) of each row: its set's digest and size, a key per band, a byte per permutation."""
+    """(doc_id, node, size, keys, code) of each row: its set's digest and size, a key per band, its fingerprint."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
@@ -62,7 +68,7 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
         from xxhash import xxh3_128_digest, xxh64_intdigest
 
         for batch in batches:
-            nodes, sizes, keys, marks = [], [], [], []
+            nodes, sizes, keys, codes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(text, words)
                 nodes.append(xxh3_128_digest(own.tobytes()))
@@ -70,13 +76,13 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
                 least = minima(own) if len(own) else np.zeros(0, dtype=np.uint64)
                 bands = [b.tobytes() for b in least.reshape(-1, ROWS)]
                 keys.append(np.array([xxh64_intdigest(b, n) for n, b in enumerate(bands)], dtype=np.uint64).view(np.int64))
-                marks.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+                codes.append(voted(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(marks, type=pa.binary())],
-                names=["doc_id", "node", "size", "keys", "mark"],
+                [batch.column(0), pa.array(nodes, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(codes, type=pa.int64())],
+                names=["doc_id", "node", "size", "keys", "code"],
             )
 
-    shape = "doc_id long, node binary, size long, keys array<long>, mark binary"
+    shape = "doc_id long, node binary, size long, keys array<long>, code long"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, shape)
 
 
@@ -94,47 +100,62 @@ def sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(run, "node binary, hashes binary")
 
 
-def proposed(members: DataFrame, least: float, star: bool, turn: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes in different components that may link; ``star``: only those of one node, which ``turn`` draws."""
-    dealt = members.repartition("key").sortWithinPartitions("key", F.xxhash64("node", F.lit(turn)), "node")
+def near_one(members: DataFrame, least: float, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's node that ``turn`` draws and those in other components that may link with it."""
+    drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "size", "code", "component")).alias("one"))
+    met = members.join(drawn, "key").where(F.col("component") != F.col("one.component"))
+    close = (F.least("size", "one.size") >= least * F.greatest("size", "one.size")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("one.code"))) <= MOST_BITS)
+    return met.where(close).select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
+
+
+def near_others(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's nodes in different components that may link."""
+    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    drawn = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Each block meets every block from itself on.
+    met = drawn.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = met.withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
+    dealt = sent.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
 
     def pairs(t):
         import numpy as np
         import pyarrow as pa
 
-        node, size = t.column("node").to_pylist(), t.column("size").to_numpy()
+        node, size, code = t.column("node").to_pylist(), t.column("size").to_numpy(), t.column("code").to_numpy().view(np.uint64)
         group = np.unique(np.array(t.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
         if not group.any():
             return
-        mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        for i in range(1 if star else len(node)):
-            rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
-            rest = rest[np.minimum(size[rest], size[i]) >= least * np.maximum(size[rest], size[i])]
-            rest = rest[(mark[rest] == mark[i]).mean(axis=1) >= LEAST_AGREEING]
-            if len(rest):
-                ends = [[min(node[i], node[j]), max(node[i], node[j])] for j in rest.tolist()]
+        block, left, right = t.column("block").to_numpy(), t.column("left")[0].as_py(), t.column("right")[0].as_py()
+        asked, known = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        if not len(known) or not len(asked):
+            return
+        known = known[np.argsort(gray_rank(code[known]), kind="stable")]
+        index, step = GrayIndex(code[known]), max(1, (1 << 22) // len(known))
+        for at in range(0, len(asked), step):
+            who, leaf = index.search(code[asked[at : at + step]], MOST_BITS)
+            x, y = asked[at + who], known[leaf]
+            good = (group[x] != group[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+            if good.any():
+                ends = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        held = []
+        held = None
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            key = t.column("key").to_numpy()
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = np.stack([t.column(c).to_numpy() for c in ("key", "left", "right")])
             begin = 0
-            for end in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
-                if held and end > begin and held[0].column("key")[0].as_py() != key[begin]:
-                    yield from pairs(pa.concat_tables(held))
-                    held = []
-                if end > begin:
-                    held.append(t.slice(begin, end - begin))
+            for end in (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist():
+                yield from pairs(t.slice(begin, end - begin))
                 begin = end
-        if held:
-            yield from pairs(pa.concat_tables(held))
+            held = t.slice(begin)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
 
-    return dealt.select("key", "node", "size", "component", "mark").mapInArrow(run, PAIR).distinct()
+    return dealt.select("key", "left", "right", "block", "node", "size", "component", "code").mapInArrow(run, PAIR).distinct()
 
 
 def confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -163,8 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     of rows with one id none is told apart.  An empty table gives an empty result.
     """
     rows = checkpoint(described(docs, words, id_col, text_col))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "mark")])
-    placed = nodes.select("node", "size", "mark", F.explode("keys").alias("key"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "code")])
+    placed = nodes.select("node", "size", "code", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = checkpoint(placed.join(shared, "key"))
     known = checkpoint(sets(docs, words, text_col).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
@@ -177,7 +198,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
             now = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
             open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             now = now.join(open_, "key")
-        links.append(checkpoint(confirmed(checkpoint(proposed(now, least, star, len(links))), known, least)))
+        pairs = near_one(now, least, len(links)) if star else near_others(now, least)
+        links.append(checkpoint(confirmed(checkpoint(pairs), known, least)))
         groups = components(reduce(DataFrame.unionByName, links))
     named = nodes.select("node", "first_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

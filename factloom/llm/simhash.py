@@ -36,12 +36,32 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ends, total = ends[k - 1 :].tolist(), len(parts) - k + 1
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, total, SLICE):
-        hashes = [xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])]
-        raw = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        votes += ones(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype="<u8"))
+    return majority(votes, total)
+
+
+def ones(hashes):
+    """How many of the hashes have each bit set."""
+    import numpy as np
+
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(votes, total: int) -> int:
+    """The bits that over half of ``total`` votes set, as a signed 64-bit integer."""
+    import numpy as np
+
     return int(np.packbits(2 * votes > total, bitorder="little").view("<i8")[0])
 
 
+def voted(hashes) -> int:
+    """The fingerprint of an array of shingle hashes; none: zero."""
+    import numpy as np
+
+    parts = [ones(hashes[at : at + SLICE]) for at in range(0, len(hashes), SLICE)]
+    return majority(np.sum(parts, axis=0), len(hashes)) if parts else 0
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, code) for each row of ``docs``; a null text has no words."""
     bound_batches(docs.sparkSession)
@@ -176,13 +196,20 @@ def links(codes: DataFrame, bits: int = 2) -> DataFrame:
     return turned.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """Each row's fingerprint, and the smallest id among all rows reachable over links of fingerprints.
 
+    With a ``similarity``, texts link instead if the Jaccard similarity of their sets of shingles is that or more; see
+    ``shingles``, which has no column fingerprint.
+
     Returns doc_id, fingerprint (16 hexadecimal digits), component_id, kept (doc_id = component_id).  Null and
     wordless texts have fingerprint zero and are linked like any other.  Repeated rows are repeated in the
     result; of rows with one id none is told apart.  An empty table gives an empty result.
     """
+    if similarity is not None:
+        from factloom.llm import shingles
+
+        return shingles.near_duplicates(docs, words, similarity, id_col, text_col)
     rows = checkpoint(fingerprints(docs, words, id_col, text_col))
     codes = checkpoint(rows.groupBy("code").agg(F.min("doc_id").alias("first_id")))
     groups = components(links(codes.select("code"), bits))
