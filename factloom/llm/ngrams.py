@@ -29,6 +29,8 @@ ROWS = 1 << 16
 #: Kinds of rows: a document, a bigram of frequent words, one keyed by its second word, one keyed by its first word.
 DOCUMENT, PAIR, SECOND, FIRST = range(4)
 START = 0
+#: The other word of a FIRST row has this bit turned, so that it never agrees with that of a SECOND row.
+TURNED = 1 << 62
 #: Sums are made of integers in this unit, so that they don't depend on their order.
 UNIT = 1 << 30
 
@@ -160,15 +162,15 @@ def exploded(rows: DataFrame, shared, total: int, least: int, backoff: float) ->
             pair, second, first = (u > 0) & (w > 0) & ~top, w < 0, u < 0
             kind = np.repeat(np.array([PAIR, SECOND, FIRST], dtype=np.int32), [pair.sum(), second.sum(), first.sum()])
             key = np.concatenate([u[pair] * (2 * FREQUENT) + w[pair], w[second], u[first]])
-            other = np.concatenate([np.zeros(pair.sum(), dtype=np.int64), u[second], w[first]])
+            other = np.concatenate([np.zeros(pair.sum(), dtype=np.int64), u[second], w[first] ^ TURNED])
             text = np.concatenate([text[pair], text[second], text[first]])
-            order = np.lexsort((other, key, kind, text))
+            order = np.lexsort((other, key, text))
             kind, key, other, text = kind[order], key[order], other[order], text[order]
-            fresh = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])]) if len(key) else order
+            fresh = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (text[1:] != text[:-1])]) if len(key) else order
             times = np.diff(np.r_[fresh, len(key)])
             own = row + np.arange(len(sizes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(own), DOCUMENT, dtype=np.int32)), pa.array(own), pa.array(np.zeros(len(own), dtype=np.int64)), pa.array(own), pa.array(sizes), batch.column(0), pa.array(base)], names=names
+                [pa.array(np.full(len(own), DOCUMENT, dtype=np.int32)), pa.array(own), pa.array(np.full(len(own), -1)), pa.array(own), pa.array(sizes), batch.column(0), pa.array(base)], names=names
             )
             for at in range(0, len(fresh), ROWS):
                 some = fresh[at : at + ROWS]
@@ -181,13 +183,13 @@ def exploded(rows: DataFrame, shared, total: int, least: int, backoff: float) ->
 
 def valued(grams: DataFrame, counts: DataFrame, total: int, least: int, backoff: float) -> DataFrame:
     """``exploded`` rows with ``value``, from the counts of their bigram and their words."""
-    # One shuffle, by key: both sums are over rows that it brings together.
-    dealt = grams.repartition("key")
-    same = Window.partitionBy("key", "kind", "other")
-    c2 = F.sum("times").over(same)
-    c1 = F.sum(F.when(F.col("kind") == SECOND, F.col("times"))).over(Window.partitionBy("key"))
-    counted = dealt.withColumn("c2", c2).withColumn("c1", c1)
-    kind, other = F.col("kind"), F.col("other")
+    # One shuffle, by key, and one sort: both sums are over rows that these bring together.
+    ordered = Window.partitionBy("key").orderBy("other")
+    c2 = F.sum("times").over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    c1 = F.sum(F.when(F.col("kind") == SECOND, F.col("times"))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counted = grams.repartition("key").select("*", c2.alias("c2"), c1.alias("c1"))
+    kind = F.col("kind")
+    other = F.when(kind == FIRST, F.col("other").bitwiseXOR(TURNED)).otherwise(F.col("other"))
     hit = (F.col("c2") >= least) & ~((kind == SECOND) & (other == START))
     # Of two infrequent words, the row at the first one scores a hit, and that at the second one backing off.
     elsewhere = ((kind == SECOND) & (other < 0) & hit) | ((kind == FIRST) & (other < 0) & ~hit)
