@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from factloom.llm.common import bound_batches, checkpoint
 LEAST_COUNT, BACKOFF = 2, 0.4
 #: Words with at least 1 / FREQUENT of all occurrences are broadcast, with the counts of bigrams of the TOP first ones.
 FREQUENT, TOP = 1 << 20, 1024
-#: Words a worker remembers the hashes of.
-MEMORY_WORDS = 100_000
+#: Bytes of texts that are hashed at once, up to the end of a word.
+CHUNK = 1 << 19
 #: Rows of an Arrow batch that a task returns.
 ROWS = 1 << 16
 #: Kinds of rows: a document, a bigram of frequent words, one keyed by its second word, one keyed by its first word.
@@ -33,33 +35,87 @@ START = 0
 TURNED = 1 << 62
 #: Sums are made of integers in this unit, so that they don't depend on their order.
 UNIT = 1 << 30
+SPACES = re.compile(b"[\\x09-\\x0d\\x20]")
 
 
-class Hashes(dict):
-    """word (UTF-8 bytes) -> 64-bit hash, which is negative as a signed number."""
+class Words:
+    """Hashes of words, the stretches without white space, A-Z lower-cased; all words of a chunk at once.
 
-    def __missing__(self, word):
-        from xxhash import xxh3_64_intdigest
+    A word's hash is a polynomial of its bytes' random numbers, taken from sums over the whole chunk, and mixed.
+    """
 
-        if len(self) > MEMORY_WORDS:
-            self.clear()
-        return self.setdefault(word, xxh3_64_intdigest(word) | 1 << 63)
+    def __init__(self):
+        import numpy as np
 
+        drawn = np.random.default_rng(3)
+        self.number = drawn.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
+        self.factor = int(drawn.integers(0, 2**64, dtype=np.uint64, endpoint=False)) | 1
+        self.space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
 
-def words_of(text: str | None, known: Hashes):
-    """Hashes of the text's words: stretches without white space, A-Z lower-cased.  Null has none."""
-    import numpy as np
+    def reach(self, size: int) -> None:
+        """Powers of the factor and of its inverse for chunks of ``size`` bytes."""
+        import numpy as np
 
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self.powers) <= size:
+            for name, x in (("powers", self.factor), ("inverses", pow(self.factor, -1, 2**64))):
+                setattr(self, name, np.r_[np.ones(1, dtype=np.uint64), np.cumprod(np.full(max(size, CHUNK), x, dtype=np.uint64))])
 
+    def chunk(self, raw: bytes):
+        """(hashes as negative signed numbers, where each word begins)."""
+        import numpy as np
 
-def joined_words(texts: list, known: Hashes):
-    """(hashes of all texts' words, words of each text)."""
-    import numpy as np
+        data = np.frombuffer(raw, dtype=np.uint8)
+        space = self.space[data]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        self.reach(len(data))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.number[data] * self.powers[: len(data)], out=sums[1:])
+        value = (sums[ends] - sums[starts]) * self.inverses[starts]
+        value ^= value >> np.uint64(32)
+        value *= np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        return (value | np.uint64(1 << 63)).view(np.int64), starts
+
+    def of(self, texts: list):
+        """(hashes of all texts' words, words of each text).  Null has none."""
+        import numpy as np
 
-    lists = [words_of(t, known) for t in texts]
-    return np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64), np.array([len(x) for x in lists], dtype=np.int64)
+        raws = [(t or "").encode("utf-8", "replace").lower() for t in texts]
+        sizes, found = np.zeros(len(raws), dtype=np.int64), [np.zeros(0, dtype=np.int64)]
+        held, firsts, owners, length = [], [], [], 0
+
+        def flush():
+            nonlocal held, firsts, owners, length
+            hashes, starts = self.chunk(b"\n".join(held))
+            owner = np.array(owners)[np.searchsorted(np.array(firsts), starts, side="right") - 1]
+            sizes[: len(raws)] += np.bincount(owner, minlength=len(raws))
+            found.append(hashes)
+            held, firsts, owners, length = [], [], [], 0
+
+        for i, raw in enumerate(raws):
+            for part in self.parts(raw):
+                firsts.append(length)
+                owners.append(i)
+                held.append(part)
+                length += len(part) + 1
+                if length > CHUNK:
+                    flush()
+        if held:
+            flush()
+        return np.concatenate(found), sizes
+
+    @staticmethod
+    def parts(raw: bytes):
+        """``raw`` in parts of about CHUNK bytes, none of which ends within a word."""
+        at = 0
+        while len(raw) - at > CHUNK:
+            cut = SPACES.search(raw, at + CHUNK)
+            end = cut.start() if cut else len(raw)
+            yield raw[at:end]
+            at = end
+        yield raw[at:]
 
 
 def before(words, sizes):
@@ -79,9 +135,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        known = Hashes()
+        known = Words()
         for batch in batches:
-            keys, n = np.unique(joined_words(batch.column(0).to_pylist(), known)[0], return_counts=True)
+            keys, n = np.unique(known.of(batch.column(0).to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["hash", "n"])
 
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -121,9 +177,9 @@ def pair_counts(texts: DataFrame, shared) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        frequent, known, total = shared.value, Hashes(), np.zeros(TOP * TOP, dtype=np.int64)
+        frequent, known, total = shared.value, Words(), np.zeros(TOP * TOP, dtype=np.int64)
         for batch in batches:
-            words, sizes = joined_words(batch.column(0).to_pylist(), known)
+            words, sizes = known.of(batch.column(0).to_pylist())
             words = frequent.code(words)
             total += np.bincount(frequent.first_pairs(before(words, sizes), words)[1], minlength=len(total))
         place = np.flatnonzero(total)
@@ -144,13 +200,13 @@ def exploded(rows: DataFrame, shared, total: int, least: int, backoff: float) ->
         import pyarrow as pa
         from pyspark import TaskContext
 
-        frequent, known, row = shared.value, Hashes(), TaskContext.get().partitionId() << 32
+        frequent, known, row = shared.value, Words(), TaskContext.get().partitionId() << 32
         log_count = np.log(np.maximum(frequent.count, 1))
         log_pairs = np.log(np.maximum(frequent.pairs, 1))
         step, log_total = np.log(backoff), np.log(max(total, 1))
         names = ["kind", "key", "other", "row", "times", "doc_id", "base"]
         for batch in batches:
-            words, sizes = joined_words(batch.column(1).to_pylist(), known)
+            words, sizes = known.of(batch.column(1).to_pylist())
             w = frequent.code(words)
             u = before(w, sizes)
             text = np.repeat(np.arange(len(sizes)), sizes)
@@ -213,7 +269,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     With counts c over all of ``docs`` and N words in all, a word w after u scores c(u w) / c(u) if
     c(u w) >= ``least``, else ``backoff`` * c(w) / N; a text's first word scores c(w) / N.  A text without words
     has log_score 0 and a null score.  Repeated rows count each time and are scored alike; an empty table gives
-    an empty result.  Words that aren't frequent are told apart by 63 bits of a hash.
+    an empty result.  Words are told apart by 63 bits of a hash of all their bytes.
     """
     import numpy as np
 
