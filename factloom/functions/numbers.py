@@ -13,11 +13,12 @@ MONEY = "decimal(18,2)"
 def parse_money(c: Column) -> Column:
     """An amount as decimal: with a comma, dots are thousands and the comma the decimal sign.
 
-    What follows the leading number is ignored; no leading number: null.
+    Everything but digits, commas, dots and minus signs is dropped first; what follows the leading number is ignored;
+    no leading number: null.
     """
-    bare = F.regexp_replace(trim(c), r"[\s €]", "")
+    bare = F.regexp_replace(c, r"[^0-9,.-]", "")
     plain = F.when(bare.contains(","), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
-    number = missing_if_blank(F.regexp_extract(plain, r"^([+-]?(?:\d+\.?\d*|\.\d+))", 1))
+    number = missing_if_blank(F.regexp_extract(plain, r"^(-?(?:\d+\.?\d*|\.\d+))", 1))
     return number.try_cast("decimal(30,6)").try_cast(MONEY)
 
 
@@ -26,13 +27,13 @@ def parse_number(c: Column) -> Column:
 
 
 def money_text(c: Column) -> Column:
-    return F.format_string("%.2f", c.cast("double"))
+    return F.when(c.isNotNull(), F.format_string("%.2f", c.cast("double")))
 
 
 def signed_payment(amount: Column, kind: Column) -> Column:
     """Negative amounts stay; debits and transfers out become negative."""
     out = F.lower(F.coalesce(kind, F.lit(""))).rlike("debit|ueberweisung|überweisung")
-    return F.when(amount < 0, amount).when(out, -amount).otherwise(amount)
+    return F.when(amount < 0, amount).when(out, -F.abs(amount)).otherwise(amount)
 
 
 def iso_from_german(c: Column) -> Column:
@@ -52,10 +53,10 @@ def mail_time(c: Column) -> Column:
 
 
 def utc_day(c: Column) -> Column:
-    """yyyy-MM-dd of an ISO, German or mail date; else the first ISO date within the text, else null."""
-    german = iso_from_german(c)
-    iso = missing_if_blank(F.regexp_extract(german, r"(\d{4}-\d{2}-\d{2})", 1))
-    return F.coalesce(F.date_format(mail_time(c), "yyyy-MM-dd"), iso)
+    """yyyy-MM-dd, in UTC, of a mail date or an ISO date or time; else the first ISO date within the text, else null."""
+    zoned = F.when(c.rlike(r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), trim(c).try_cast("timestamp"))
+    found = missing_if_blank(F.regexp_extract(c, r"(\d{4}-\d{2}-\d{2})", 1))
+    return F.coalesce(F.date_format(mail_time(c), "yyyy-MM-dd"), F.date_format(F.to_utc_timestamp(zoned, F.current_timezone()), "yyyy-MM-dd"), found)
 
 
 def epoch_millis(c: Column) -> Column:
@@ -66,3 +67,8 @@ def epoch_millis(c: Column) -> Column:
 def within(day: Column, start: Column, end: Column) -> Column:
     """Whether a day lies in a range; open ends and an unknown day pass."""
     return day.isNull() | ((start.isNull() | (day >= start)) & (end.isNull() | (day <= end)))
+
+
+def within_dates(day: Column, start: Column, end: Column) -> Column:
+    """``within`` for dates as text: one that can't be read counts as unknown."""
+    return within(*[F.substring(c, 1, 10).try_cast("date") for c in (day, start, end)])

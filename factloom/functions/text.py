@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Identifier families and their pattern, mail prefixes, folded letters.
-ID_PATTERN = r"(?:LIE|HAUS|EH|EIG|MIE|DL|TX|INV|EMAIL|LTR)-[A-Z0-9-]*\d+"
-VIEW_ID_PATTERN = r"(?:LIE|HAUS|EH|EIG|MIE|DL|TX|INV|EMAIL|LTR|FACT|WI|CORR)-[A-Z0-9-]*\d+"
+ID_PATTERN = r"\b(?:LIE|HAUS|EH|EIG|MIE|DL|TX|INV|EMAIL|LTR)-[A-Z0-9-]*\d+\b"
+OBSERVED_ID_PATTERN = r"\b(?:LIE|HAUS|EH|EIG|MIE|DL|TX|INV|EMAIL|THR|LTR)-[A-Z0-9-]*\d+\b"
+VIEW_ID_PATTERN = r"\b(?:LIE|HAUS|EH|EIG|MIE|DL|TX|INV|EMAIL|LTR|FACT|WI|CORR)-[A-Z0-9-]*\d+\b"
 SUBJECT_PREFIX = r"^\s*(re|aw|fw|fwd):\s*"
 FOLD_PAIRS = (("ß", "ss"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"))
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+DEFAULT_AUTHOR, AUTHOR_LENGTH = "frontend-user", 80
+NO_ROWS = "_No facts available yet._"
 # End of fixed values.
 
+def _plain_letters() -> dict[str, str]:
+    """Characters of the basic plane whose compatibility decomposition is one character and combining marks."""
+    out = {}
+    for code in [*range(0xA0, 0x3000), *range(0xFF00, 0xFFF0)]:
+        bare = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not "\u0300" <= x <= "\u036f")
+        if len(bare) == 1 and bare != chr(code) and bare.isascii():
+            out[chr(code)] = bare
+    return out
+
+
+#: For translate(): characters and what stays of them.
+PLAIN = _plain_letters()
+ACCENTED, UNACCENTED = "".join(PLAIN), "".join(PLAIN.values())
+#: Letters that decompose into several: written out where a text holds any.
+LIGATURES = {x: unicodedata.normalize("NFKD", x) for x in "ﬀﬁﬂﬃﬄﬅﬆĲĳǄǅǆǇǈǉǊǋǌǱǲǳ"}
+
 EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
 
 
@@ -31,6 +50,11 @@ def squeeze(c: Column) -> Column:
     return trim(F.regexp_replace(c, r"[\s ]+", " "))
 
 
+def normalize_whitespace(c: Column) -> Column:
+    """Runs of blanks and tabs become one blank, three or more line feeds two; none at the ends.  Line feeds stay."""
+    return trim(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
@@ -41,7 +65,7 @@ def posix_path(c: Column) -> Column:
 
 def file_stem(c: Column) -> Column:
     """A name fit for files: no extension, only A-Z a-z 0-9 _ -, at most 120 characters."""
-    bare = F.regexp_replace(c, r"\.[^./\\]*$", "")
+    bare = F.regexp_replace(c, r"\.[^.]+$", "")
     return F.substring(F.regexp_replace(F.regexp_replace(bare, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", ""), 1, 120)
 
 
@@ -57,8 +81,13 @@ def fold_search(c: Column, fold_capitals: bool = False) -> Column:
     By default capital umlauts lose their dots only, as they are met before lower-casing; ``fold_capitals`` writes
     them as pairs too.
     """
-    first = F.lower(c) if fold_capitals else c
-    plain = F.lower(F.translate(_fold(first), ACCENTED, UNACCENTED))
+    first = _fold(F.lower(c) if fold_capitals else c)
+    wide = first
+    for letter, parts in LIGATURES.items():
+        wide = F.replace(wide, F.lit(letter), F.lit(parts))
+    spread = F.when(first.rlike(f"[{''.join(LIGATURES)}]"), wide).otherwise(first)
+    # Marks that stand alone are dropped; others went with their letters.
+    plain = F.lower(F.regexp_replace(F.translate(spread, ACCENTED, UNACCENTED), "[\u0300-\u036f]", ""))
     return F.trim(F.regexp_replace(plain, "[^a-z0-9@._+-]+", " "))
 
 
@@ -113,15 +142,16 @@ def without_missing(fields: Column) -> Column:
 
 
 def month_of(date_text: Column, path: Column | None = None) -> Column:
-    """yyyy-MM of an ISO date, else of the path, else ``undated``."""
+    """yyyy-MM of an ISO date, else of a folder of the path, else ``undated``."""
     found = missing_if_blank(F.regexp_extract(date_text, r"^(\d{4}-\d{2})", 1))
-    other = missing_if_blank(F.regexp_extract(path, r"(\d{4}-\d{2})", 1)) if path is not None else F.lit(None)
+    other = missing_if_blank(F.regexp_extract(path, r"/(\d{4}-\d{2})/", 1)) if path is not None else F.lit(None)
     return F.coalesce(found, other, F.lit("undated"))
 
 
 def source_reference(ids: Column) -> Column:
-    """The first four ids, with an ellipsis if there are more."""
-    return F.concat(F.array_join(F.slice(ids, 1, 4), ", "), F.when(F.size(ids) > 4, F.lit(", ...")).otherwise(""))
+    """The first four ids in brackets, with an ellipsis if there are more; none: nothing."""
+    listed = F.concat(F.lit("["), F.array_join(F.slice(ids, 1, 4), ", "), F.when(F.size(ids) > 4, F.lit(", ...")).otherwise(""), F.lit("]"))
+    return F.when(ids.isNull() | (F.size(ids) == 0), F.lit("")).otherwise(listed)
 
 
 def first_quote(evidence: Column, most: int = 180) -> Column:
@@ -148,14 +178,22 @@ def table_line(*columns: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
 
 
+def markdown_table(headers: list[str], rows: Column) -> Column:
+    """A Markdown table of ``rows`` (array of arrays of text) with its header; without rows a note that there are none."""
+    lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |")))
+    head = F.lit(f"| {' | '.join(headers)} |\n| {' | '.join('---' for _ in headers)} |\n")
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, F.lit(NO_ROWS)).otherwise(F.concat(head, F.array_join(lines, "\n")))
+
+
 def attribute_text(c: Column) -> Column:
-    """Text safe within a quoted attribute of a protected block."""
-    return F.regexp_replace(c, "[\"<>\r\n]+", " ")
+    """Text safe within an attribute of a protected block: letters, digits and _.@- only; nothing left: DEFAULT_AUTHOR."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9_.@-]+", "-"), "^-+|-+$", "")
+    return F.coalesce(missing_if_blank(F.substring(plain, 1, AUTHOR_LENGTH)), F.lit(DEFAULT_AUTHOR))
 
 
 def protected_text(c: Column) -> Column:
-    """Text that can't end the protected block it stands in."""
-    return F.regexp_replace(c, "(?i)</?user[^>]*>", "")
+    """Text that can't end the protected block it stands in: its end tags are broken up."""
+    return trim(F.regexp_replace(c, "(?i)</user>", "</ user>"))
 
 
 def human_bytes(c: Column) -> Column:

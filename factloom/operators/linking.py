@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import within
+from factloom.functions.numbers import within_dates
+from factloom.operators.rounds import cut
 
-#: Aliases are found by their first letters; shorter ones (mail addresses, IBANs) are padded out of use.
-GRAM = 5
-#: Types that don't decide a link.
+# Types of aliases that aren't searched for, those that count at any length, the length of others, types
+# that don't decide a link, how many code units of a text are searched, how many candidates a reader is shown.
+UNSEARCHED, SHORT_ALLOWED, LEAST_LENGTH = ("id", "filename"), ("email", "iban"), 5
 WEAK_TYPES = ("property", "email", "letter")
+SEARCHED_TEXT, MOST_CANDIDATES = 60_000, 40
+# End of fixed values.
+
 CANDIDATE = ["source_id", "entity_id", "match_type", "inherited_from", "evidence"]
+#: Characters of all terms that one automaton holds; more terms are dealt over several, each of which scans the texts.
+TERM_CHARACTERS = 20_000_000
 
 
 def mention_links(mentions: DataFrame, index: DataFrame, match_type: str) -> DataFrame:
@@ -20,65 +26,133 @@ def mention_links(mentions: DataFrame, index: DataFrame, match_type: str) -> Dat
     return found.select("source_id", "entity_id", F.lit(match_type).alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.col("entity_id").alias("evidence"))
 
 
+def property_scope(sources: DataFrame, property_id: str) -> DataFrame:
+    """The candidate that every source has: the property."""
+    return sources.select("source_id", F.lit(property_id).alias("entity_id"), F.lit("property_scope").alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.lit(property_id).alias("evidence"))
+
+
 def contained(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str) -> DataFrame:
-    """Pairs of a text and a term that stands in it anywhere.
+    """Pairs (id, term) of a text and each term that stands in it anywhere, each once.
 
-    Texts and terms meet on the term's first GRAM letters, an equality, before the whole term is compared; a
-    text's distinct grams are its only rows.  Terms must have GRAM letters.
+    One scan of the texts, whatever the number of terms: the distinct terms are broadcast as an automaton that finds
+    all of them at once.  Their size is checked; past TERM_CHARACTERS they are dealt over several automata by hash,
+    one scan each.  No text is ever shuffled.  Null and empty texts and terms give nothing.
     """
-    keyed = terms.where(F.length(term_col) >= GRAM).withColumn("_gram", F.substring(term_col, 1, GRAM))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text_col) - GRAM + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.col(text_col).substr(i, F.lit(GRAM))))
-    # Only grams that some term begins with travel on.
-    wanted = keyed.select("_gram").distinct()
-    met = texts.select(id_col, F.explode(grams).alias("_gram")).join(wanted, "_gram", "left_semi")
-    pairs = met.join(keyed, "_gram").join(texts.select(id_col, text_col), id_col)
-    return pairs.where(F.contains(F.col(text_col), F.col(term_col))).drop("_gram", text_col)
+    spark = texts.sparkSession
+    distinct = terms.where(F.col(term_col).isNotNull() & (F.col(term_col) != "")).select(term_col).distinct()
+    size = distinct.agg(F.coalesce(F.sum(F.length(term_col)), F.lit(0))).first()[0]
+    shards = size // TERM_CHARACTERS + 1
+    kind = texts.schema[id_col].dataType.simpleString()
+    found = None
+    for shard in range(shards):
+        words = distinct.where(F.pmod(F.xxhash64(term_col), F.lit(shards)) == shard).toArrow().column(0).to_pylist()
+        shared = spark.sparkContext.broadcast(sorted(words))
+
+        def run(batches, shared=shared):
+            import ahocorasick
+            import pyarrow as pa
+
+            automaton = ahocorasick.Automaton()
+            for word in shared.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                ids, hits = [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    own = {word for _, word in automaton.iter(text)} if text and shared.value else ()
+                    ids += [key] * len(own)
+                    hits += own
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=batch.schema.field(0).type), pa.array(hits, type=pa.string())], names=[id_col, term_col])
+
+        part = texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{term_col}` string")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def searched_aliases(aliases: DataFrame) -> DataFrame:
+    """Aliases (alias, folded, entity_id, alias_type) that are looked for: mail addresses and IBANs of any length, others from LEAST_LENGTH on."""
+    long_enough = F.col("alias_type").isin(*SHORT_ALLOWED) | (F.length("folded") >= LEAST_LENGTH)
+    return aliases.where(~F.col("alias_type").isin(*UNSEARCHED) & (F.col("folded") != "") & long_enough)
 
 
 def alias_links(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Candidates for aliases that stand in a source's folded text (source_id, text).
 
-    ``aliases``: alias (the evidence), folded, entity_id, alias_type.  Ids and file names are no aliases here.
+    ``aliases``: alias (the evidence), folded, entity_id, alias_type.
     """
-    usable = aliases.where(~F.col("alias_type").isin("id", "filename") & (F.col("folded") != ""))
-    hits = contained(texts, usable, "source_id", "text", "folded")
+    usable = searched_aliases(aliases)
+    hits = contained(texts, usable, "source_id", "text", "folded").join(usable, "folded")
     kind = F.when(F.col("alias_type") == "email", "email").otherwise("alias")
     return hits.select("source_id", "entity_id", kind.alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.col("alias").alias("evidence")).distinct()
 
 
-def expand(direct: DataFrame, edges: DataFrame, depth: int, validity: DataFrame | None = None) -> DataFrame:
-    """Candidates for everything the direct ones relate to, step by step up to ``depth`` steps.
+def expand(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """Candidates for everything the direct ones relate to, until nothing is new.
 
     ``direct``: source_id, entity_id and day; ``edges``: from_id, to_id.  Every edge walked is a candidate, but an
-    entity is walked from once per source.  ``validity`` (entity_id, valid_from, valid_to) stops at entities whose
-    range excludes the source's day.
+    entity is walked from once per source, so that cycles end.  ``gated`` (entity_id, valid_from, valid_to) are entities,
+    tenants, from which nothing is walked on days out of their range.  Each round is written, so that plans stay short.
     """
-    seen = direct.select("source_id", "day", "entity_id").distinct()
-    front, found = seen, None
-    for _ in range(depth):
-        if validity is not None:
-            told = front.join(validity, "entity_id", "left")
-            front = told.where(within(F.col("day"), F.col("valid_from"), F.col("valid_to"))).select("source_id", "day", "entity_id")
-        walked = front.withColumnRenamed("entity_id", "from_id").join(edges, "from_id")
-        step = walked.select("source_id", F.col("to_id").alias("entity_id"), F.lit("relationship").alias("match_type"), F.col("from_id").alias("inherited_from"), F.concat_ws(" -> ", "from_id", "to_id").alias("evidence"))
-        found = step if found is None else found.unionByName(step)
-        front = walked.select("source_id", "day", F.col("to_id").alias("entity_id")).distinct().join(seen, ["source_id", "entity_id"], "left_anti").select("source_id", "day", "entity_id")
-        seen = seen.unionByName(front)
-    return found.distinct()
-
-
-def decide(types: Column) -> Column:
-    """linked if any candidate's type decides; property_only if there are others; else unlinked."""
+    front = cut(direct.select("source_id", "day", "entity_id").distinct())
+    seen, found = [front.select("source_id", "entity_id")], []
+    while True:
+        open_ = front
+        if gated is not None:
+            told = front.join(gated.withColumn("_gated", F.lit(True)), "entity_id", "left")
+            open_ = told.where(F.col("_gated").isNull() | within_dates(F.col("day"), F.col("valid_from"), F.col("valid_to"))).select("source_id", "day", "entity_id")
+        walked = cut(open_.withColumnRenamed("entity_id", "from_id").join(edges, "from_id").select("source_id", "day", "from_id", "to_id"))
+        found.append(walked.select("source_id", F.col("to_id").alias("entity_id"), F.lit("relationship").alias("match_type"), F.col("from_id").alias("inherited_from"), F.concat_ws(" -> ", "from_id", "to_id").alias("evidence")))
+        fresh = walked.select("source_id", "day", F.col("to_id").alias("entity_id")).distinct()
+        for known in seen:
+            fresh = fresh.join(known, ["source_id", "entity_id"], "left_anti")
+        front = cut(fresh.select("source_id", "day", "entity_id"))
+        if front.isEmpty():
+            break
+        seen.append(front.select("source_id", "entity_id"))
+        if len(seen) > 8:
+            # Long chains: what is known becomes one table again.
+            every = seen[0]
+            for part in seen[1:]:
+                every = every.unionByName(part)
+            seen = [cut(every)]
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.distinct()
+
+
+def building_edges(index: DataFrame, property_id: str) -> DataFrame:
+    """(from_id, to_id) from every building to the property, whether the index relates them or not."""
+    return index.where((F.col("entity_type") == "building") & (F.col("entity_id") != property_id)).select(F.col("entity_id").alias("from_id"), F.lit(property_id).alias("to_id"))
+
+
+def tenancies(index: DataFrame) -> DataFrame:
+    """(entity_id, valid_from, valid_to) of tenants."""
+    f = lambda c: F.nullif(F.trim(F.col("fields")[c]), F.lit(""))
+    return index.where("entity_type = 'tenant'").select("entity_id", f("mietbeginn").alias("valid_from"), f("mietende").alias("valid_to"))
+
+
+def decide(types: Column, has_property: Column | None = None) -> Column:
+    """linked if any candidate's type decides; property_only if the property is a candidate; else unlinked."""
     strong = F.exists(types, lambda t: ~t.isin(*WEAK_TYPES))
-    return F.when(strong, "linked").when(F.size(types) > 0, "property_only").otherwise("unlinked")
+    return F.when(strong, "linked").when((F.size(types) > 0) if has_property is None else has_property, "property_only").otherwise("unlinked")
 
 
-def link_records(sources: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
-    """(source_id, decision, candidate_count) of every source."""
-    kinds = candidates.join(index.select("entity_id", "entity_type"), "entity_id").groupBy("source_id").agg(F.collect_set("entity_type").alias("types"), F.count("*").alias("candidate_count"))
+def last_candidates(candidates: DataFrame, target: str, order: Column) -> DataFrame:
+    """Of candidates that agree in target, entity, match type, origin and evidence, the last in ``order``."""
+    key = [target, "entity_id", "match_type", "inherited_from", "evidence"]
+    others = [c for c in candidates.columns if c not in key]
+    best = candidates.groupBy(*key).agg(F.max_by(F.struct(*(others or key)), order).alias("_last"))
+    return best.select(*key, *[F.col(f"_last.{c}").alias(c) for c in others])
+
+
+def link_records(sources: DataFrame, candidates: DataFrame, index: DataFrame, target: str = "source_id", property_id: str | None = None) -> DataFrame:
+    """(target, decision, candidate_count) of every source, or of another ``target``; candidates that aren't entities don't count."""
+    own = F.lit(None).cast("boolean") if property_id is None else F.col("entity_id") == property_id
+    kinds = candidates.join(index.select("entity_id", "entity_type"), "entity_id").groupBy(target).agg(F.collect_set("entity_type").alias("types"), F.count("*").alias("candidate_count"), F.max(own).alias("scoped"))
     none = F.array().cast("array<string>")
-    return sources.select("source_id").join(kinds, "source_id", "left").select("source_id", decide(F.coalesce("types", none)).alias("decision"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
+    scoped = None if property_id is None else F.coalesce("scoped", F.lit(False))
+    return sources.select(target).join(kinds, target, "left").select(target, decide(F.coalesce("types", none), scoped).alias("decision"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
 
 
 def link_summary(records: DataFrame) -> DataFrame:
@@ -86,7 +160,23 @@ def link_summary(records: DataFrame) -> DataFrame:
     return records.agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("linked", "property_only", "unlinked", "ambiguous")])
 
 
-def item_links(items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates of work items (work_item_id, source_id): those of their sources, with the sources united."""
+def item_candidates(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(work_item_id, entity_id, match_type, inherited_from, evidence, sources): candidates of work items (work_item_id, source_id).
+
+    What the item's sources share is one candidate, with the number of sources and the first one's evidence.
+    """
     joined = items.join(candidates, "source_id")
-    return joined.groupBy("work_item_id", "entity_id", "match_type", "inherited_from").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
+    kind = F.when(F.col("match_type") == "property_scope", F.col("match_type")).otherwise("work_item_aggregate")
+    grouped = joined.groupBy("work_item_id", "entity_id", "match_type", "inherited_from").agg(F.countDistinct("source_id").alias("sources"), F.min(F.struct("source_id", "evidence")).alias("first"))
+    return grouped.select("work_item_id", "entity_id", kind.alias("match_type"), "inherited_from", "first.evidence", "sources")
+
+
+def union_records(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """Records of sources and of work items together: (target_type, target_id, decision, candidate_count)."""
+    one = lambda rows, kind, key: rows.select(F.lit(kind).alias("target_type"), F.col(key).alias("target_id"), "decision", "candidate_count")
+    return one(sources, "source", "source_id").unionByName(one(items, "work_item", "work_item_id"))
+
+
+def searched_text(path: Column, source_date: Column, declared: Column, text: Column) -> Column:
+    """What is searched for a source's links: its path, date and declared ids, then its text, cut to SEARCHED_TEXT."""
+    return F.substring(F.concat_ws("\n", path, F.coalesce(source_date, F.lit("")), F.nullif(F.array_join(declared, "\n"), F.lit("")), text), 1, SEARCHED_TEXT)

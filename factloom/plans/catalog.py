@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import naming, numbers, text
 from factloom.sources.files import applied_drops, drops
-from factloom.operators import changes, conversations, entities, extract, facts, graph, linking, registry, triage, views, workqueue
+from factloom.operators.rounds import cut
+from factloom.operators import changes, conversations, entities, extract, facts, graph, linking, registry, sections, triage, views, workqueue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Word categories for the triage query, over the tables' own words.
-TRIAGE_WORDS = {"maintenance": ["heating", "ver "], "dispute": ["anwalt", "der "], "finance": ["bank", "the "], "risk": ["wasser", "que "], "noise": ["newsletter", "los "]}
+#: The property of the stand-in tables.
+PROPERTY = "LIE-001"
 MONEY = "decimal(18,2)"
 
 
@@ -63,7 +64,7 @@ def declared_ids(t: Tables) -> DataFrame:
     parts = naming.invoice_name(F.col("path"))
     return t.supplier.select("s_suppkey", name.alias("path")).select(
         "s_suppkey", F.array_join(naming.declared_ids(F.col("path")), ",").alias("ids"), parts["date"].alias("date"), parts["contractor_id"].alias("contractor_id"), parts["duplicate"].alias("duplicate"),
-        naming.source_id(F.col("path"), naming.classify(F.col("path")), naming.declared_ids(F.col("path")), F.lit("0" * 64)).alias("source_id"),
+        naming.source_id(F.col("path"), naming.declared_ids(F.col("path")), F.lit("0" * 64)).alias("source_id"),
     )
 
 
@@ -81,13 +82,13 @@ def exact_dedup(t: Tables) -> DataFrame:
 @query
 def duplicate_aliases(t: Tables) -> DataFrame:
     marked = registry.mark_duplicates(hashed_documents(t), "doc_id", "raw_sha256", "doc_id")
-    return registry.registry_aliases(marked, "doc_id").select("doc_id", F.array_join(F.transform("aliases", lambda x: x.cast("string")), ",").alias("aliases"))
+    return registry.registry_aliases(marked, "doc_id")
 
 
 def _registry(t: Tables) -> DataFrame:
-    marked = registry.mark_duplicates(hashed_documents(t), "doc_id", "raw_sha256", "doc_id")
     kind = F.when(F.col("source") == "src1", "unknown").otherwise("email")
-    return marked.select("doc_id", registry.registry_status(kind, F.lit("discovered"), F.col("duplicate_of")).alias("status"))
+    marked = registry.mark_duplicates(hashed_documents(t), "doc_id", "raw_sha256", "doc_id", kind != "unknown")
+    return marked.select("doc_id", registry.registry_status(kind, F.lit("discovered"), F.col("duplicate_of")).alias("status"), "duplicate_of")
 
 
 @query
@@ -98,7 +99,7 @@ def dedup_summary(t: Tables) -> DataFrame:
 @query
 def status_sync(t: Tables) -> DataFrame:
     manifest = t.documents.select("doc_id", F.lit("discovered").alias("status"))
-    return registry.synced_status(manifest, _registry(t).where("doc_id % 2 = 0"), "doc_id")
+    return registry.synced_status(manifest, _registry(t), "doc_id")
 
 
 def _order_versions(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -146,14 +147,13 @@ def delta_listing(t: Tables) -> DataFrame:
 
 @query
 def thread_group(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn", F.concat_ws(":", F.col("turn").cast("string"), "role").alias("member"))
-    return workqueue.group_items(rows, "email_thread", ["conv_id"], "member", "turn").select("conv_id", "source_count", "source_ids", "work_item_id")
+    rows = t.conversations.select("conv_id", F.concat_ws(":", F.lpad(F.col("turn").cast("string"), 6, "0"), "role").alias("member"))
+    return workqueue.group_items(rows, "email_thread", ["conv_id"], "member").select("conv_id", "source_count", "first_source", "last_source", "work_item_id")
 
 
 @query
 def thread_glimpse(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn", "role", F.substring("text", 1, 12).alias("hint"))
-    return workqueue.glimpse(rows, "conv_id", "turn", "role", "hint", 4)
+    return workqueue.glimpse(t.conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text", 4)
 
 
 @query
@@ -176,13 +176,13 @@ def mail_threads(t: Tables) -> DataFrame:
         F.array(text.message_id(F.concat(F.lit("<"), F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string")), F.lit("@x>")))).alias("references"),
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("fallback"),
     ).dropDuplicates(["source_id"])
-    return workqueue.threads(rows).select("thread_key", F.array_join("members", ",").alias("members"))
+    return workqueue.threads(rows)
 
 
 @query
 def invoice_group(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("id"))
-    return workqueue.group_items(rows, "invoice_group", ["l_suppkey", "l_orderkey"], "id", "id").select("l_suppkey", "l_orderkey", "source_count", "source_ids")
+    rows = t.lineitem.select("l_suppkey", "l_orderkey", F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")]).alias("id"))
+    return workqueue.group_items(rows, "invoice_group", ["l_suppkey", "l_orderkey"], "id").select("l_suppkey", "l_orderkey", "source_count", "first_source", "last_source", "work_item_id")
 
 
 @query
@@ -242,7 +242,7 @@ def relation_edges(t: Tables) -> DataFrame:
 @query
 def mention_join(t: Tables) -> DataFrame:
     # Every document names an entity by its id; those of even number exist.
-    body = F.concat(F.lit("ref DL-"), (F.col("doc_id") % 400).cast("string"), F.lit(", MIE-"), (F.col("doc_id") % 7000).cast("string"), F.lit(" "), F.substring("text", 1, 200))
+    body = F.concat(F.lit("ref DL-"), (F.col("doc_id") % 400).cast("string"), F.lit(", MIE-"), (F.col("doc_id") % 7000).cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))
     named = t.documents.select(F.col("doc_id").alias("source_id"), F.explode(text.mentions(body)).alias("entity_id"))
     return linking.mention_links(named, _index(t), "mention").select("source_id", "entity_id", "match_type")
 
@@ -253,20 +253,25 @@ def mail_address_join(t: Tables) -> DataFrame:
     return found.groupBy("email").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
+def _terms(t: Tables) -> DataFrame:
+    """Words of part names, whole benchmark passages, and a mail address shorter than other aliases may be."""
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("w")).unionByName(t.benchmark.select(F.col("text").alias("w"))).withColumn("alias_type", F.lit("name"))
+    short = t.spark.range(1).select(F.explode(F.array(F.lit("a@b"), F.lit("der"))).alias("w"), F.lit("email").alias("alias_type"))
+    return words.unionByName(short).select(F.col("w").alias("alias"), text.fold_search(F.col("w")).alias("folded"), F.col("w").alias("entity_id"), "alias_type").distinct()
+
+
 @query
 def alias_contains(t: Tables) -> DataFrame:
     folded = t.documents.select(F.col("doc_id").cast("string").alias("source_id"), text.fold_search(F.col("text")).alias("text"))
-    words = t.part.select(F.explode(F.split("p_name", " ")).alias("w")).unionByName(t.benchmark.select(F.substring("text", 1, 24).alias("w")))
-    terms = words.select(F.col("w").alias("alias"), text.fold_search(F.col("w")).alias("folded")).distinct().select("alias", "folded", F.col("alias").alias("entity_id"), F.lit("name").alias("alias_type"))
-    return linking.alias_links(folded, terms).select("source_id", "entity_id", "match_type")
+    return linking.alias_links(folded, _terms(t)).select("source_id", F.sha2("entity_id", 256).alias("entity"), "match_type")
 
 
 def _direct(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("source_id"), tagged("MIE-", "o_custkey").alias("entity_id"), day("o_orderdate").alias("day"))
+    return t.orders.select(F.col("o_orderkey").cast("string").alias("source_id"), tagged("MIE-", "o_custkey").alias("entity_id"), day("o_orderdate").alias("day"))
 
 
 def _closure(t: Tables) -> DataFrame:
-    return linking.expand(_direct(t), entities.relation_edges(_index(t)), 3)
+    return linking.expand(_direct(t), entities.relation_edges(_index(t)))
 
 
 @query
@@ -274,6 +279,14 @@ def closure(t: Tables) -> DataFrame:
     return _closure(t).select("source_id", "entity_id", "inherited_from")
 
 
+@query
+def gated_closure(t: Tables) -> DataFrame:
+    """Tenancies end with the customer's number in days after 1995: later orders are not expanded."""
+    end = F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 1500).cast("int")), "yyyy-MM-dd")
+    gated = t.customer.select(tagged("MIE-", "c_custkey").alias("entity_id"), F.lit(None).cast("string").alias("valid_from"), end.alias("valid_to"))
+    return linking.expand(_direct(t), entities.relation_edges(_index(t)), gated).select("source_id", "entity_id", "inherited_from")
+
+
 @query
 def temporal_validity(t: Tables) -> DataFrame:
     ranges = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("valid_from"), F.max("l_shipdate").alias("valid_to"))
@@ -285,7 +298,7 @@ def temporal_validity(t: Tables) -> DataFrame:
 @query
 def link_decision(t: Tables) -> DataFrame:
     sources = t.orders.select(F.col("o_orderkey").cast("string").alias("source_id"))
-    candidates = _closure(t).where("cast(source_id AS bigint) % 2 = 0")
+    candidates = _closure(t)
     return linking.link_records(sources, candidates, _index(t))
 
 
@@ -294,6 +307,19 @@ def link_summary(t: Tables) -> DataFrame:
     return linking.link_summary(link_decision(t))
 
 
+@query
+def item_candidates(t: Tables) -> DataFrame:
+    """Orders of one customer as a work item, with what its orders relate to."""
+    items = t.orders.select(tagged("WI-", "o_custkey").alias("work_item_id"), F.col("o_orderkey").cast("string").alias("source_id"))
+    return linking.item_candidates(items, _closure(t)).select("work_item_id", "entity_id", "match_type", "inherited_from", "sources")
+
+
+@query
+def last_candidates(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_orderkey").alias("source_id"), tagged("DL-", "l_suppkey").alias("entity_id"), F.lit("alias").alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.col("l_returnflag").alias("evidence"), F.col("l_linenumber").cast("long").alias("reason"))
+    return linking.last_candidates(rows, "source_id", F.col("reason")).select("source_id", "entity_id", "evidence", "reason")
+
+
 # -- observations and facts --------------------------------------------------------------------------------------
 
 
@@ -311,14 +337,42 @@ def _relations(t: Tables) -> DataFrame:
     return every
 
 
+def _enveloped(rows: DataFrame, source: Column, item: str) -> DataFrame:
+    """``rows`` as records of a source: its artifact, work item and input hash."""
+    return rows.select("*", source.alias("source_id"), F.concat(F.lit("n/"), source).alias("artifact"), F.lit(item).alias("work_item_id"), F.lit("h0").alias("input_hash"), F.lit(None).cast("string").alias("field"))
+
+
 @query
 def relationships(t: Tables) -> DataFrame:
-    return extract.relationships(_relations(t)).select("observation_id", "subject_id", "statement", "decision")
+    found = extract.relationships(_enveloped(_relations(t), F.lit("MASTER"), "WI-M"), PROPERTY)
+    return found.select("observation_id", "statement", "decision", F.array_join("mentions", ",").alias("mentions"))
+
+
+def _masters(t: Tables) -> DataFrame:
+    """Nations as buildings, customers as tenants, suppliers as contractors, as rows of master data."""
+    row = lambda *pairs: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in pairs])
+    nations = t.nation.select(F.lit("data/stammdaten/gebaeude.csv").alias("path"), row("id", tagged("HAUS-", "n_nationkey"), "name", F.col("n_name")).alias("row"))
+    customers = t.customer.select(F.lit("data/stammdaten/mieter.csv").alias("path"), row("id", tagged("MIE-", "c_custkey"), "vorname", F.col("c_mktsegment"), "nachname", F.col("c_name"), "einheit_id", tagged("EH-", "c_nationkey"), "mietbeginn", F.lit("1994-01-01")).alias("row"))
+    suppliers = t.supplier.select(F.lit("data/stammdaten/dienstleister.csv").alias("path"), row("id", tagged("DL-", "s_suppkey"), "firma", F.col("s_name")).alias("row"))
+    return nations.unionByName(customers).unionByName(suppliers)
 
 
 @query
 def entity_profiles(t: Tables) -> DataFrame:
-    return extract.entity_profiles(_index(t)).select("observation_id", "subject_id", "statement")
+    return extract.entity_profiles(_enveloped(_masters(t), F.lit("MASTER"), "WI-M")).select("observation_id", "statement", "kind")
+
+
+@query
+def master_relations(t: Tables) -> DataFrame:
+    return extract.relationship_rows(_masters(t), PROPERTY).select("relation", "from_id", "to_id", "valid_from", "valid_to")
+
+
+@query
+def owner_units(t: Tables) -> DataFrame:
+    """Suppliers as owners of three parts each, listed in one field."""
+    units = F.concat_ws(";", *[F.concat(F.lit(" EH-"), (F.col("s_suppkey") * k % 97).cast("string")) for k in (1, 2, 3)], F.lit(""))
+    rows = t.supplier.select(F.lit("data/stammdaten/eigentuemer.csv").alias("path"), F.create_map(F.lit("id"), tagged("EIG-", "s_suppkey"), F.lit("einheit_ids"), units).alias("row"))
+    return extract.relationship_rows(rows, PROPERTY).select("relation", "from_id", "to_id")
 
 
 def _payments(t: Tables) -> DataFrame:
@@ -332,19 +386,59 @@ def _payments(t: Tables) -> DataFrame:
     )
 
 
+def _bank_rows(t: Tables) -> DataFrame:
+    names = {"id": "payment_id", "datum": "date", "typ": "type", "betrag": "amount", "gegen_name": "party", "verwendungszweck": "reference", "error_types": "error_types"}
+    row = F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    return _enveloped(_payments(t).select(F.col("source_id").alias("line"), row.alias("row"), F.lit(1).cast("long").alias("line_no")), F.col("line"), "WI-B")
+
+
+def _payment_obs(t: Tables) -> DataFrame:
+    return extract.payments(_bank_rows(t), PROPERTY)
+
+
 @query
 def payment_obs(t: Tables) -> DataFrame:
-    return extract.payments(_payments(t)).select("observation_id", "subject_id", "statement", "decision", "event_date")
+    return _payment_obs(t).select("observation_id", "source_id", "statement", "decision", F.array_join("mentions", ",").alias("mentions"))
 
 
 @query
-def invoice_review(t: Tables) -> DataFrame:
-    rows = t.orders.select(
-        F.concat(F.lit("INV-"), F.when(F.col("o_orderkey") % 11 == 0, "DUP-").otherwise(""), F.col("o_orderkey").cast("string")).alias("invoice_id"), F.col("o_orderkey").cast("string").alias("number"),
-        day("o_orderdate").alias("date"), tagged("DL-", "o_custkey").alias("contractor"), numbers.money_text(F.col("o_totalprice").cast(MONEY)).alias("gross"),
-        F.lit(None).cast("string").alias("net"), F.when(F.col("o_orderstatus") == "F", "19%").alias("vat"), F.col("o_orderkey").alias("source_id"),
+def statement_rows(t: Tables) -> DataFrame:
+    """Rows of a bank statement, with other columns, German dates and no number of their own."""
+    row = F.create_map(F.lit("Buchungstag"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("Buchungstext"), F.col("o_orderpriority"), F.lit("Betrag"), F.col("o_totalprice").cast(MONEY).cast("string"))
+    rows = _enveloped(t.orders.select(row.alias("row"), F.col("o_orderkey").alias("line_no")), F.lit("BANK-BASE"), "WI-B")
+    return extract.payments(rows, PROPERTY).select("statement", "decision")
+
+
+def _invoice_rows(t: Tables) -> DataFrame:
+    number = F.concat(F.lit("INV-"), F.when(F.col("o_orderkey") % 11 == 0, "DUP-").otherwise(""), F.col("o_orderkey").cast("string"))
+    row = F.create_map(
+        F.lit("id"), number, F.lit("rechnungsnr"), F.col("o_orderkey").cast("string"), F.lit("datum"), day("o_orderdate"), F.lit("dienstleister_id"), tagged("DL-", "o_custkey"),
+        F.lit("brutto"), numbers.money_text(F.col("o_totalprice").cast(MONEY)), F.lit("netto"), F.lit(None).cast("string"), F.lit("mwst"), F.when(F.col("o_orderstatus") == "F", "19%"),
     )
-    return extract.invoices(rows, F.to_json(F.struct("invoice_id", "number"))).select("subject_id", "statement", "decision", "primary_entity_id")
+    rows = t.orders.select(F.map_filter(row, lambda _, v: v.isNotNull()).alias("row"), F.col("o_orderkey").alias("line_no"), F.array().cast("array<string>").alias("declared_ids"), F.lit(None).cast("string").alias("source_date"))
+    return _enveloped(rows, F.lit("INDEX-BASE"), "WI-M")
+
+
+@query
+def invoice_review(t: Tables) -> DataFrame:
+    found = facts.scoped(extract.invoices(_invoice_rows(t), PROPERTY))
+    return found.select("subject_id", "statement", "decision", "primary_entity_id", "fact_kind")
+
+
+@query
+def mail_obs(t: Tables) -> DataFrame:
+    row = F.map_filter(F.create_map(F.lit("id"), tagged("EMAIL-", "conv_id"), F.lit("thread_id"), F.when(F.col("turn") % 2 == 0, tagged("THR-", "conv_id")), F.lit("subject"), F.col("role"), F.lit("datetime"), F.col("turn").cast("string")), lambda _, v: v.isNotNull())
+    rows = t.conversations.select(row.alias("row"), F.col("turn").alias("line_no"), F.array().cast("array<string>").alias("declared_ids"), F.lit(None).cast("string").alias("source_date"))
+    found = facts.scoped(extract.mails(_enveloped(rows, F.lit("INDEX-MAIL"), "WI-M"), PROPERTY))
+    return found.select("statement", "decision", "subject_id", F.array_join(F.array_sort("entities"), ",").alias("entities"))
+
+
+@query
+def letter_obs(t: Tables) -> DataFrame:
+    row = F.map_filter(F.create_map(F.lit("letterId"), tagged("LTR-", "o_orderkey"), F.lit("letterType"), F.lower("o_orderpriority"), F.lit("date"), day("o_orderdate"), F.lit("subject"), F.when(F.col("o_orderstatus") == "F", "Mahnung"), F.lit("amount"), F.when(F.col("o_orderstatus") == "O", "1.00")), lambda _, v: v.isNotNull())
+    decided = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("TOP 1: x"), F.lit("TOP 2: y"))).otherwise(F.array().cast("array<string>"))
+    rows = t.orders.select(row.alias("row"), decided.alias("decisions"), F.array().cast("array<string>").alias("declared_ids"), F.lit(None).cast("string").alias("source_date"))
+    return extract.letters(_enveloped(rows, F.concat(F.lit("LTR-"), "row.letterId"), "WI-L"), PROPERTY).select("statement", "decision", "kind")
 
 
 @query
@@ -360,13 +454,40 @@ def date_normalize(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", numbers.iso_from_german(german).alias("from_german"), numbers.utc_day(mail).alias("from_mail"), numbers.epoch_millis(day("o_orderdate")).alias("millis"))
 
 
+def _relation_obs(t: Tables) -> DataFrame:
+    return extract.relationships(_enveloped(_relations(t), F.lit("MASTER"), "WI-M"), PROPERTY)
+
+
+def _scoped(t: Tables) -> DataFrame:
+    return facts.scoped(extract.union(_payment_obs(t), _relation_obs(t))).withColumn("kind", F.col("fact_kind"))
+
+
 def _facts(t: Tables) -> DataFrame:
-    return facts.reduce_observations(extract.union(extract.payments(_payments(t)), extract.relationships(_relations(t))))
+    return facts.reduce_observations(_scoped(t), facts.SCOPED)
 
 
 @query
 def fact_reduce(t: Tables) -> DataFrame:
-    return _facts(t).select("fact_id", "kind", "subject_id", "statement", "decision", "event_date", "merged", F.array_join("source_ids", ",").alias("source_ids"))
+    return _facts(t).select("fact_id", "kind", "subject_id", "statement", "decision", "event_date", "primary_entity_id", "relationship_type", "from_entity_id", "to_entity_id", "merged", "source_count", "first_source")
+
+
+@query
+def fact_sources(t: Tables) -> DataFrame:
+    return facts.fact_sources(_scoped(t), _facts(t))
+
+
+@query
+def fact_entities(t: Tables) -> DataFrame:
+    return facts.fact_entities(_scoped(t), _facts(t))
+
+
+@query
+def fact_kinds(t: Tables) -> DataFrame:
+    """Every kind of observation, dealt over the events, and the kind of fact it gives."""
+    kinds = [*facts.FACT_KINDS, *facts.SEMANTIC_KINDS, "entity_profile", "odd"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    entity = F.element_at(F.array(*map(F.lit, [*facts.ENTITY_KINDS, "letter"])), (F.col("user_id") % 7 + 1).cast("int"))
+    return t.events.select("event_id", kind.alias("observed"), entity.alias("entity_type")).withColumn("kind", facts.fact_kind(F.col("observed"), F.col("entity_type"))).groupBy("observed", "kind").agg(F.count("*").alias("n"))
 
 
 @query
@@ -394,9 +515,15 @@ def facts_by_entity(t: Tables) -> DataFrame:
 # -- changes -----------------------------------------------------------------------------------------------------
 
 
-def _changed(t: Tables) -> DataFrame:
+def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the orders: some only in the first, some only in the second, some with another status."""
     previous = t.orders.where("o_orderkey % 5 <> 1").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     following = t.orders.where("o_orderkey % 5 <> 2").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 3, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_orderpriority")
+    return previous, following
+
+
+def _changed(t: Tables) -> DataFrame:
+    previous, following = _versions(t)
     return changes.change_set(previous, following, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
@@ -405,11 +532,25 @@ def change_set(t: Tables) -> DataFrame:
     return _changed(t)
 
 
+@query
+def change_summary(t: Tables) -> DataFrame:
+    previous, following = _versions(t)
+    return changes.change_summary(changes.compare(previous, following, "o_orderkey", ["o_orderstatus", "o_orderpriority"]))
+
+
 @query
 def affected_views(t: Tables) -> DataFrame:
-    kinds = F.when(F.col("o_orderstatus") == "F", "payment").when(F.col("o_orderstatus") == "O", "invoice").otherwise("communication")
-    changed = _changed(t).join(t.orders, "o_orderkey").select(kinds.alias("kind"), F.array(tagged("MIE-", "o_custkey")).alias("entities"))
-    return changes.affected_views(changed, "kind", "entities")
+    kinds = F.when(F.col("o_orderstatus") == "F", "payment").when(F.col("o_orderstatus") == "O", "decision").otherwise("communication_event")
+    none = F.lit(None).cast("string")
+    changed = _changed(t).join(t.orders, "o_orderkey").select(kinds.alias("kind"), tagged("MIE-", "o_custkey").alias("subject_id"), none.alias("primary_entity_id"), none.alias("from_entity_id"), none.alias("to_entity_id"), F.array(tagged("PART-", "o_custkey")).alias("entities"))
+    return changes.affected_views(changed, changes.changed_entities(changed, PROPERTY), _index(t), PROPERTY)
+
+
+@query
+def changed_entities(t: Tables) -> DataFrame:
+    none = F.lit(None).cast("string")
+    changed = _changed(t).join(t.orders, "o_orderkey").select(tagged("INV-", "o_orderkey").alias("subject_id"), tagged("MIE-", "o_custkey").alias("primary_entity_id"), none.alias("from_entity_id"), none.alias("to_entity_id"), F.array(tagged("MIE-", "o_custkey")).alias("entities"))
+    return changes.changed_entities(changed, PROPERTY)
 
 
 # -- views -------------------------------------------------------------------------------------------------------
@@ -439,7 +580,7 @@ def category_topk(t: Tables) -> DataFrame:
 
 @query
 def recent_payments(t: Tables) -> DataFrame:
-    return views.latest(_signed(t).select("payment_id", "date", "source_id", F.col("signed").cast("double").alias("signed")), "date", ["payment_id", "source_id"], views.LATEST["payments"])
+    return views.latest(_signed(t).select("payment_id", "date", "source_id", F.col("signed").cast("double").alias("signed")), "date", ["payment_id", "source_id"], sections.LATEST["payments"])
 
 
 @query
@@ -491,14 +632,68 @@ def patch_log(t: Tables) -> DataFrame:
 
 @query
 def user_blocks(t: Tables) -> DataFrame:
-    body = F.concat(F.lit('a <user id="1">'), F.substring("html", 1, 40), F.lit("</user> b <user>"), F.col("url"), F.lit("</user>"))
-    return t.pages.select("page_id", F.size(views.user_blocks(body)).cast("long").alias("blocks"), views.blocks_unchanged(body, F.concat(body, F.lit(" end"))).alias("unchanged"))
+    body = F.concat(F.lit('a <USER id="1">'), F.coalesce("html", F.lit("")), F.lit("</User> b <user>"), F.coalesce("url", F.lit("")), F.lit("</user>"))
+    found = views.user_blocks(body)
+    return t.pages.select("page_id", F.size(found).cast("long").alias("blocks"), F.length(F.array_join(found, "")).cast("long").alias("chars"), views.blocks_unchanged(body, F.concat(body, F.lit(" end"))).alias("unchanged"), views.blocks_unchanged(body, F.replace(body, F.lit(' id="1"'), F.lit(""))).alias("edited"))
+
+
+@query
+def protected_edits(t: Tables) -> DataFrame:
+    block = views.protected_block(F.concat(F.lit("--a b/"), "source"), F.concat(F.lit(" </USER>"), F.coalesce("text", F.lit("")), F.lit("</user> ")))
+    return t.documents.select("doc_id", F.sha2(block, 256).alias("block"))
+
+
+@query
+def section_markers(t: Tables) -> DataFrame:
+    """Every document's text as a managed section, wrapped and read back."""
+    made = t.documents.select("doc_id", views.wrapped(F.concat(F.lit("s"), F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))).alias("w"))
+    found = views.sections_of(made, "doc_id", "w")
+    return found.select("doc_id", "section_id", "marked_hash", (views.content_hash(F.col("content")) == F.col("marked_hash")).alias("whole"))
+
+
+@query
+def note_append(t: Tables) -> DataFrame:
+    text_ = F.concat(F.lit("# Context\n\n"), F.when(F.col("n_nationkey") % 3 == 0, "## Human And Agent Notes\n\nold\n").when(F.col("n_nationkey") % 3 == 1, "<!-- BCE:SECTION a START hash=0 -->\n").otherwise(""), "n_name")
+    return t.nation.select("n_nationkey", views.with_note(text_, F.lit(" look "), F.lit("why "), "T").alias("text"))
+
+
+def _edited(t: Tables) -> DataFrame:
+    """Documents with some lines changed, some dropped and one in front."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    changed = F.transform(lines, lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("edited "), x)).when(i % 7 == 3, F.lit(None)).otherwise(x))
+    return t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("before"), F.concat(F.lit("first\n"), F.array_join(F.filter(changed, lambda x: x.isNotNull()), "\n")).alias("after"))
 
 
 @query
 def line_diff(t: Tables) -> DataFrame:
-    pairs = t.documents.select("doc_id", F.col("text").alias("before"), F.concat(F.lit("first\n"), F.col("text")).alias("after"))
-    return views.line_diffs(pairs, "doc_id", "before", "after")
+    return views.line_diffs(_edited(t), "doc_id", "before", "after")
+
+
+def _context(t: Tables) -> sections.Sections:
+    told = facts.scoped(extract.union(_payment_obs(t), _relation_obs(t), extract.entity_profiles(_enveloped(_masters(t), F.lit("MASTER"), "WI-M")), extract.invoices(_invoice_rows(t), PROPERTY))).withColumn("kind", F.col("fact_kind"))
+    # Written once: a section reads facts several times.
+    made = cut(facts.reduce_observations(told, facts.SCOPED).drop("entity_id"))
+    return sections.Sections(made, facts.fact_sources(told, made), facts.fact_entities(told, made), facts.fact_evidence(told, made), _index(t), PROPERTY)
+
+
+@query
+def context_financials(t: Tables) -> DataFrame:
+    return _context(t).financials()
+
+
+@query
+def context_provenance(t: Tables) -> DataFrame:
+    return _context(t).provenance()
+
+
+@query
+def context_contractors(t: Tables) -> DataFrame:
+    return _context(t).entity_table("contractors").select("part", "line")
+
+
+@query
+def context_invoices(t: Tables) -> DataFrame:
+    return _context(t).invoices().where("part IN (0, 2)").select("part", "line")
 
 
 # -- graph -------------------------------------------------------------------------------------------------------
@@ -530,7 +725,9 @@ def relation_notes(t: Tables) -> DataFrame:
 
 
 def _triaged(t: Tables) -> DataFrame:
-    scored = triage.score(t.documents.select(F.col("doc_id").alias("id"), "text", "n_chars"), TRIAGE_WORDS)
+    # Ends of sentences in the categories' own language, by the document's number, for texts that hold few of its words.
+    added = F.element_at(F.array(*map(F.lit, ["", " Die Heizung ist defekt.", " Newsletter", " Frist bis zum Montag, Gefahr", " Überweisung der Miete", " Einspruch! Anwalt"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    scored = triage.score(t.documents.select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), added).alias("text"), "n_chars"))
     size = F.floor(F.col("n_chars") / 1000).cast("int")
     return scored.withColumn("size", size).withColumn("priority", triage.priority(F.col("score"), F.col("size"), F.lit(False)))
 
@@ -548,7 +745,25 @@ def triage_select(t: Tables) -> DataFrame:
 @query
 def semantic_default(t: Tables) -> DataFrame:
     chosen = triage.select(_triaged(t), triage.DEEP_LIMIT).where("decision = 'deep_extract'")
-    return triage.extract(chosen.select("id", "text"), None).select("id", "decision")
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen.select("id")), "id", "left_semi")
+    return triage.extract(texts, None).select("id", "decision")
+
+
+@query
+def triage_decisions(t: Tables) -> DataFrame:
+    """Orders as work items, every second one a mail thread."""
+    text_ = F.when(F.col("o_orderstatus") == "F", "Mahnung wegen Rechnung").when(F.col("o_orderstatus") == "O", "Werbung").otherwise("hallo")
+    items = t.orders.select(F.col("o_orderkey").cast("string").alias("work_item_id"), F.lit("h").alias("input_hash"), F.when(F.col("o_orderkey") % 2 == 0, "email_thread").otherwise("bank_group").alias("kind"), (F.col("o_orderkey") % 11).cast("int").alias("sources"), F.lit(False).alias("recent"), text_.alias("text"))
+    return triage.decide(items).select("work_item_id", F.array_join("categories", ",").alias("categories"), "decision", "decision_id")
+
+
+@query
+def semantic_filter(t: Tables) -> DataFrame:
+    """Answers of a supposed extractor: a fact that cites its own source, and every third one another's."""
+    cited = F.when(F.col("o_orderkey") % 3 == 0, "EMAIL-0").otherwise(tagged("EMAIL-", "o_orderkey"))
+    fact = F.concat(F.lit('{"facts":[{"kind":"issue","subtype":"leak","summary":"s","primaryEntityId":"MIE-'), F.col("o_custkey").cast("string"), F.lit('","entities":["HAUS-9"],"evidence":[{"sourceId":"'), cited, F.lit('","quote":" q "}]}]}'))
+    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("work_item_id"), F.lit("h").alias("input_hash"), fact.alias("answer"), F.array(tagged("EMAIL-", "o_orderkey")).alias("source_ids"), F.array(tagged("MIE-", "o_custkey")).alias("allowed"))
+    return triage.supported(rows, PROPERTY).select("work_item_id", "kind", "decision", F.array_join("mentions", ",").alias("mentions"), F.get_json_object("attributes", "$.primaryEntityId").alias("primary"), F.get("evidence", F.lit(0))["quote"].alias("quote"), "source_id")
 
 
 # -- scalar functions and conversations ------------------------------------------------------------------------------
@@ -561,10 +776,56 @@ def json_fields(t: Tables) -> DataFrame:
 
 @query
 def folded_text(t: Tables) -> DataFrame:
+    whole = F.coalesce("text", F.lit(""))
     return t.documents.select(
-        "doc_id", text.sha256(text.fold_triage(F.col("text"))).alias("folded"), text.file_stem(F.concat(F.substring("text", 1, 30), F.lit(".txt"))).alias("stem"),
-        text.subject_key(F.concat(F.lit("Re: AW:  "), F.substring("text", 1, 10))).alias("subject"), text.month_of(F.lit(""), F.concat(F.lit("x/2024-0"), (F.col("doc_id") % 9 + 1).cast("string"))).alias("month"),
+        "doc_id", text.sha256(text.fold_triage(whole)).alias("folded"), text.file_stem(F.concat(whole, F.lit(".txt"))).alias("stem"),
+        F.sha2(F.coalesce(text.subject_key(F.concat(F.lit("Re: AW:  "), whole)), F.lit("")), 256).alias("subject"), text.month_of(F.lit(""), F.concat(F.lit("x/2024-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("/y"))).alias("month"),
+    )
+
+
+@query
+def searched_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.sha256(text.fold_search(F.coalesce("text", F.lit("")))).alias("folded"), text.sha256(text.normalize_whitespace(F.coalesce("text", F.lit("")))).alias("spaced"))
+
+
+@query
+def pdf_fields(t: Tables) -> DataFrame:
+    """Orders printed as invoices, and what is read back from them."""
+    printed = F.concat(
+        F.lit("Firma\nRechnung RE-"), F.col("o_orderkey").cast("string"), F.lit("\nKundennr.: K"), F.col("o_custkey").cast("string"), F.lit(" \nDatum:  "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("\n\n\n\nSumme netto: "),
+        F.translate(F.format_number(F.col("o_totalprice").cast(MONEY), 2), ",.", ".,"), F.lit(" EUR\nGesamtbetrag brutto: 1,5 EUR\nIBAN DE02 1203 0000 0000 2020 51\n"),
     )
+    f = naming.invoice_fields(F.col("p"))
+    return t.orders.select("o_orderkey", printed.alias("p")).select("o_orderkey", *[f[c].alias(c) for c in ("invoice_number", "customer_number", "invoice_date", "net_amount", "vat_amount", "gross_amount", "iban", "title")])
+
+
+@query
+def letter_names(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("data/briefe/2024-01/20240131_etv_"), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")), F.when(F.col("o_orderkey") % 2 == 0, "_LTR-").otherwise("-LTR-"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
+    f = naming.letter_name(F.col("p"))
+    return t.orders.select("o_orderkey", name.alias("p")).select("o_orderkey", naming.classify(F.col("p")).alias("kind"), *[f[c].alias(c) for c in ("date", "letter_type", "letter_id")])
+
+
+@query
+def table_render(t: Tables) -> DataFrame:
+    rows = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.array(F.col("n_name"), F.concat(F.lit("a|b"), F.col("n_nationkey").cast("string"))))).alias("r"))
+    joined = t.region.join(rows, F.col("r_regionkey") == F.col("n_regionkey"), "left").withColumn("r", F.when(F.col("r_name") != "ASIA", F.col("r")))
+    return joined.select("r_name", text.markdown_table(["Name", "Key"], F.col("r")).alias("text"), text.source_reference(F.transform("r", lambda x: x[0])).alias("ref"))
+
+
+@query
+def chat_rows(t: Tables) -> DataFrame:
+    """Conversations as stored messages: the assistant's with a tool call each second turn."""
+    kind = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai").otherwise("tool")
+    call = F.array(F.struct(F.lit("find").alias("name"), F.concat(F.lit('{"n":'), F.col("turn").cast("string"), F.lit("}")).alias("args")))
+    states = t.conversations.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("place"), kind.alias("type"), "text", F.lit(None).cast("string").alias("name"), F.when((F.col("turn") % 2 == 0) & (kind == "ai"), call).alias("calls"))
+    return conversations.chat_rows(states).groupBy("thread_id", "role").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@query
+def activity_rows(t: Tables) -> DataFrame:
+    updates = t.conversations.select(F.col("conv_id").alias("key"), F.col("turn").alias("place"), F.lit("model").alias("step"), F.when(F.col("turn") % 3 == 0, "tool").otherwise("ai").alias("type"), "text", F.lit("find").alias("name"), F.lit(None).cast(conversations.CALLS).alias("calls"))
+    return conversations.activity(updates).groupBy("phase", "label").agg(F.count("*").alias("n"), F.sum(F.length("detail")).alias("chars"))
 
 
 @query

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from factloom.functions.naming import incremental_day
 from factloom.functions.text import sha256, trim
@@ -13,11 +16,15 @@ from factloom.functions.text import sha256, trim
 def read_files(spark: SparkSession, root: str, through: str | None = None, base_only: bool = False) -> DataFrame:
     """(path, bytes, modified, content, raw_sha256, day) of every file below ``root``.
 
-    Files outside daily drops always count; those of a drop count if its day is not after ``through``.
+    path is relative to the folder that holds ``root``, and so begins with the last name of ``root``.  Files outside
+    daily drops always count; those of a drop count if its day is not after ``through``, or if neither ``through`` nor
+    ``base_only`` is given.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    day = incremental_day(F.col("path"))
-    rows = files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content", F.sha2("content", 256).alias("raw_sha256"), day.alias("day"))
+    name = root.rstrip("/").rsplit("/", 1)[-1]
+    # Paths come back as addresses; what follows the root's own name is kept.
+    path = F.concat(F.lit(name), F.regexp_extract("path", f"/{re.escape(name)}(/.*)$", 1)) if "/" not in name else F.col("path")
+    rows = files.select(path.alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content", F.sha2("content", 256).alias("raw_sha256")).withColumn("day", incremental_day(F.col("path")))
     if base_only:
         return rows.where("day IS NULL")
     return rows if through is None else rows.where(F.col("day").isNull() | (F.col("day") <= through))
@@ -104,6 +111,21 @@ def json_documents(files: DataFrame, path_col: str = "path", content_col: str =
     return files.select(F.col(path_col).alias("path"), F.try_parse_json(utf8(F.col(content_col))).alias("document"))
 
 
+def json_records(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, field, place, record) of each object in JSON files that hold a list of objects, or an object of such lists.
+
+    field: the list's name, null for a plain list; an object that stands alone under a name is a record as well.
+    Files that aren't JSON give none.  Record values are text, lists of text joined by a semicolon.
+    """
+    text = files.select(F.col(path_col).alias("path"), utf8(F.col(content_col)).alias("text")).where(F.try_parse_json("text").isNotNull())
+    whole = text.select("path", F.when(F.trim("text").startswith("["), F.create_map(F.lit(""), F.col("text"))).otherwise(F.from_json("text", "map<string,string>")).alias("lists"))
+    lists = whole.select("path", F.explode("lists").alias("field", "value"))
+    value = F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).when(F.trim("value").startswith("{"), F.array("value"))
+    each = lists.select("path", F.nullif("field", F.lit("")).alias("field"), F.posexplode(value).alias("place", "text"))
+    plain = lambda _, v: F.when(v.startswith("["), F.array_join(F.from_json(v, "array<string>"), ";")).otherwise(v)
+    return each.where(F.trim("text").startswith("{")).select("path", "field", "place", F.transform_values(F.from_json("text", "map<string,string>"), plain).alias("record"))
+
+
 def drops(files: DataFrame) -> DataFrame:
     """(day, files, bytes) of each daily drop."""
     return files.where("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
@@ -121,11 +143,12 @@ def latest_day(files: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, missing: bool = True) -> DataFrame:
     """A JSON-lines table; one that isn't there yet is empty if ``missing`` allows."""
-    context = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = context.getFileSystem(spark._jsc.hadoopConfiguration()).exists(context)
-    if not there and missing:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as error:
+        if missing and error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
