@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches
 
-#: Letters scored at once; a longer run counts as several stretches, so that no product underflows.
-STRETCH = 32
+#: Steps after which sums are scaled, so that they don't underflow however long a run is.
+SCALED = 16
 #: Longest piece looked up, in characters.
 LONGEST = 16
 #: Words a worker remembers or counts before it starts anew; this changes time, not results.
 MEMORY_WORDS = 200_000
-#: Stretches whose substrings are looked up at once.
-AT_ONCE = 4096
+#: Letters of runs whose substrings are looked up at once, if it is more than one run.
+AT_ONCE = 1 << 17
 #: Expected counts are added as integers of this unit, so that sums don't depend on their order.
 UNIT = 1 << 20
 SMOOTHING = 0.5
@@ -37,10 +37,9 @@ def runs(text: str | None) -> list[str]:
 
 
 def stretches(run: str) -> list[str]:
-    """A run with the mark of a word's start, in stretches; none if it has no letter."""
+    """The run's letters with the mark of a word's start, whole; none if it has no letter."""
     letters = run if run.isalpha() else "".join(filter(str.isalpha, run))
-    marked = "▁" + letters if letters else ""
-    return [marked[i : i + STRETCH] for i in range(0, len(marked), STRETCH)]
+    return ["▁" + letters] if letters else []
 
 
 def all_stretches(words) -> tuple[list[str], list[int]]:
@@ -111,49 +110,76 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def forward(found, weights):
-    """Sums over segmentations of each prefix: (texts, length + 1, columns of ``weights``)."""
+def log_sums(found, weights):
+    """Logarithms of the sums over all segmentations of whole texts: (texts, columns of ``weights``)."""
     import numpy as np
 
     n, length = found[0].shape
-    alpha = np.zeros((n, length + 1, weights.shape[1]))
-    alpha[:, 0] = 1
+    most = len(found)
+    # Sums of the last prefixes, the newest first; older ones aren't needed.
+    last = np.zeros((most, n, weights.shape[1]))
+    last[0] = 1
+    scale = np.zeros((n, weights.shape[1]))
+    for end in range(1, length + 1):
+        new = last[0] * weights[found[0][:, end - 1]]
+        for size in range(2, min(end, most) + 1):
+            new += last[size - 1] * weights[found[size - 1][:, end - size]]
+        last = np.concatenate([new[None], last[:-1]])
+        if end % SCALED == 0:
+            scale += np.log(new)
+            last /= new
+    return scale + np.log(last[0])
+
+
+def prefix_sums(found, weight):
+    """(sums, logarithms of their scales) over the segmentations of each prefix: (texts, length + 1), for one column of weights."""
+    import numpy as np
+
+    n, length = found[0].shape
+    sums, scales = np.zeros((n, length + 1)), np.zeros((n, length + 1))
+    sums[:, 0] = 1
+    held = np.zeros(n)
     for end in range(1, length + 1):
         for size in range(1, min(end, len(found)) + 1):
-            alpha[:, end] += alpha[:, end - size] * weights[found[size - 1][:, end - size]]
-    return alpha
+            before = end - size
+            sums[:, end] += sums[:, before] * np.exp(scales[:, before] - held) * weight[found[size - 1][:, before]]
+        scales[:, end] = held
+        if end % SCALED == 0:
+            held = held + np.log(sums[:, end])
+            scales[:, end], sums[:, end] = held, 1
+    return sums, scales
 
 
 def by_length(texts: list[str]):
-    """(length, places) of texts of one length, at most AT_ONCE of them, which bounds the arrays made of them."""
+    """(length, places) of texts of one length, of AT_ONCE letters at most if it is more than one, which bounds the arrays made of them."""
     groups: dict[int, list[int]] = {}
     for i, t in enumerate(texts):
         groups.setdefault(len(t), []).append(i)
     for length, at in groups.items():
-        for begin in range(0, len(at), AT_ONCE):
-            yield length, at[begin : begin + AT_ONCE]
+        step = max(1, AT_ONCE // length)
+        for begin in range(0, len(at), step):
+            yield length, at[begin : begin + step]
 
 
 def expected_counts(vocabulary: Pieces, texts: list[str], times):
     """Expected uses of each piece by ``texts``, each ``times`` over, from equal probabilities."""
     import numpy as np
 
-    equal = np.full((vocabulary.size + 2, 1), 1 / (vocabulary.size + 1))
+    equal = np.full(vocabulary.size + 2, 1 / (vocabulary.size + 1))
     equal[vocabulary.nothing] = 0
     out = np.zeros(vocabulary.size + 2)
     for length, at in by_length(texts):
         found = vocabulary.found([texts[i] for i in at])
-        ahead = forward(found, equal)[:, :, 0]
-        behind = np.zeros_like(ahead)
-        behind[:, length] = 1
-        for start in range(length - 1, -1, -1):
-            for size in range(1, min(length - start, len(found)) + 1):
-                behind[:, start] += behind[:, start + size] * equal[found[size - 1][:, start], 0]
-        weight = times[at] / ahead[:, length]
+        ahead, ahead_scale = prefix_sums(found, equal)
+        # Sums over suffixes are those over prefixes of the text read backwards.
+        turned = [ids[:, ::-1] for ids in found]
+        behind, behind_scale = (x[:, ::-1] for x in prefix_sums(turned, equal))
+        whole = np.log(ahead[:, length]) + ahead_scale[:, length]
         for size, ids in enumerate(found, 1):
-            uses = ahead[:, : length - size + 1] * behind[:, size:] * equal[ids, 0]
+            scale = ahead_scale[:, : length - size + 1] + behind_scale[:, size:] - whole[:, None]
+            uses = ahead[:, : length - size + 1] * behind[:, size:] * equal[ids] * np.exp(scale) * times[at][:, None]
             row, start = np.nonzero(uses)
-            out += np.bincount(ids[row, start], uses[row, start] * weight[row], minlength=len(out))
+            out += np.bincount(ids[row, start], uses[row, start], minlength=len(out))
     return out
 
 
@@ -243,7 +269,7 @@ def identify(docs: DataFrame, model, vocabulary: str, id_col: str = "doc_id", te
             rows = np.zeros((len(words), len(langs) + 1))
             owner = np.array(owner, dtype=np.int64)
             for length, at in by_length(texts):
-                whole = np.log(forward(have.found([texts[i] for i in at]), weights)[:, length])
+                whole = log_sums(have.found([texts[i] for i in at]), weights)
                 np.add.at(rows, owner[at], np.c_[whole, np.ones(len(at))])
             known.update(zip(words, range(len(values), len(values) + len(words)), strict=True))
             values = np.concatenate([values, rows])

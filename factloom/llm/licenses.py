@@ -234,7 +234,7 @@ def _surviving(hits: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score; such columns are replaced.
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score; such columns are replaced, all others stay.
 
     A null text counts as empty: no words, no labels (empty strings), null places, score 0.  score is the largest
     of the surviving detections', and BASE_SCORE for a base phrase.
@@ -242,40 +242,40 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     low = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     every = sorted({k for r in rules() for k in keywords(r[2])})
     # Each step apart, so that the text is lower-cased and cut into words once for each row.
-    lower = docs.withColumn("_low", low)
+    lower = docs.withColumn("__license_low", low)
     gated = lower.withColumns(
         {
-            "_words": F.regexp_extract_all("_low", F.lit(WORD), F.lit(0)),
-            "_gate": F.greatest(*[F.contains(F.col("_low"), F.lit(g)).cast("int") for g in gates()]) == 1,
+            "__license_words": F.regexp_extract_all("__license_low", F.lit(WORD), F.lit(0)),
+            "__license_gate": F.greatest(*[F.contains(F.col("__license_low"), F.lit(g)).cast("int") for g in gates()]) == 1,
         }
     )
     stands = lambda i: F.coalesce(
-        *[F.when(F.forall(F.array(*[F.coalesce(F.get(F.col("_words"), i + j) == w, F.lit(False)) for j, w in enumerate(phrase)]), lambda x: x), F.lit(label)) for phrase, label in BASE]
+        *[F.when(F.forall(F.array(*[F.coalesce(F.get(F.col("__license_words"), i + j) == w, F.lit(False)) for j, w in enumerate(phrase)]), lambda x: x), F.lit(label)) for phrase, label in BASE]
     )
     places = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.struct(i.cast("long").alias("at"), stands(i).alias("label"))),
+        F.transform(F.sequence(F.lit(0), F.size("__license_words") - 1), lambda i: F.struct(i.cast("long").alias("at"), stands(i).alias("label"))),
         lambda x: x["label"].isNotNull(),
     )
-    here = lambda: F.filter(F.array(*map(F.lit, every)), lambda k: F.contains(F.col("_low"), k))
+    here = lambda: F.filter(F.array(*map(F.lit, every)), lambda k: F.contains(F.col("__license_low"), k))
     hits = let(
         here(),
-        lambda own: F.flatten(F.transform(F.filter(_literal_rules(), lambda r: F.arrays_overlap(own, r["keywords"])), lambda r: _detections(F.col("_low"), r))),
+        lambda own: F.flatten(F.transform(F.filter(_literal_rules(), lambda r: F.arrays_overlap(own, r["keywords"])), lambda r: _detections(F.col("__license_low"), r))),
     )
     found = gated.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "_base": F.when(F.col("_gate") & (F.size("_words") > 0), places).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")),
-            "_method": F.when(F.col("_gate"), _surviving(hits)).otherwise(F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))),
+            "n_words": F.size("__license_words").cast("long"),
+            "__license_base": F.when(F.col("__license_gate") & (F.size("__license_words") > 0), places).otherwise(F.array().cast("array<struct<at:bigint,label:string>>")),
+            "__license_method": F.when(F.col("__license_gate"), _surviving(hits)).otherwise(F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))),
         }
     )
-    base = F.sort_array(F.array_distinct(F.transform("_base", lambda x: x["label"])))
+    base = F.sort_array(F.array_distinct(F.transform("__license_base", lambda x: x["label"])))
     return found.withColumns(
         {
-            "n_base": F.size("_base").cast("long"),
-            "first_word": F.array_min(F.transform("_base", lambda x: x["at"])),
-            "last_word": F.array_max(F.transform("_base", lambda x: x["at"])),
+            "n_base": F.size("__license_base").cast("long"),
+            "first_word": F.array_min(F.transform("__license_base", lambda x: x["at"])),
+            "last_word": F.array_max(F.transform("__license_base", lambda x: x["at"])),
             "base_labels": F.array_join(base, ","),
-            "labels": F.array_join(F.sort_array(F.array_union(base, F.col("_method.labels"))), ","),
-            "score": F.greatest(F.col("_method.score"), F.when(F.size("_base") > 0, F.lit(BASE_SCORE)).otherwise(0.0)),
+            "labels": F.array_join(F.sort_array(F.array_union(base, F.col("__license_method.labels"))), ","),
+            "score": F.greatest(F.col("__license_method.score"), F.when(F.size("__license_base") > 0, F.lit(BASE_SCORE)).otherwise(0.0)),
         }
-    ).drop("_low", "_words", "_gate", "_base", "_method")
+    ).drop("__license_low", "__license_words", "__license_gate", "__license_base", "__license_method")

@@ -86,15 +86,19 @@ FROM t LEFT JOIN d USING (r)
 
 def revisits() -> str:
     return f"""
-WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN {urlfilter.node_sql("url", ", 'g'")} END AS url_key, md5(html) AS tag FROM pages),
-v AS (SELECT 2 * page_id + 1 AS record_id, url_key, 10 * page_id + 5 AS date, page_id,
-             CASE WHEN page_id % 7 = 0 THEN 'other' ELSE 'W/' || tag END AS etag FROM p),
-m AS (SELECT v.record_id, arg_max(struct_pack(id := 2 * p.page_id, tag := p.tag), struct_pack(d := 10 * p.page_id, i := 2 * p.page_id)) AS r
-      FROM v JOIN p ON p.url_key = v.url_key AND 10 * p.page_id < v.date GROUP BY v.record_id),
-o AS (SELECT v.*, r, CASE WHEN r IS NULL THEN 'no_response' WHEN etag IS NULL OR r.tag IS NULL THEN 'unvalidated'
-                          WHEN replace(etag, 'W/', '') <> r.tag THEN 'mismatch' ELSE 'resolved' END AS outcome FROM v LEFT JOIN m USING (record_id))
-SELECT record_id, url_key, date, CASE WHEN outcome = 'resolved' THEN r.id END AS resolved_id, outcome,
-       'cache-control=max-age=' || page_id % 100 || ';content-type=' || CASE WHEN outcome = 'resolved' THEN 'text/html' ELSE 'text/plain' END
-       || ';date=' || date || ';etag=' || COALESCE(etag, '') AS headers
-FROM o
+WITH c AS (SELECT page_id, (page_id * 7919) % 10 AS kind, (page_id * 31) % 3 AS v, (page_id * 104729) % 1000003 AS date,
+                  CASE WHEN contains(url, '://') THEN CASE WHEN page_id % 3 = 0 THEN 'hot.example/' ELSE regexp_replace({urlfilter.node_sql("url", ", 'g'")}, '[0-9]+', '', 'g') END END AS url_key FROM pages),
+t AS (SELECT *, CASE WHEN kind IN (1, 2, 5, 9) THEN 'v' || v END AS tag, CASE WHEN kind IN (0, 2, 6) THEN 'day ' || v END AS modified,
+             CASE WHEN kind IN (7, 9) OR (kind = 3 AND page_id % 2 = 0) THEN md5(CAST(v AS VARCHAR)) END AS digest FROM c),
+full_ AS (SELECT url_key, date, max(page_id) AS id FROM t WHERE kind < 4 AND url_key IS NOT NULL GROUP BY 1, 2),
+answer AS (SELECT f.url_key, f.date, t.page_id AS id, t.tag, t.modified, t.digest FROM full_ f JOIN t ON t.page_id = f.id),
+r AS (SELECT v.*, a.id, a.tag AS a_tag, a.modified AS a_modified, a.digest AS a_digest FROM (SELECT * FROM t WHERE kind > 4) v ASOF LEFT JOIN answer a ON v.url_key = a.url_key AND v.date > a.date),
+o AS (SELECT *, CASE WHEN id IS NULL THEN 'no_response'
+                     WHEN COALESCE(digest <> a_digest, FALSE) OR COALESCE(tag <> a_tag, FALSE) OR ((tag IS NULL OR a_tag IS NULL) AND COALESCE(modified <> a_modified, FALSE)) THEN 'mismatch'
+                     WHEN (digest IS NOT NULL AND a_digest IS NOT NULL) OR (tag IS NOT NULL AND a_tag IS NOT NULL) OR (modified IS NOT NULL AND a_modified IS NOT NULL) THEN 'resolved' ELSE 'unvalidated' END AS outcome FROM r),
+h AS (SELECT *, outcome = 'resolved' AS ok, CASE WHEN tag IS NOT NULL THEN 'W/' || tag END AS own FROM o)
+SELECT page_id AS record_id, url_key, date, CASE WHEN ok THEN id END AS resolved_id, outcome,
+       array_to_string(list_filter(['cache-control=max-age=' || page_id % 100, 'content-type=' || CASE WHEN ok THEN 'text/html' ELSE 'text/plain' END, 'date=' || date,
+                                    'etag=' || COALESCE(own, CASE WHEN ok THEN a_tag END), 'last-modified=' || COALESCE(modified, CASE WHEN ok THEN a_modified END)], lambda x: x IS NOT NULL), ';') AS headers
+FROM h
 """

@@ -32,25 +32,34 @@ def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page gives a full response and, half a step later, a not-modified revisit; every seventh has another tag."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("url").contains("://"), F.expr(urlfilter.node_sql("url"))).alias("url_key"), F.md5("html").alias("tag"))
-    text = lambda c: c.cast("string")
-    response = pages.select(
-        (2 * F.col("page_id")).alias("record_id"), "url_key", (10 * F.col("page_id")).alias("date"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
-        F.create_map(F.lit("ETag"), F.col("tag"), F.lit("Content-Type"), F.lit("text/html"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Date"), text(10 * F.col("page_id"))).alias("headers"),
-        F.col("tag").alias("digest"),
+def captures(pages: DataFrame) -> DataFrame:
+    """Captures made of pages: a third of them of one URL, others of addresses that pages share, in mixed order of time.
+
+    By the page's number a capture is a full response with one, both or none of the validators, a failed response, or
+    one of five kinds of revisits; three versions of a body alternate.
+    """
+    n = F.col("page_id")
+    key = F.when(n % 3 == 0, F.lit("hot.example/")).otherwise(F.regexp_replace(F.expr(urlfilter.node_sql("url")), "[0-9]+", ""))
+    kind, version = (n * 7919) % 10, (n * 31) % 3
+    tag, changed, digest = F.concat(F.lit("v"), version.cast("string")), F.concat(F.lit("day "), version.cast("string")), F.md5(version.cast("string"))
+    response, date = kind < 5, (n * 104729) % 1000003
+    etag = F.when(kind.isin(1, 2), tag).when(kind.isin(5, 9), F.concat(F.lit("W/"), tag))
+    modified = F.when(kind.isin(0, 2, 6), changed)
+    named = F.create_map(
+        F.when(response, "ETag").otherwise("etag"), etag, F.lit("Last-Modified"), modified, F.lit("Content-Type"), F.when(response, "text/html").otherwise("text/plain"),
+        F.lit("Cache-Control"), F.concat(F.lit("max-age="), F.when(response, 60).otherwise(n % 100).cast("string")), F.lit("Date"), date.cast("string"),
     )
-    revisit = pages.select(
-        (2 * F.col("page_id") + 1).alias("record_id"), "url_key", (10 * F.col("page_id") + 5).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
-        F.create_map(
-            F.lit("etag"), F.when(F.col("page_id") % 7 == 0, F.lit("other")).otherwise(F.concat(F.lit("W/"), "tag")), F.lit("content-type"), F.lit("text/plain"),
-            F.lit("cache-control"), F.concat(F.lit("max-age="), text(F.col("page_id") % 100)), F.lit("date"), text(10 * F.col("page_id") + 5),
-        ).alias("headers"),
-        F.lit(None).cast("string").alias("digest"),
+    return pages.select(
+        n.alias("record_id"), F.when(F.col("url").contains("://"), key).alias("url_key"), date.alias("date"), F.when(response, "response").otherwise("revisit").alias("kind"),
+        F.when(kind == 4, 404).when(response, 200).otherwise(304).alias("status"), F.map_filter(named, lambda _, v: v.isNotNull()).alias("headers"),
+        F.when(kind.isin(7, 9) | ((kind == 3) & (n % 2 == 0)), digest).alias("digest"),
     )
-    found = warc.resolve(response.unionByName(revisit))
-    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))), ";")
+
+
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit among the captures of all pages: the response that answers it, the outcome, the merged headers."""
+    found = warc.resolve(captures(table(spark, sf_dir, "pages").select("page_id", "url")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return found.select("record_id", "url_key", "date", "resolved_id", "outcome", shown.alias("headers"))
 
 
