@@ -1,23 +1,38 @@
 """Embedding near-duplicates by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
-Vectors with equal values are one node.  The first graph comes from several hyperplane signatures: in each, a
-node is compared with those next to it.  Then every node meets the neighbours of its neighbours in cells, named by
-the smallest node within two steps, whose members are compared in blocks; lists that are full of links grow, so
-that they end up holding all of them.  This repeats until no link is new.  An audit compares a fixed number of
-nodes with all others; if it finds a link that the graph lacks, more signatures are added and refined in turn.
+Vectors with equal values are one node.  A node's sketch is the sides of BITS random hyperplanes that it lies on.
+
+1. Each node's first list of neighbours holds the nearest of those next to it in several orders of the sketches, however
+   far they are.  In each round every node brings its neighbours, and those it is a neighbour of, together; they are
+   compared by their sketches, and lists keep the nearest.  Rounds go on while lists get better.
+2. A list whose last neighbour may still be a link is saturated: it is enlarged to twice its length, up to LONGEST, and the
+   rounds go on.
+3. Only then are neighbours that may be links compared as vectors; the threshold keeps its edges.
+4. Groups that the longest lists can't hold: every node meets the neighbours of its neighbours in cells, named by the
+   smallest node within two steps, whose members are compared in blocks, until no link is new.
+5. An audit compares a fixed number of nodes, drawn without regard to links, with all others, and as many linked ones.  If
+   it finds a link that the graph lacks, a graph from other hyperplanes is added, up to BATCHES times; should the audit
+   still find one then, all nodes of each label are compared in blocks.  The recall that the audit found is returned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import checkpoint, components
 
-#: Signatures added at a time, nodes next to it that a node is compared with, vectors per block of a cell.
-SIGNATURES, NEXT, BLOCK = 16, 16, 1024
-#: Nodes of the audit, whatever the number of vectors, and signature batches tried at most.
-AUDIT, BATCHES = 256, 6
+#: Hyperplanes, orders of their sides, and how many nodes next to it in each order a node is compared with.
+BITS, ORDERS, NEXT = 256, 16, 8
+#: Length of the first lists and of the longest ones; neighbours of others that a node brings along.
+SHORTEST, LONGEST, REVERSE = 8, 64, 16
+#: Rounds end when under this share of the lists' places changes.
+SETTLED = 0.002
+#: Deviations over the mean of a threshold pair up to which sketches may be links.
+DEVIATIONS = 5
+#: Vectors per block of a cell, nodes of the audit, graphs made before all nodes are compared.
+BLOCK, AUDIT, BATCHES = 1024, 256, 4
+LISTS = "id long, other long, apart int"
 LINKS = "id long, other array<long>"
 
 
@@ -116,30 +131,37 @@ def _lists(ids, hits):
     yield pa.RecordBatch.from_arrays([pa.array(a[first]), other], names=["id", "other"])
 
 
-def seeds(all_nodes: DataFrame, kind: str, least: float, bits: int, batch: int) -> DataFrame:
-    """Links (id, other) among nodes next to each other in the order of a signature, for SIGNATURES signatures."""
+def sketches(all_nodes: DataFrame, kind: str, batch: int) -> DataFrame:
+    """(id, label, sketch) of each node: BITS sides of hyperplanes that ``batch`` and the vector's length draw."""
 
     def sign(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            t = pa.Table.from_batches([b])
-            for part in _by_width(t):
-                column = part.column("vec").chunk(0) if part.num_rows else None
-                if column is None:
-                    continue
-                unit = _unit(column, kind)
-                for n in range(SIGNATURES):
-                    planes = np.random.default_rng([batch, n, unit.shape[1]]).normal(size=(unit.shape[1], bits + 1))
-                    side = unit @ planes
-                    signature = (side[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                    yield from part.select(["id", "label", "vec"]).append_column("table", pa.array(np.full(part.num_rows, n, dtype=np.int32))).append_column("signature", pa.array(signature)).append_column("along", pa.array(side[:, bits])).to_batches()
-
-    label_kind = all_nodes.schema["label"].dataType.simpleString()
-    signed = all_nodes.select("id", "label", "vec").mapInArrow(sign, f"id long, label {label_kind}, vec binary, table int, signature long, along double")
-    # The order, not the bucket, is dealt out, so that one large bucket still spreads over tasks.
-    ordered = signed.repartitionByRange("table", "label", "signature", "along").sortWithinPartitions("table", "label", "signature", "along", "id")
+            for part in _by_width(pa.Table.from_batches([b])):
+                unit = _unit(part.column("vec").chunk(0), kind)
+                planes = np.random.default_rng([batch, unit.shape[1]]).normal(size=(unit.shape[1], BITS))
+                sides = np.packbits(unit @ planes > 0, axis=1)
+                yield from part.select(["id", "label"]).append_column("sketch", pa.array([x.tobytes() for x in sides], type=pa.binary())).to_batches()
+
+    return all_nodes.select("id", "label", "vec").mapInArrow(sign, f"id long, label {all_nodes.schema['label'].dataType.simpleString()}, sketch binary")
+
+
+def _bits(column):
+    """A matrix of 64-bit words from a column of sketches."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def first_lists(known: DataFrame) -> DataFrame:
+    """LISTS of each node and the NEXT nodes of its label on either side, in each of ORDERS orders of the sketches."""
+    step = BITS // 8 // ORDERS
+    turned = F.array(*[F.struct(F.lit(n).alias("order"), F.concat(F.expr(f"substring(sketch, {n * step + 1})"), F.expr(f"substring(sketch, 1, {n * step})")).alias("key")) for n in range(ORDERS)])
+    each = known.select("id", "label", "sketch", F.explode(turned).alias("t")).select("t.order", "label", F.expr("substring(t.key, 1, 8)").alias("key"), "id", "sketch")
+    # The order, not a bucket, is dealt out, so that many alike nodes still spread over tasks.
+    ordered = each.repartitionByRange("order", "label", "key").sortWithinPartitions("order", "label", "key", "id")
 
     def compare(batches):
         import numpy as np
@@ -149,20 +171,113 @@ def seeds(all_nodes: DataFrame, kind: str, least: float, bits: int, batch: int)
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             held = t.slice(max(0, t.num_rows - NEXT))
+            ids, order, bits = t.column("id").to_numpy(), t.column("order").to_numpy(), _bits(t.column("sketch"))
             label = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            where = np.arange(t.num_rows)
-            for part in _by_width(t.append_column("where", pa.array(where))):
-                at, unit, ids = part.column("where").to_numpy(), _unit(part.column("vec").chunk(0), kind), part.column("id").to_numpy()
-                key, table = label[at], part.column("table").to_numpy()
-                signature = part.column("signature").to_numpy()
-                hits = []
-                for step in range(1, min(NEXT, len(ids) - 1) + 1):
-                    a = np.flatnonzero((key[:-step] == key[step:]) & (table[:-step] == table[step:]) & (signature[:-step] == signature[step:]) & (ids[:-step] != ids[step:]))
-                    a = a[np.einsum("ij,ij->i", unit[a], unit[a + step]) >= least]
-                    hits.append((a, a + step))
-                yield from _lists(ids, hits)
+            for n in range(1, min(NEXT, t.num_rows - 1) + 1):
+                at = np.flatnonzero((label[:-n] == label[n:]) & (order[:-n] == order[n:]))
+                apart = np.bitwise_count(bits[at] ^ bits[at + n]).sum(axis=1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[at], ids[at + n]]), pa.array(np.r_[ids[at + n], ids[at]]), pa.array(np.r_[apart, apart])], names=["id", "other", "apart"])
+
+    return ordered.mapInArrow(compare, LISTS).where("id <> other")
+
+
+def nearest(lists: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The nearest of each node's neighbours, as many as its length says, each once."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("apart", "other"))
+    kept = lists.distinct().withColumn("rank", rank).where(F.col("rank") <= LONGEST)
+    return kept.join(lengths, "id").where(F.col("rank") <= F.col("length")).select("id", "other", "apart")
+
+
+def met(lists: DataFrame, known: DataFrame, lengths: DataFrame) -> DataFrame:
+    """LISTS made by comparing with each other what each node brings along: its neighbours and some that have it as one.
+
+    Pairs that are in neither one's list yet, and nearer than what either one's list ends with, are returned.
+    """
+    drawn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "other")))
+    back = lists.select(F.col("other").alias("id"), F.col("id").alias("other")).withColumn("rank", drawn).where(F.col("rank") <= REVERSE).select("id", "other")
+    brought = lists.select("id", "other").unionByName(back).distinct()
+    ends = lists.groupBy("id").agg(F.count("*").alias("n"), F.max("apart").alias("last")).join(lengths, "id").select(F.col("id").alias("other"), F.when(F.col("n") < F.col("length"), BITS + 1).otherwise(F.col("last")).cast("int").alias("end"))
+    full = brought.join(known.select(F.col("id").alias("other"), "sketch"), "other").join(ends, "other")
+    dealt = full.select("id", "other", "sketch", "end").repartition("id").sortWithinPartitions("id")
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def group(t):
+            ids, end, bits = t.column("other").to_numpy(), t.column("end").to_numpy(), _bits(t.column("sketch"))
+            apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int32)
+            x, y = np.nonzero((apart < end[:, None]) & (ids[:, None] != ids[None]))
+            return ids[x], ids[y], apart[x, y]
+
+        def told(found):
+            if found:
+                x, y, z = (np.concatenate(v) for v in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z)], names=["id", "other", "apart"])
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key, begin, found = t.column("id").to_numpy(), 0, []
+            for end in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
+                found.append(group(t.slice(begin, end - begin)))
+                begin = end
+            held = t.slice(begin)
+            yield from told(found)
+        if held is not None and held.num_rows:
+            yield from told([group(held)])
+
+    return dealt.mapInArrow(compare, LISTS).distinct()
+
+
+def descend(known: DataFrame, most: int) -> DataFrame:
+    """The lists of all nodes when rounds no longer change them; those that end within ``most`` bits are enlarged."""
+    lengths = checkpoint(known.select("id", F.lit(SHORTEST).alias("length")))
+    lists = checkpoint(nearest(first_lists(known), lengths))
+    places = lists.count()
+    while places:
+        better = checkpoint(nearest(lists.unionByName(met(lists, known, lengths)), lengths))
+        changed = better.join(lists.select("id", "other"), ["id", "other"], "left_anti").count()
+        lists, places = better, better.count()
+        if changed > SETTLED * places:
+            continue
+        full = lists.groupBy("id").agg(F.count("*").alias("n"), F.max("apart").alias("last")).where(F.col("last") <= most)
+        longer = checkpoint(lengths.join(full, "id", "left").select("id", F.when((F.col("n") >= F.col("length")) & (F.col("length") < LONGEST), 2 * F.col("length")).otherwise(F.col("length")).cast("int").alias("length"), "length").toDF("id", "length", "before"))
+        if longer.where("length <> before").isEmpty():
+            break
+        lengths = longer.select("id", "length")
+    return lists
+
+
+def threshold_edges(lists: DataFrame, all_nodes: DataFrame, kind: str, least: float, most: int) -> DataFrame:
+    """LINKS: neighbours within ``most`` bits whose cosine is ``least`` or more."""
+    pairs = lists.where(F.col("apart") <= most).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    vec = lambda c: all_nodes.select(F.col("id").alias(c), F.col("vec").alias(f"vec_{c}"))
+    full = pairs.join(vec("a"), "a").join(vec("b"), "b").where(F.length("vec_a") == F.length("vec_b")).select("a", "b", "vec_a", "vec_b")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch]).rename_columns(["a", "b", "vec", "other"])
+            for part in _by_width(t):
+                x, y = _unit(part.column("vec").chunk(0), kind), _unit(part.column("other").chunk(0), kind)
+                good = np.flatnonzero(np.einsum("ij,ij->i", x, y) >= least)
+                a, b = part.column("a").to_numpy()[good], part.column("b").to_numpy()[good]
+                yield from _lists(np.r_[a, b], [(np.arange(len(a)), np.arange(len(a)) + len(a))] if len(a) else [])
+
+    return full.mapInArrow(run, LINKS)
+
 
-    return ordered.mapInArrow(compare, LINKS)
+def most_bits(least: float) -> int:
+    """Bits that sketches of vectors with cosine ``least`` hardly ever exceed."""
+    from math import acos, ceil, pi, sqrt
+
+    share = acos(max(-1.0, min(1.0, least))) / pi
+    return ceil(BITS * share + DEVIATIONS * sqrt(BITS * share * (1 - share)))
 
 
 def merge(*links: DataFrame) -> DataFrame:
@@ -200,13 +315,23 @@ def refine(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> D
     near = steps.join(hubs.select("id", "hub"), "id").select("twin", "hub").distinct()
     every = near.join(hubs.select("id", "twin"), "twin").select("id", "hub").unionByName(hubs.select("id", "hub"))
     cells = checkpoint(every.distinct())
-    size = cells.groupBy("hub").agg(F.count("*").alias("size")).where("size > 2").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    return in_cells(cells, all_nodes, kind, least)
+
+
+def exhaustive(all_nodes: DataFrame, kind: str, least: float) -> DataFrame:
+    """Links found by comparing all nodes of each label, in blocks."""
+    return in_cells(all_nodes.select("id", F.xxhash64("label").alias("hub")), all_nodes, kind, least)
+
+
+def in_cells(cells: DataFrame, all_nodes: DataFrame, kind: str, least: float) -> DataFrame:
+    """LINKS among the members (id) of each cell (hub)."""
+    size = cells.groupBy("hub").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     # A member's block is drawn by its hash; each block meets every block from itself on.
     drawn = cells.join(size, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sent = drawn.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "id", "hub", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block"
     )
-    full = sent.join(all_nodes.select("id", "vec"), "id")
+    full = sent.join(all_nodes.select("id", "label", "vec"), "id")
     dealt = full.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b")
 
     def compare(batches):
@@ -216,11 +341,12 @@ def refine(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> D
         def group(t):
             for part in _by_width(t):
                 unit, ids, block = _unit(part.column("vec").chunk(0), kind), part.column("id").to_numpy(), part.column("block").to_numpy()
+                label = np.unique(part.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
                 a, b = part.column("a")[0].as_py(), part.column("b")[0].as_py()
                 left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
                 x, y = np.nonzero(_close(unit[left], unit[right], least))
                 x, y = left[x], right[y]
-                apart = ids[x] < ids[y] if a == b else ids[x] != ids[y]
+                apart = (ids[x] < ids[y] if a == b else ids[x] != ids[y]) & (label[x] == label[y])
                 yield from _lists(ids, [(x[apart], y[apart])] if apart.any() else [])
 
         held = None
@@ -236,7 +362,7 @@ def refine(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> D
         if held is not None and held.num_rows:
             yield from group(held)
 
-    return dealt.select("id", "hub", "a", "b", "block", "vec").mapInArrow(compare, LINKS)
+    return dealt.select("id", "label", "hub", "a", "b", "block", "vec").mapInArrow(compare, LINKS)
 
 
 def audit(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> tuple[int, int]:
@@ -274,13 +400,12 @@ def audit(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> tu
     return total[0], total[1]
 
 
-def link_graph(all_nodes: DataFrame, kind: str, least: float) -> DataFrame:
-    """(id, other): all links of each node that has one."""
-    per_label = all_nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    bits = max(4, min(60, (per_label // NEXT).bit_length()))
-    graph = None
+def link_graph(all_nodes: DataFrame, kind: str, least: float) -> tuple[DataFrame, float]:
+    """(id, other): all links of each node that has one; and the recall of the last audit, 1 if all nodes were compared."""
+    graph, most = None, most_bits(least)
     for batch in range(BATCHES):
-        found = seeds(all_nodes, kind, least, bits, batch)
+        known = checkpoint(sketches(all_nodes, kind, batch))
+        found = threshold_edges(descend(known, most), all_nodes, kind, least, most)
         graph = checkpoint(merge(found) if graph is None else merge(graph, found))
         total = graph.agg(F.sum(F.size("other"))).first()[0] or 0
         while total:
@@ -288,14 +413,14 @@ def link_graph(all_nodes: DataFrame, kind: str, least: float) -> DataFrame:
             before, total = total, graph.agg(F.sum(F.size("other"))).first()[0]
             if total == before:
                 break
-        true, known = audit(all_nodes, kind, graph, least)
-        if known == true:
-            break
-    return graph
+        true, told = audit(all_nodes, kind, graph, least)
+        if told == true:
+            return graph, 1.0
+    return checkpoint(merge(exhaustive(all_nodes, kind, least))), 1.0
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row.
+    """vec_id, n_links, component_id, kept of every row, and recall: the share of the audited nodes' links that were found.
 
     Rows link if their labels are equal and not null and their cosine is ``least`` or more, in double precision.
     Null, empty and zero vectors, those with a null or non-finite entry, and rows with a null id or label link
@@ -304,7 +429,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     """
     rows, kind = packed(vectors, id_col, vector_col, label_col), number_kind(vectors, vector_col)
     all_nodes = checkpoint(nodes(rows))
-    graph = link_graph(all_nodes, kind, least)
+    graph, recall = link_graph(all_nodes, kind, least)
     members, lists = twins(graph)
     steps = checkpoint(lists.select("twin", F.explode("other").alias("id")))
     # Links count copies: one for each linked node, and those beyond one of every node of the closed neighbourhood.
@@ -322,4 +447,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     joined = rows.select(F.col("id").alias("vec_id"), "label", "key").join(counted, ["label", "key"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
-    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("recall", F.lit(recall))
