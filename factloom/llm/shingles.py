@@ -1,19 +1,20 @@
 """Near-duplicates by word shingles: texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
 SimHash fingerprints alone can't find these: at a similarity of 0.8 two fingerprints differ in 10 of 64 bits on average
-and in up to 24, which unrelated texts often do too.  So fingerprints are compared within groups that share more:
-texts with equal sets are one node, and a set's minima under BANDS * ROWS permutations put it in one bucket per band; two
+and in up to 24, which unrelated texts often do too.  So fingerprints, of WORDS times 64 bits, are compared within groups
+that share more: texts with equal sets are one node, and a set's minima under BANDS * ROWS permutations put it in one bucket per band; two
 sets of similarity 0.8 share none with a chance of 5 in 100000, more similar ones with less.  Links come only from
-comparing the sets themselves.  In each of two rounds the nodes of a bucket are compared with one of them, and then
-all that still aren't connected are searched for in a Gray-order index of the bucket's fingerprints, so that a group of
-copies isn't expanded to all its pairs.
+comparing the sets themselves.  In each of two rounds the nodes of a bucket are compared with one of them, so that a group of
+copies isn't expanded to all its pairs.  Nodes of buckets that still aren't one component meet once more, by the rarest
+shingles of each: sets of similarity 0.8 always share one of the rarest fifth, while texts that only share a passage
+hardly ever do.  Those that meet are searched for in a Gray-order index of their fingerprints.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches, checkpoint, components
@@ -22,10 +23,15 @@ from factloom.llm.simhash import GrayIndex, gray_rank, voted
 BANDS, ROWS = 25, 5
 #: Shingles hashed at once and shingles permuted at once.
 SLICE, PERMUTED = 1 << 16, 1024
-#: Fingerprints that differ in more bits aren't compared further: 5 deviations over the mean of sets of similarity 0.8.
-MOST_BITS = 26
+#: 64-bit words of a fingerprint.  Fingerprints that differ in more bits, in all or in the first word, aren't compared
+#: further: over 5 deviations more than the mean of sets of similarity 0.8.
+WORDS, MOST_BITS, FIRST_BITS = 4, 72, 26
 #: Nodes of a bucket that one task searches at once; larger buckets are cut into blocks, which meet in pairs.
 BLOCK = 4096
+#: Counters of shingles by which the rarest are told: they order the search and never change its result.
+COUNTERS = 1 << 20
+#: Nodes whose sets are asked for by a broadcast list; beyond that, all sets travel to the join that picks them.
+LISTED_NODES = 2_000_000
 PAIR = "a binary, b binary"
 
 
@@ -58,8 +64,20 @@ def minima(hashes):
     return np.minimum.reduce(parts)
 
 
+def spread(hashes):
+    """The hashes, then WORDS - 1 times hashes made of them, for further words of a fingerprint."""
+    import numpy as np
+
+    yield hashes
+    for n in range(1, WORDS):
+        mixed = (hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        yield mixed ^ (mixed >> np.uint64(29))
+
+
 def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, size, keys, code) of each row: its set's digest and size, a key per band, its fingerprint."""
+    """(doc_id, node, size, keys, code) of each row: its set's digest and size, a key per band, its fingerprint's words."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
@@ -76,18 +94,24 @@ def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
                 least = minima(own) if len(own) else np.zeros(0, dtype=np.uint64)
                 bands = [b.tobytes() for b in least.reshape(-1, ROWS)]
                 keys.append(np.array([xxh64_intdigest(b, n) for n, b in enumerate(bands)], dtype=np.uint64).view(np.int64))
-                codes.append(voted(own))
+                codes.append([voted(x) for x in spread(own)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(codes, type=pa.int64())],
+                [batch.column(0), pa.array(nodes, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(codes, type=pa.list_(pa.int64()))],
                 names=["doc_id", "node", "size", "keys", "code"],
             )
 
-    shape = "doc_id long, node binary, size long, keys array<long>, code long"
+    shape = "doc_id long, node binary, size long, keys array<long>, code array<long>"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, shape)
 
 
-def sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """(node, hashes) of each row's set."""
+def sets(docs: DataFrame, words: int, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of each distinct set among ``wanted`` (node)."""
+    import numpy as np
+
+    asked = None
+    if wanted.count() <= LISTED_NODES:
+        listed = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("n")).toArrow().column("n").to_numpy()
+        asked = docs.sparkSession.sparkContext.broadcast(np.unique(listed))
 
     def run(batches):
         import pyarrow as pa
@@ -95,21 +119,69 @@ def sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
 
         for batch in batches:
             own = [shingle_set(t, words).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(o) for o in own], type=pa.binary()), pa.array(own, type=pa.binary())], names=["node", "hashes"])
+            nodes = [xxh3_128_digest(o) for o in own]
+            if asked is not None and nodes:
+                # By the digest's first half: what else it lets pass goes in the join.
+                half = np.frombuffer(b"".join(nodes), dtype=">i8")[::2].astype(np.int64)
+                at = np.minimum(np.searchsorted(asked.value, half), max(0, len(asked.value) - 1))
+                there = (asked.value[at] == half).tolist() if len(asked.value) else [False] * len(nodes)
+                own, nodes = ([v for v, t in zip(values, there, strict=True) if t] for values in (own, nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.binary()), pa.array(own, type=pa.binary())], names=["node", "hashes"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "node binary, hashes binary")
+    found = docs.select(F.col(text_col)).mapInArrow(run, "node binary, hashes binary")
+    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def rarest(known: DataFrame, least: float) -> DataFrame:
+    """(node, key): of each set of n shingles the n - ceil(least * n) + 1 rarest; sets of that similarity share one of these."""
+    import numpy as np
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(own, dtype="<u8") % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    slots = known.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    shared = known.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            nodes, keys = [], []
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes = np.frombuffer(own, dtype="<u8")
+                most = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+                order = np.lexsort((hashes, shared.value[(hashes % np.uint64(COUNTERS)).astype(np.int64)]))[:most]
+                nodes += [node] * len(order)
+                keys.append(hashes[order].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.binary()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *keys]))], names=["node", "key"])
+
+    return known.select("node", "hashes").mapInArrow(run, "node binary, key long")
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many bits two fingerprints differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
 
 
 def near_one(members: DataFrame, least: float, turn: int) -> DataFrame:
     """Pairs (a, b) of each bucket's node that ``turn`` draws and those in other components that may link with it."""
     drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "size", "code", "component")).alias("one"))
     met = members.join(drawn, "key").where(F.col("component") != F.col("one.component"))
-    close = (F.least("size", "one.size") >= least * F.greatest("size", "one.size")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("one.code"))) <= MOST_BITS)
+    close = (F.least("size", "one.size") >= least * F.greatest("size", "one.size")) & (differing("code", "one.code") <= MOST_BITS)
     return met.where(close).select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
 
 
 def near_others(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes in different components that may link."""
+    """Pairs (a, b) of a key's nodes in different components that may link."""
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     drawn = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets every block from itself on.
@@ -121,7 +193,8 @@ def near_others(members: DataFrame, least: float) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        node, size, code = t.column("node").to_pylist(), t.column("size").to_numpy(), t.column("code").to_numpy().view(np.uint64)
+        node, size = t.column("node").to_pylist(), t.column("size").to_numpy()
+        code = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
         group = np.unique(np.array(t.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
         if not group.any():
             return
@@ -129,14 +202,18 @@ def near_others(members: DataFrame, least: float) -> DataFrame:
         asked, known = np.flatnonzero(block == left), np.flatnonzero(block == right)
         if not len(known) or not len(asked):
             return
-        known = known[np.argsort(gray_rank(code[known]), kind="stable")]
-        index, step = GrayIndex(code[known]), max(1, (1 << 22) // len(known))
+        known = known[np.argsort(gray_rank(code[known, 0]), kind="stable")]
+        index, step = GrayIndex(code[known, 0]), max(1, (1 << 22) // len(known))
         for at in range(0, len(asked), step):
-            who, leaf = index.search(code[asked[at : at + step]], MOST_BITS)
+            who, leaf = index.search(code[asked[at : at + step], 0], FIRST_BITS)
             x, y = asked[at + who], known[leaf]
-            good = (group[x] != group[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
-            if good.any():
-                ends = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True)]
+            # Each pair of a block with itself is met both ways.
+            good = (group[x] != group[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])) & ((left != right) | (x < y))
+            x, y = x[good], y[good]
+            apart = np.bitwise_count(code[x] ^ code[y]).sum(axis=1, dtype=np.int64)
+            x, y, apart = (v[apart <= MOST_BITS] for v in (x, y, apart))
+            if len(x):
+                ends = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
@@ -188,18 +265,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     placed = nodes.select("node", "size", "code", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = checkpoint(placed.join(shared, "key"))
-    known = checkpoint(sets(docs, words, text_col).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    known = checkpoint(sets(docs, words, text_col, members.select("node").distinct()))
     links, groups = [], None
-    for star in (True, True, False):
-        if groups is None:
-            now = members.withColumn("component", F.col("node"))
-        else:
-            # A bucket of one component needs no more.
-            now = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            now = now.join(open_, "key")
-        pairs = near_one(now, least, len(links)) if star else near_others(now, least)
-        links.append(checkpoint(confirmed(checkpoint(pairs), known, least)))
+
+    def told(rows: DataFrame) -> DataFrame:
+        """``rows`` of nodes with their component."""
+        return rows.withColumn("component", F.col("node")) if groups is None else rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Those whose key has nodes of several components."""
+        return rows.join(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "key")
+
+    for step in range(3):
+        now = several(told(members)) if groups is not None else told(members)
+        if step == 2:
+            open_ = checkpoint(now.select("node", "size", "code").distinct())
+            keys = rarest(known.join(open_.select("node"), "node", "left_semi"), least)
+            now = several(told(keys.join(open_, "node")))
+        links.append(checkpoint(confirmed(checkpoint(near_one(now, least, step) if step < 2 else near_others(now, least)), known, least)))
         groups = components(reduce(DataFrame.unionByName, links))
     named = nodes.select("node", "first_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
