@@ -23,7 +23,7 @@ from factloom.llm.common import bound_batches, checkpoint
 #: A bigram seen less often backs off to its last word; a step back costs this factor.
 LEAST_COUNT, BACKOFF = 2, 0.4
 #: Words with at least 1 / FREQUENT of all occurrences are broadcast, with the counts of bigrams of the TOP first ones.
-FREQUENT, TOP = 1 << 20, 1024
+FREQUENT, TOP = 1 << 20, 2048
 #: Bytes of texts that are hashed at once, up to the end of a word.
 CHUNK = 1 << 19
 #: Rows of an Arrow batch that a task returns.
@@ -202,7 +202,6 @@ def exploded(rows: DataFrame, shared, total: int, least: int, backoff: float) ->
 
         frequent, known, row = shared.value, Words(), TaskContext.get().partitionId() << 32
         log_count = np.log(np.maximum(frequent.count, 1))
-        log_pairs = np.log(np.maximum(frequent.pairs, 1))
         step, log_total = np.log(backoff), np.log(max(total, 1))
         names = ["kind", "key", "other", "row", "times", "doc_id", "base"]
         for batch in batches:
@@ -211,8 +210,9 @@ def exploded(rows: DataFrame, shared, total: int, least: int, backoff: float) ->
             u = before(w, sizes)
             text = np.repeat(np.arange(len(sizes)), sizes)
             top, place = frequent.first_pairs(u, w)
-            hit = frequent.pairs[place] >= least
-            value = np.where(hit, log_pairs[place] - log_count[u[top]], step + log_count[w[top]] - log_total)
+            times_met = frequent.pairs[place]
+            hit = times_met >= least
+            value = np.where(hit, np.log(np.maximum(times_met, 1)) - log_count[u[top]], step + log_count[w[top]] - log_total)
             begins = (u == START) & (w > 0)
             base = np.bincount(text[top], value, minlength=len(sizes)) + np.bincount(text[begins], log_count[w[begins]] - log_total, minlength=len(sizes))
             pair, second, first = (u > 0) & (w > 0) & ~top, w < 0, u < 0
