@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end by size as well as by rows, so that very long texts don't pile up."""
+    """Let Arrow batches end by size as well as by rows, so that very long texts don't pile up.
+
+    This changes a setting of the session, which stays: the plans made later need it when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 from hashlib import sha256
 from zlib import crc32
 
@@ -127,15 +128,16 @@ def language(text: str | None, model, names: dict[str, int], unknown: int) -> tu
         for stretch in langid.stretches(run):
             seen = True
             for k in range(len(langs)):
-                sums = [1.0]
+                # Exact rational sums, so that nothing underflows.
+                sums = [Fraction(1)]
                 for end in range(1, len(stretch) + 1):
-                    value = 0.0
+                    value = Fraction(0)
                     for start in range(max(0, end - langid.LONGEST), end):
                         piece = names.get(stretch[start:end], unknown if end - start == 1 else None)
                         if piece is not None:
-                            value += sums[start] * weights[piece][k]
+                            value += sums[start] * Fraction(float(weights[piece][k]))
                     sums.append(value)
-                total[k] += math.log(sums[-1])
+                total[k] += math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
     if not seen or not langs:
         return "und", 0.0
     best = max(range(len(langs)), key=lambda k: total[k])
