@@ -86,7 +86,7 @@ FROM t LEFT JOIN d USING (r)
 
 def revisits() -> str:
     return f"""
-WITH c AS (SELECT page_id, (page_id * 7919) % 10 AS kind, (page_id * 31) % 3 AS v, (page_id * 104729) % 1000003 AS date,
+WITH c AS (SELECT page_id, (page_id * 7919) % 10 AS kind, (page_id // 7) % 3 AS v, (page_id * 104729) % 1000003 AS date,
                   CASE WHEN contains(url, '://') THEN CASE WHEN page_id % 3 = 0 THEN 'hot.example/' ELSE regexp_replace({urlfilter.node_sql("url", ", 'g'")}, '[0-9]+', '', 'g') END END AS url_key FROM pages),
 t AS (SELECT *, CASE WHEN kind IN (1, 2, 5, 9) THEN 'v' || v END AS tag, CASE WHEN kind IN (0, 2, 6) THEN 'day ' || v END AS modified,
              CASE WHEN kind IN (7, 9) OR (kind = 3 AND page_id % 2 = 0) THEN md5(CAST(v AS VARCHAR)) END AS digest FROM c),

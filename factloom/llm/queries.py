@@ -40,7 +40,7 @@ def captures(pages: DataFrame) -> DataFrame:
     """
     n = F.col("page_id")
     key = F.when(n % 3 == 0, F.lit("hot.example/")).otherwise(F.regexp_replace(F.expr(urlfilter.node_sql("url")), "[0-9]+", ""))
-    kind, version = (n * 7919) % 10, (n * 31) % 3
+    kind, version = (n * 7919) % 10, F.floor(n / 7) % 3
     tag, changed, digest = F.concat(F.lit("v"), version.cast("string")), F.concat(F.lit("day "), version.cast("string")), F.md5(version.cast("string"))
     response, date = kind < 5, (n * 104729) % 1000003
     etag = F.when(kind.isin(1, 2), tag).when(kind.isin(5, 9), F.concat(F.lit("W/"), tag))
