@@ -236,3 +236,14 @@ def route(sources: DataFrame, records: DataFrame, items: DataFrame, assigned: Da
     for part in parts[1:]:
         every = every.unionByName(part)
     return every
+
+
+def extraction_summary(items: DataFrame, held: DataFrame, observations: DataFrame) -> DataFrame:
+    """One row: work items, those whose earlier observations were used again, those read now, and observations.
+
+    ``held``: the earlier observations that were used again; an observation counts once, whatever its sources.
+    """
+    again = held.select("work_item_id").distinct().withColumn("again", F.lit(True))
+    counts = items.select("work_item_id").join(again, "work_item_id", "left").agg(F.count("*").alias("work_items"), F.count_if("again").alias("reused"))
+    total = observations.agg(F.countDistinct("observation_id").alias("observations"))
+    return counts.join(F.broadcast(total)).select("work_items", "reused", (F.col("work_items") - F.col("reused")).alias("extracted"), "observations")

@@ -138,6 +138,11 @@ def build_facts(observations: DataFrame, index: DataFrame) -> tuple[DataFrame, D
     return joined, fact_sources(told, facts), fact_entities(told, facts), fact_evidence(told, facts)
 
 
+def ordered(facts: DataFrame) -> DataFrame:
+    """Facts in the order of kind and subject, as Unicode collates them."""
+    return facts.orderBy(F.collate(F.concat_ws(":", "kind", F.coalesce("subject_id", "fact_id")), "UNICODE"), "fact_id")
+
+
 def fact_counts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("kind").agg(F.count("*").alias("facts"))
 

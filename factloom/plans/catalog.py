@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import naming, numbers, text
 from factloom.sources.files import applied_drops, drops
 from factloom.operators.rounds import cut
-from factloom.operators import changes, conversations, entities, extract, facts, graph, linking, registry, sections, triage, views, workqueue
+from factloom.operators import changes, conversations, entities, extract, facts, graph, linking, normalize, registry, sections, triage, views, workqueue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The property of the stand-in tables.
@@ -196,6 +196,34 @@ def daily_drop(t: Tables) -> DataFrame:
     return t.events.groupBy(day("ts").alias("day"), "event_type").agg(F.count("*").alias("events"), F.sum(F.col("value").cast(MONEY)).cast("double").alias("total"))
 
 
+def _sources(t: Tables) -> DataFrame:
+    """Documents as normalized sources of five kinds, every eleventh in a daily drop."""
+    n, text_ = F.col("doc_id"), lambda c: c.cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ["invoice_pdf", "letter_pdf", "bank_csv", "master_data", "index_csv"])), (n % 5 + 1).cast("int"))
+    meta = normalize.meta(row_count=n % 3, contractor_id=F.concat(F.lit("DL-"), text_(n % 7)), duplicate=n % 13 == 0, fake=F.lit(False), letter_type=F.concat(F.lit("typ"), text_(n % 4)), format=F.lit("csv"))
+    return t.documents.select(
+        F.concat(F.lit("S-"), text_(n)).alias("source_id"), kind.alias("kind"), F.concat(F.lit("data/x/2024-0"), text_(n % 9 + 1), F.lit("/20240101_typ"), text_(n % 4), F.lit("_LTR-"), text_(n), F.lit(".pdf")).alias("path"),
+        F.array(F.concat(F.lit("DL-"), text_(n % 7)), F.concat(F.lit("INV-"), text_(n % 50))).alias("declared_ids"), F.when(n % 2 == 0, "2024-01-15").alias("source_date"), F.when(n % 11 == 0, "day-01").alias("day"),
+        F.array(F.concat(F.lit("n/"), text_(n))).alias("normalized_paths"), F.sha2(F.col("text"), 256).alias("normalized_sha256"), meta.alias("meta"),
+    )
+
+
+@query
+def queue_members(t: Tables) -> DataFrame:
+    return workqueue.members(_sources(t))
+
+
+@query
+def queue_items(t: Tables) -> DataFrame:
+    sources = _sources(t)
+    items = workqueue.work_items(workqueue.members(sources), sources)
+    g = lambda c: F.col(f"glimpse.{c}")
+    return items.select(
+        "work_item_id", "kind", "processor", g("sourceCount").alias("sources"), g("summary").alias("summary"), F.array_join(g("labels"), ",").alias("labels"), F.array_join(F.transform(F.array_sort(F.map_entries(g("metrics"))), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("metrics"),
+        F.array_join(g("dateRange"), "..").alias("dates"), F.array_join(g("entityHints"), ",").alias("hints"),
+    )
+
+
 # -- entities and links ------------------------------------------------------------------------------------------
 
 

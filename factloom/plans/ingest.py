@@ -172,6 +172,9 @@ class _Ingest:
         members = assigned.join(fresh.select("kind", "group_key"), ["kind", "group_key"], "left_semi")
         found = extract.route(sources, self.out["records"].select("source_id", "field", "line_no", "row"), fresh, members, PROPERTY_ID)
         plain = self.keep("deterministic", held.select(*schema.names).unionByName(found.select(*schema.names)))
+        summary = extract.extraction_summary(items, held, plain).first().asDict()
+        self.out.counts |= {f"extraction_{k}": v for k, v in summary.items()}
+        self.tell("deterministic_extraction", f"Deterministic extraction produced {summary['observations']} observations, {summary['reused']} work items reused.")
         ids = assigned.join(items.select("work_item_id", "kind", "group_key"), ["kind", "group_key"]).select("work_item_id", "source_id")
         links = self.out["item_candidates"].select("work_item_id", "entity_id", "match_type", "inherited_from")
         hashed = triage.item_hash(items, links, SEMANTIC_VERSION, "none" if self.extractor is None else "given", self.limit)
@@ -182,7 +185,6 @@ class _Ingest:
         decisions = self.keep("decisions", kept.select("work_item_id", "input_hash", "categories", "decision", "reason", "decision_id").unionByName(triage.decide(asked, self.limit, self.extractor is not None)))
         self.out.counts |= {f"decided_{k}": v for k, v in triage.decision_counts(decisions).first().asDict().items()}
         self.tell("semantic_extraction", f"{self.out.counts['decided_decisions']} work items decided.")
-        self.out.counts["observations"] = plain.select("observation_id").distinct().count()
         if self.extractor is None:
             return self.keep("observations", extract.union(plain))
         chosen = decisions.where("decision = 'deep_extract'").select("work_item_id", "input_hash")

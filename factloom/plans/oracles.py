@@ -113,6 +113,11 @@ tr AS (SELECT *, score + least(size, 8) AS priority FROM sc)"""
 
 SELECTED = f"""{triage_scores()}, rk AS (SELECT *, CASE WHEN actionable THEN row_number() OVER (PARTITION BY actionable ORDER BY priority DESC, size DESC, id) END AS k FROM tr),
 sel AS (SELECT id, CASE WHEN actionable AND k <= {DEEP_LIMIT} THEN 'deep_extract' WHEN actionable THEN 'deferred' WHEN noise THEN 'ignore' ELSE 'metadata_only' END AS decision FROM rk)"""
+QUEUE = """src AS (SELECT *, ['invoice_pdf', 'letter_pdf', 'bank_csv', 'master_data', 'index_csv'][doc_id % 5 + 1] AS k FROM documents),
+mem AS (SELECT doc_id, 'S-' || doc_id AS source_id, CASE WHEN doc_id % 11 = 0 THEN 'incremental_day' WHEN k = 'invoice_pdf' THEN 'invoice_group' WHEN k = 'letter_pdf' THEN 'letter_group' WHEN k = 'bank_csv' THEN 'bank_group' ELSE 'master_data_bundle' END AS kind,
+ CASE WHEN doc_id % 11 = 0 THEN 'day-01' WHEN k = 'invoice_pdf' THEN 'DL-' || doc_id % 7 || ':INV-' || doc_id % 50 WHEN k = 'letter_pdf' THEN CASE WHEN doc_id % 2 = 0 THEN '2024-01' ELSE '2024-0' || (doc_id % 9 + 1) END || ':typ' || doc_id % 4
+ WHEN k = 'bank_csv' THEN 'base-bank-ledger' ELSE 'base-master-data-and-indexes' END AS group_key FROM src)"""
+
 ORACLES = {
     "inventory_hash": "SELECT doc_id, sha256(text) AS raw_sha256, CAST(length(text) AS BIGINT) AS chars FROM documents",
     "classify_sources": """SELECT page_id, CASE WHEN page_id % 4 = 0 AND url NOT LIKE '%/' THEN 'invoice_pdf' WHEN page_id % 4 = 1 AND url NOT LIKE '%/' THEN 'email' WHEN page_id % 4 = 2 THEN 'index_csv' ELSE 'unknown' END AS kind FROM pages""",
@@ -261,4 +266,15 @@ SELECT 'provenance' AS section_id, CAST(0 AS INTEGER) AS part, lpad(CAST(k AS VA
 SELECT 0 AS part, unnest(['- Invoice facts: ' || (SELECT count(*) FROM orders), '- Amount available from structured index: ' || (SELECT count(*) FROM orders), '- Metadata-only PDF invoices pending text extraction: 0', '- Review/anomaly candidates: ' || (SELECT count(*) FROM r),
  '- Complete invoice ledger is in contexts/LIE-001/fact-index.json; Context.md shows review items and latest invoices only.', '', '### Review Candidates', '']) AS line
 UNION ALL SELECT 2, '| ' || i || ' | ' || {DAY('o_orderdate')} || ' | DL-' || o_custkey || ' | ' || o_orderkey || ' | ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || ' | needs_review | [INDEX-BASE] |' FROM r""",
+    "queue_members": f"WITH {QUEUE} SELECT kind, group_key, source_id FROM mem",
+    "queue_items": f"""WITH {QUEUE}, h AS (SELECT DISTINCT kind, group_key, unnest(['DL-' || doc_id % 7, 'INV-' || doc_id % 50]) AS h FROM mem), hk AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY kind, group_key ORDER BY h) <= 12),
+hh AS (SELECT kind, group_key, string_agg(h, ',' ORDER BY h) AS hints FROM hk GROUP BY 1, 2),
+g AS (SELECT kind, group_key, count(*) AS n, CAST(sum(doc_id % 3) AS BIGINT) AS r, count(*) FILTER (WHERE doc_id % 13 = 0) AS f, bool_or(doc_id % 2 = 0) AS dated, min('DL-' || doc_id % 7) AS dl, min('typ' || doc_id % 4) AS typ FROM mem GROUP BY 1, 2),
+p AS (SELECT *, CASE WHEN n = 1 THEN '' ELSE 's' END AS s, CASE WHEN r = 1 THEN '' ELSE 's' END AS rs FROM g JOIN hh USING (kind, group_key))
+SELECT upper('WI-' || kind || '-' || replace(group_key, ':', '-')) AS work_item_id, kind, CASE kind WHEN 'letter_group' THEN 'pdf_letter_extractor' WHEN 'invoice_group' THEN 'invoice_bank_reconciler' WHEN 'bank_group' THEN 'invoice_bank_reconciler' ELSE 'structured_extractor' END AS processor, CAST(n AS BIGINT) AS sources,
+ CASE kind WHEN 'invoice_group' THEN n || ' invoice source' || s || ' for ' || dl || '.' WHEN 'letter_group' THEN n || ' letter source' || s || ' grouped by ' || typ || '.' WHEN 'bank_group' THEN n || ' bank source' || s || ' with ' || r || ' parsed CSV row' || rs || '.'
+ WHEN 'incremental_day' THEN 'day-01 daily drop with ' || n || ' new source' || s || '.' ELSE 'Canonical master data plus base index files for property identity, entity alignment, and starting ledger/document indexes.' END AS summary,
+ CASE kind WHEN 'invoice_group' THEN 'invoice,pdf-metadata' WHEN 'letter_group' THEN 'letter,pdf-metadata' WHEN 'bank_group' THEN 'bank,ledger,reconciliation' WHEN 'incremental_day' THEN 'incremental,day-01' ELSE 'master-data,identity,indexes' END AS labels,
+ CASE kind WHEN 'invoice_group' THEN 'flaggedFilenameCount=' || f || ',invoiceSourceCount=' || n WHEN 'letter_group' THEN 'letterSourceCount=' || n WHEN 'bank_group' THEN 'bankSourceCount=' || n || ',parsedRowCount=' || r WHEN 'incremental_day' THEN 'newSourceCount=' || n || ',parsedRowCount=' || r
+ ELSE 'parsedRowCount=' || r || ',sourceFileCount=' || n END AS metrics, CASE WHEN dated THEN '2024-01-15..2024-01-15' END AS dates, hints FROM p""",
 }

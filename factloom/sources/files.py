@@ -156,5 +156,10 @@ def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Indented JSON, for tables that people read."""
+    df.write.mode("overwrite").option("pretty", True).json(path)
+
+
 def write_texts(df: DataFrame, path: str, text_col: str = "text") -> None:
     df.select(F.col(text_col)).write.mode("overwrite").text(path)

@@ -225,3 +225,13 @@ def test_top_per_group(spark):
     rows = spark.createDataFrame([(1, i) for i in range(5)], "g int, v int")
     assert [r.v for r in workqueue.top_per_group(rows, ["g"], [F.desc("v")], 2).orderBy("rank").collect()] == [4, 3]
     assert workqueue.first_and_last(rows, "g", "v", "v").first().last_value == 4
+
+
+def test_order_of_facts(spark):
+    rows = spark.createDataFrame([("b", "x", "1"), ("a", "Y", "2"), ("a", "y", "3"), ("a", None, "0")], "kind string, subject_id string, fact_id string")
+    assert [r.fact_id for r in facts.ordered(rows).collect()] == ["0", "3", "2", "1"]
+
+
+def test_indented_json(spark, tmp_path):
+    files.write_json(spark.createDataFrame([("v",)], "a string"), str(tmp_path / "j"))
+    assert "".join(p.read_text() for p in (tmp_path / "j").glob("part-*")).split() == ["{", '"a"', ":", '"v"', "}"]

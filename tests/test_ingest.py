@@ -89,6 +89,7 @@ def test_triage(runs):
 def test_second_run_reuses_and_tells_changes(runs):
     first, second = runs
     assert second.counts["reused_normalized"] == first.counts["normalized"]
+    assert first.counts["extraction_reused"] == 0 and second.counts["extraction_reused"] == first.counts["extraction_work_items"] and second.counts["extraction_extracted"] == 1
     assert (second.counts["facts_added"], second.counts["facts_removed"]) == (2, 0) and second.counts["facts_previous"] == first.counts["facts_following"]
     touched = {r.view for r in second["affected_views"].collect()}
     assert {"contexts/LIE-001/Context.md#invoices", "contexts/LIE-001/view-manifest.json", "contexts/LIE-001/entities/INV-00010.md", "contexts/LIE-001/entities/DL-007.md"} <= touched
