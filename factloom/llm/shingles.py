@@ -28,6 +28,8 @@ SLICE, PERMUTED = 1 << 16, 1024
 WORDS, MOST_BITS, FIRST_BITS = 4, 72, 26
 #: Nodes of a bucket that one task searches at once; larger buckets are cut into blocks, which meet in pairs.
 BLOCK = 4096
+#: Groups of up to so many nodes are compared all at once with others; pairs that a task remembers so as to tell them once.
+SMALL, REMEMBERED = 8, 500_000
 #: Counters of shingles by which the rarest are told: they order the search and never change its result.
 COUNTERS = 1 << 20
 #: Nodes whose sets are asked for by a broadcast list; beyond that, all sets travel to the join that picks them.
@@ -189,48 +191,67 @@ def near_others(members: DataFrame, least: float) -> DataFrame:
     sent = met.withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
     dealt = sent.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
 
-    def pairs(t):
-        import numpy as np
-        import pyarrow as pa
-
-        node, size = t.column("node").to_pylist(), t.column("size").to_numpy()
-        code = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        group = np.unique(np.array(t.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
-        if not group.any():
-            return
-        block, left, right = t.column("block").to_numpy(), t.column("left")[0].as_py(), t.column("right")[0].as_py()
-        asked, known = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        if not len(known) or not len(asked):
-            return
-        known = known[np.argsort(gray_rank(code[known, 0]), kind="stable")]
-        index, step = GrayIndex(code[known, 0]), max(1, (1 << 22) // len(known))
-        for at in range(0, len(asked), step):
-            who, leaf = index.search(code[asked[at : at + step], 0], FIRST_BITS)
-            x, y = asked[at + who], known[leaf]
-            # Each pair of a block with itself is met both ways.
-            good = (group[x] != group[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])) & ((left != right) | (x < y))
-            x, y = x[good], y[good]
-            apart = np.bitwise_count(code[x] ^ code[y]).sum(axis=1, dtype=np.int64)
-            x, y, apart = (v[apart <= MOST_BITS] for v in (x, y, apart))
-            if len(x):
-                ends = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        seen: set = set()
+
+        def search(group):
+            """Pairs of places of one large group: those of its left block found in an index of its right block."""
+            block, code, at = group["block"], group["code"][:, 0], group["at"]
+            asked, known = np.flatnonzero(block == group["left"][0]), np.flatnonzero(block == group["right"][0])
+            known = known[np.argsort(gray_rank(code[known]), kind="stable")]
+            if not len(known):
+                return
+            index, step = GrayIndex(code[known]), max(1, (1 << 22) // len(known))
+            for begin in range(0, len(asked), step):
+                who, leaf = index.search(code[asked[begin : begin + step]], FIRST_BITS)
+                x, y = asked[begin + who], known[leaf]
+                # Each pair of a block with itself is met both ways.
+                once = (group["left"][0] != group["right"][0]) | (x < y)
+                yield at[x[once]], at[y[once]]
+
+        def told(t):
+            """Pairs among whole groups: small ones all at once, by their distance in the table."""
+            c = {n: t.column(n).to_numpy() for n in ("key", "left", "right", "block", "size")}
+            c["code"] = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+            node, component = t.column("node").to_pylist(), t.column("component").to_pylist()
+            # A number that is equal where the component is.
+            number = {x: i for i, x in enumerate(dict.fromkeys(component))}
+            group = np.fromiter(map(number.__getitem__, component), dtype=np.int64, count=len(component))
+            fresh = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["left"][1:] != c["left"][:-1]) | (c["right"][1:] != c["right"][:-1])]
+            first = np.flatnonzero(fresh)
+            sizes = np.diff(np.r_[first, t.num_rows])
+            last, own = np.repeat(first + sizes, sizes), np.repeat(sizes, sizes)
+            at = np.arange(t.num_rows)
+            found = [(x, x + n) for n in range(1, SMALL) for x in [at[(own <= SMALL) & (at + n < last)]]]
+            # Of two blocks only pairs across them are asked for.
+            found = [(x[m], y[m]) for x, y in found for m in [(c["left"][x] == c["right"][x]) | (c["block"][x] != c["block"][y])]]
+            for begin, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                found += search({n: v[begin : begin + size] for n, v in c.items()} | {"at": at[begin : begin + size]})
+            for x, y in found:
+                good = (group[x] != group[y]) & (np.minimum(c["size"][x], c["size"][y]) >= least * np.maximum(c["size"][x], c["size"][y]))
+                x, y = x[good], y[good]
+                near = np.bitwise_count(c["code"][x] ^ c["code"][y]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+                ends = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True)} - seen
+                if ends:
+                    seen.update(ends)
+                    yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             key = np.stack([t.column(c).to_numpy() for c in ("key", "left", "right")])
-            begin = 0
-            for end in (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist():
-                yield from pairs(t.slice(begin, end - begin))
-                begin = end
-            held = t.slice(begin)
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if len(ends):
+                yield from told(t.slice(0, int(ends[-1])))
+                t = t.slice(int(ends[-1]))
+            held = t
         if held is not None and held.num_rows:
-            yield from pairs(held)
+            yield from told(held)
 
     return dealt.select("key", "left", "right", "block", "node", "size", "component", "code").mapInArrow(run, PAIR).distinct()
 
