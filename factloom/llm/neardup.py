@@ -25,9 +25,9 @@ from factloom.llm.common import checkpoint, components
 #: Hyperplanes, orders of their sides, and how many nodes next to it in each order a node is compared with.
 BITS, ORDERS, NEXT = 256, 16, 8
 #: Length of the first lists and of the longest ones; neighbours of others that a node brings along.
-SHORTEST, LONGEST, REVERSE = 8, 64, 16
+SHORTEST, LONGEST, REVERSE = 8, 32, 16
 #: Rounds end when under this share of the lists' places changes.
-SETTLED = 0.002
+SETTLED = 0.05
 #: Deviations over the mean of a threshold pair up to which sketches may be links.
 DEVIATIONS = 5
 #: Vectors per block of a cell, nodes of the audit, graphs made before all nodes are compared.
@@ -227,7 +227,7 @@ def met(lists: DataFrame, known: DataFrame, lengths: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from told([group(held)])
 
-    return dealt.mapInArrow(compare, LISTS).distinct()
+    return dealt.mapInArrow(compare, LISTS)
 
 
 def descend(known: DataFrame, most: int) -> DataFrame:
@@ -237,9 +237,10 @@ def descend(known: DataFrame, most: int) -> DataFrame:
     places = lists.count()
     while places:
         better = checkpoint(nearest(lists.unionByName(met(lists, known, lengths)), lengths))
-        changed = better.join(lists.select("id", "other"), ["id", "other"], "left_anti").count()
-        lists, places = better, better.count()
-        if changed > SETTLED * places:
+        same = better.join(lists.select("id", "other", F.lit(1).alias("same")), ["id", "other"], "left")
+        places, kept = same.agg(F.count("*"), F.count("same")).first()
+        lists = better
+        if places - kept > SETTLED * places:
             continue
         full = lists.groupBy("id").agg(F.count("*").alias("n"), F.max("apart").alias("last")).where(F.col("last") <= most)
         longer = checkpoint(lengths.join(full, "id", "left").select("id", F.when((F.col("n") >= F.col("length")) & (F.col("length") < LONGEST), 2 * F.col("length")).otherwise(F.col("length")).cast("int").alias("length"), "length").toDF("id", "length", "before"))
