@@ -102,3 +102,26 @@ SELECT page_id AS record_id, url_key, date, CASE WHEN ok THEN id END AS resolved
                                     'etag=' || COALESCE(own, CASE WHEN ok THEN a_tag END), 'last-modified=' || COALESCE(modified, CASE WHEN ok THEN a_modified END)], lambda x: x IS NOT NULL), ';') AS headers
 FROM h
 """
+
+
+def filter_audit() -> str:
+    return r"""
+WITH t AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+f AS (SELECT doc_id, part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+             100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, COALESCE(doc_id > first, FALSE) AS e FROM w),
+l AS (SELECT doc_id, bool_or(COALESCE(quality = 1, FALSE)) AS good, bool_or(COALESCE(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS mask,
+             count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT v.f || w.f || x.f || y.f || z.f AS filter_order FROM x v, x w, x, x y, x z WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS here, filter_order[1:step - 1] AS before FROM o, range(1, 6) r(step)),
+k AS (SELECT *, contains(mask, here) AS fails, step > 1 AND regexp_matches(mask, '[' || CASE WHEN step > 1 THEN before ELSE '-' END || ']') AS gone FROM m, s),
+g AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, here, sum(n) FILTER (WHERE NOT gone AND NOT fails) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed,
+             sum(n) FILTER (WHERE fails AND gone) AS redundant, sum(n) FILTER (WHERE mask = here) AS unique_fails,
+             sum(good) FILTER (WHERE fails AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE fails AND NOT gone) AS toxic_lost FROM k GROUP BY ALL)
+SELECT part, filter_order, step, CAST(COALESCE(kept, 0) AS BIGINT) AS kept, CAST(COALESCE(removed, 0) AS BIGINT) AS removed, CAST(COALESCE(redundant, 0) AS BIGINT) AS redundant,
+       CAST(COALESCE(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(COALESCE(good_lost, 0) AS BIGINT) AS good_lost, CAST(COALESCE(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(COALESCE(sum(removed) OVER (PARTITION BY part, here), 0) AS BIGINT) AS shapley
+FROM g
+"""
