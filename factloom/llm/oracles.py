@@ -125,3 +125,23 @@ SELECT part, filter_order, step, CAST(COALESCE(kept, 0) AS BIGINT) AS kept, CAST
        CAST(COALESCE(sum(removed) OVER (PARTITION BY part, here), 0) AS BIGINT) AS shapley
 FROM g
 """
+
+
+def collocations() -> str:
+    return r"""
+WITH t AS (SELECT row_number() OVER () AS r, COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS x(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1),
+half AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS cut FROM c),
+both_ AS (SELECT *, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest FROM half),
+cut AS (SELECT b.lang, b.phrase, a, cut, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+        FROM both_ b JOIN f x ON x.lang = b.lang AND x.phrase = b.first JOIN f y ON y.lang = b.lang AND y.phrase = b.rest),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, a, unnest(list_transform([[1, 2], [2, 2], [3, 2], [1, 3], [2, 3]], lambda p: CASE WHEN p[2] < k AND p[1] + p[2] - 1 <= k THEN array_to_string(ws[p[1]:p[1] + p[2] - 1], ' ') END)) AS phrase FROM c WHERE k > 2),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM inner_ WHERE phrase IS NOT NULL GROUP BY ALL),
+d AS (SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100::HUGEINT * longest < 80 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM d JOIN n USING (lang) WHERE rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, filteraudit, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter, warc
+from factloom.llm import bpe, collocations, filteraudit, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter, warc
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
@@ -85,6 +85,10 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
 
 
+def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_wide_packed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
@@ -94,4 +98,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_wide_packed_counters": oracles.filter_audit(), "op5_revisit_resolution": oracles.revisits(), "op3_stupid_backoff": oracles.stupid_backoff(), "op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
+    return {"op12_son_collocations": oracles.collocations(), "op13_wide_packed_counters": oracles.filter_audit(), "op5_revisit_resolution": oracles.revisits(), "op3_stupid_backoff": oracles.stupid_backoff(), "op2_redirect_equivalence": oracles.url_filter(URL_RULES), "op4_risk_controlled_rules": oracles.quality_rules()}
