@@ -53,8 +53,13 @@ class Words:
                 self.hashes.append(xxh64_intdigest(word))
                 return number
 
+        self.numbers = Numbers()
+        self.forget()
+
+    def forget(self) -> None:
         self.words, self.hashes = [b"\n", b""], [0, 0]
-        self.numbers = Numbers({b"\n": 0, b"": 1})
+        self.numbers.clear()
+        self.numbers.update({b"\n": 0, b"": 1})
 
     def of(self, text: bytes) -> Iterator:
         """Arrays of the text's numbers, each ended by 0; only a piece longer than SLICE is taken in one."""
@@ -134,15 +139,19 @@ class Buffer:
     """Numbers of words by group (a shard and a language, or a language) until a block is full."""
 
     def __init__(self):
+        self.words = Words()
         self.clear()
 
-    def clear(self):
-        self.words, self.parts, self.size = Words(), {}, 0
+    def clear(self) -> None:
+        self.words.forget()
+        self.parts, self.size = {}, 0
 
-    def add(self, group, text: bytes) -> None:
+    def add(self, group, text: bytes) -> Iterator:
+        """Take the text in, slice by slice, and say after each whether the block is full."""
         for found in self.words.of(text):
             self.parts.setdefault(group, []).append(found)
             self.size += len(found)
+            yield self.full
 
     @property
     def full(self) -> bool:
@@ -211,10 +220,10 @@ def _read(batches, group, flush) -> Iterator:
     buffer = Buffer()
     for batch in batches:
         for shard, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            buffer.add(group(shard, lang), text)
-            if buffer.full:
-                yield from flush(buffer)
-                buffer.clear()
+            for full in buffer.add(group(shard, lang), text):
+                if full:
+                    yield from flush(buffer)
+                    buffer.clear()
     yield from flush(buffer)
 
 
