@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, collocations, filteraudit, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter, warc
+from factloom.llm import attention, bpe, collocations, filteraudit, langid, licenses, neardup, ngrams, oracles, packing, quality, simhash, urlfilter, warc
 from factloom.llm.common import table
 from factloom.llm.wordbpe import public_vocabulary
 
@@ -85,6 +85,13 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
 
 
+def op11_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention.train(docs, table(spark, sf_dir, "labels"))
+    scored = attention.score(docs, model)
+    return scored.select("doc_id", attention.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages", "top_passage")
+
+
 def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
