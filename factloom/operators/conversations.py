@@ -17,9 +17,9 @@ def flatten_parts(parts: Column) -> Column:
     return F.array_join(F.filter(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), lambda x: x != ""), "\n")
 
 
-def shown(messages: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
-    """Messages without those of tools and without blank ones."""
-    return messages.where((F.col(role) != "tool") & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
+def shown(messages: DataFrame, role: str = "role") -> DataFrame:
+    """Messages without those of tools; blank ones stay."""
+    return messages.where(~F.col(role).eqNullSafe("tool"))
 
 
 def titles(messages: DataFrame, key: str, order: str, most: int = TITLE) -> DataFrame:

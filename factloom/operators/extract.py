@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import iso_from_german
-from factloom.functions.text import OBSERVED_ID_PATTERN, json_id, mentions, sorted_distinct, split_list, trim
+from factloom.functions.text import OBSERVED_ID_PATTERN, json_id, mentions, sorted_distinct, split_list, stable_id, trim
 from factloom.operators.entities import display_name, entity_type, present
+from factloom.operators.rounds import once
 
 OBSERVATION = ["observation_id", "work_item_id", "input_hash", "source_id", "kind", "statement", "mentions", "evidence", "decision", "reason", "processor", "attributes"]
 # Reasons.
@@ -52,10 +53,14 @@ def observe(rows: DataFrame, kind: str, statement: Column, attributes: Column, r
     Mentions are the ids in statement, attributes and source id, sorted.
     """
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    made = rows.select("source_id", "work_item_id", "input_hash", statement.alias("statement"), attributes.alias("a"), lit(decision).alias("decision"), lit(reason).alias("reason"), seen.alias("evidence")).withColumn("attributes", F.to_json("a"))
-    found = sorted_distinct(mentions(F.concat_ws(" ", "statement", "attributes", "source_id"), OBSERVED_ID_PATTERN))
-    identity = json_id("OBS", inputHash=F.col("input_hash"), kind=F.lit(kind), sourceIds=F.array("source_id"), statement=F.col("statement"), attributes=F.col("a"))
-    return made.select(identity.alias("observation_id"), "work_item_id", "input_hash", "source_id", F.lit(kind).alias("kind"), "statement", found.alias("mentions"), "evidence", "decision", "reason", F.lit(processor).alias("processor"), "attributes")
+    said = {"statement": statement, "attributes": F.to_json(attributes), "decision": lit(decision), "reason": lit(reason), "evidence": seen}
+    made = once(rows, said).select("source_id", "work_item_id", "input_hash", *said)
+    # The id's JSON text ends with that of the attributes, which is written once.
+    head = F.to_json(F.struct(F.col("input_hash").alias("inputHash"), F.lit(kind).alias("kind"), F.array("source_id").alias("sourceIds"), "statement"))
+    identity = stable_id("OBS", F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"attributes":'), F.col("attributes"), F.lit("}")))
+    found = F.array_sort(mentions(F.concat_ws(" ", "statement", "attributes", "source_id"), OBSERVED_ID_PATTERN))
+    told = once(made, {"_head": head})
+    return told.select(identity.alias("observation_id"), "work_item_id", "input_hash", "source_id", F.lit(kind).alias("kind"), "statement", found.alias("mentions"), "evidence", "decision", "reason", F.lit(processor).alias("processor"), "attributes")
 
 
 def _row(c: str) -> Column:

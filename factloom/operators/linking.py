@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import within_dates
 from factloom.operators.rounds import cut
 
 # Types of aliases that aren't searched for, those that count at any length, the length of others, types
@@ -16,6 +15,8 @@ SEARCHED_TEXT, MOST_CANDIDATES = 60_000, 40
 # End of fixed values.
 
 CANDIDATE = ["source_id", "entity_id", "match_type", "inherited_from", "evidence"]
+#: Edges of a graph's cycles that one task solves (about 200 MB there); more are solved by rounds of joins.
+ONE_TASK = 500_000
 #: Characters of all terms that one automaton holds; more terms are dealt over several, each of which scans the texts.
 TERM_CHARACTERS = 20_000_000
 
@@ -86,39 +87,149 @@ def alias_links(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return hits.select("source_id", "entity_id", kind.alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.col("alias").alias("evidence")).distinct()
 
 
-def expand(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None) -> DataFrame:
-    """Candidates for everything the direct ones relate to, until nothing is new.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of a directed graph (from_id, to_id) that lie on a cycle; the smallest id names it.
 
-    ``direct``: source_id, entity_id and day; ``edges``: from_id, to_id.  Every edge walked is a candidate, but an
-    entity is walked from once per source, so that cycles end.  ``gated`` (entity_id, valid_from, valid_to) are entities,
-    tenants, from which nothing is walked on days out of their range.  Each round is written, so that plans stay short.
+    Edges that can't lie on a cycle are trimmed first, which leaves little of a hierarchy.  Then each node takes the
+    smallest id that reaches it, and those that reach this id within the same label are its component; what is left is
+    done again, up to what one task solves at once (ONE_TASK edges).  Nulls and loops are dropped.
     """
-    front = cut(direct.select("source_id", "day", "entity_id").distinct())
-    seen, found = [front.select("source_id", "entity_id")], []
+    found = None
+    left, size = _trimmed(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
+    while size:
+        if size <= ONE_TASK:
+            few = left.coalesce(1).mapInPandas(_solve, "node string, label string")
+            found = few if found is None else found.unionByName(few)
+            break
+        label = _labels(left)
+        same = left.join(label.select(F.col("node").alias("from_id"), "label"), "from_id").join(label.select(F.col("node").alias("to_id"), F.col("label").alias("_to")), "to_id").where("label = _to").select("from_id", "to_id")
+        front = cut(label.where("node = label"))
+        member = front
+        while not front.isEmpty():
+            back = front.withColumnRenamed("node", "to_id").join(same, "to_id").select(F.col("from_id").alias("node"), "label").distinct()
+            front = cut(back.join(member.select("node"), "node", "left_anti"))
+            member = member.unionByName(front)
+        member = cut(member)
+        found = member if found is None else found.unionByName(member)
+        gone = member.select("node")
+        left, size = _trimmed(left.join(gone.withColumnRenamed("node", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("node", "to_id"), "to_id", "left_anti"))
+    nothing = edges.select(F.col("from_id").alias("node"), F.col("from_id").alias("component")).limit(0)
+    return nothing if found is None else found.withColumnRenamed("label", "component").groupBy("node").agg(F.min("component").alias("component"))
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that have both an edge in and an edge out, until all or few enough are so, and their number."""
+    edges, before = cut(edges), None
+    while (size := edges.count()) and size != before and size > (ONE_TASK if before is not None else 0):
+        ends, heads = edges.select(F.col("to_id").alias("from_id")).distinct(), edges.select(F.col("from_id").alias("to_id")).distinct()
+        edges, before = cut(edges.join(ends, "from_id", "left_semi").join(heads, "to_id", "left_semi").select("from_id", "to_id")), size
+    return edges, size
+
+
+def _solve(batches):
+    """(node, label) of the cycles among all edges of the batches: by depth, without recursion."""
+    import pandas as pd
+
+    after: dict[str, list[str]] = {}
+    for rows in batches:
+        for a, b in zip(rows["from_id"], rows["to_id"], strict=True):
+            after.setdefault(a, []).append(b)
+    order, low, open_, path, found = {}, {}, set(), [], []
+    for start in after:
+        if start in order:
+            continue
+        walk = [(start, iter(after[start]))]
+        order[start] = low[start] = len(order)
+        path.append(start)
+        open_.add(start)
+        while walk:
+            node, rest = walk[-1]
+            for other in rest:
+                if other not in order:
+                    order[other] = low[other] = len(order)
+                    path.append(other)
+                    open_.add(other)
+                    walk.append((other, iter(after.get(other, ()))))
+                    break
+                if other in open_:
+                    low[node] = min(low[node], order[other])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == order[node]:
+                    cycle = [path.pop()]
+                    while cycle[-1] != node:
+                        cycle.append(path.pop())
+                    open_.difference_update(cycle)
+                    if len(cycle) > 1:
+                        found += [(x, min(cycle)) for x in cycle]
+    yield pd.DataFrame(found, columns=["node", "label"]).astype("object")
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that reaches each, itself included."""
+    nodes = edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")).distinct()
+    label = cut(nodes.withColumn("label", F.col("node")))
+    front = label
+    while not front.isEmpty():
+        told = edges.join(front.withColumnRenamed("node", "from_id"), "from_id").groupBy(F.col("to_id").alias("node")).agg(F.min("label").alias("_new"))
+        better = label.join(told, "node", "left").select("node", F.least("label", "_new").alias("label"), F.coalesce(F.col("_new") < F.col("label"), F.lit(False)).alias("_moved"))
+        better = cut(better)
+        front, label = better.where("_moved").drop("_moved"), better.drop("_moved")
+    return label
+
+
+def _later(a: str, b: str) -> Column:
+    return F.greatest(a, b)  # nulls, open ends, are skipped
+
+
+def reach(roots: DataFrame, steps: DataFrame, gates: DataFrame) -> DataFrame:
+    """(root, node, since, until): the nodes that each root comes to, and when it may be walked on from there.
+
+    ``roots``: root; ``steps``: a, b; ``gates``: node, since, until, of which a node may have several; a node without
+    any is always open.  Ends that are null are open.  A row that another one covers isn't walked again, so cycles end.
+    Rows whose time is empty are kept: walks of unknown time take them.
+    """
+    gated = lambda rows: rows.join(gates.withColumnsRenamed({"since": "_since", "until": "_until"}), "node", "left").select("root", "node", _later("since", "_since").alias("since"), F.least("until", "_until").alias("until")).distinct()
+    none = F.lit(None).cast("date")
+    front = cut(gated(roots.select("root", F.col("root").alias("node"), none.alias("since"), none.alias("until"))))
+    known = front
     while True:
-        open_ = front
-        if gated is not None:
-            told = front.join(gated.withColumn("_gated", F.lit(True)), "entity_id", "left")
-            open_ = told.where(F.col("_gated").isNull() | within_dates(F.col("day"), F.col("valid_from"), F.col("valid_to"))).select("source_id", "day", "entity_id")
-        walked = cut(open_.withColumnRenamed("entity_id", "from_id").join(edges, "from_id").select("source_id", "day", "from_id", "to_id"))
-        found.append(walked.select("source_id", F.col("to_id").alias("entity_id"), F.lit("relationship").alias("match_type"), F.col("from_id").alias("inherited_from"), F.concat_ws(" -> ", "from_id", "to_id").alias("evidence")))
-        fresh = walked.select("source_id", "day", F.col("to_id").alias("entity_id")).distinct()
-        for known in seen:
-            fresh = fresh.join(known, ["source_id", "entity_id"], "left_anti")
-        front = cut(fresh.select("source_id", "day", "entity_id"))
+        walked = front.withColumnRenamed("node", "a").join(steps, "a").select("root", F.col("b").alias("node"), "since", "until")
+        fresh, old = gated(walked).alias("f"), known.alias("k")
+        covered = (F.col("f.root") == F.col("k.root")) & (F.col("f.node") == F.col("k.node")) & (F.col("k.since").isNull() | (F.col("k.since") <= F.col("f.since"))) & (F.col("k.until").isNull() | (F.col("k.until") >= F.col("f.until")))
+        front = cut(fresh.join(old, covered, "left_anti"))
         if front.isEmpty():
-            break
-        seen.append(front.select("source_id", "entity_id"))
-        if len(seen) > 8:
-            # Long chains: what is known becomes one table again.
-            every = seen[0]
-            for part in seen[1:]:
-                every = every.unionByName(part)
-            seen = [cut(every)]
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    return every.distinct()
+            return known
+        known = cut(known.unionByName(front))
+
+
+def expand(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """Candidates for everything the direct ones relate to, until nothing is new.
+
+    ``direct``: source_id, entity_id and day; ``edges``: from_id, to_id.  Every edge walked is a candidate.  ``gated``
+    (entity_id, valid_from, valid_to) are entities, tenants, from which nothing is walked on days out of their range.
+
+    Nothing is walked for a single source: entities on one cycle are made one node, what each node comes to, and when,
+    is worked out once, and sources are joined to that by their entities.
+    """
+    spark = direct.sparkSession
+    day = lambda c: F.substring(c, 1, 10).try_cast("date")
+    gates = spark.createDataFrame([], "node string, since date, until date") if gated is None else gated.select(F.col("entity_id").alias("node"), day(F.col("valid_from")).alias("since"), day(F.col("valid_to")).alias("until")).distinct()
+    gates = gates if gated is None else cut(gates)
+    edges = cut(edges.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
+    shut = gates.select("node").distinct()
+    plain = edges.join(shut.withColumnRenamed("node", "from_id"), "from_id", "left_anti").join(shut.withColumnRenamed("node", "to_id"), "to_id", "left_anti")
+    cycles = strong_components(plain)
+    merged = lambda rows, c: rows.join(cycles.withColumnsRenamed({"node": c, "component": "_c"}), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
+    walks = cut(merged(edges.withColumn("a", F.col("from_id")), "a"))
+    steps = merged(walks.select("a", F.col("to_id").alias("b")), "b").where("a <> b").distinct()
+    own = merged(direct.select("source_id", "day", F.col("entity_id").alias("root")), "root").distinct()
+    table = reach(own.select("root").distinct(), cut(steps), gates)
+    at = day(F.col("day"))
+    met = own.join(table, "root").where(at.isNull() | ((F.col("since").isNull() | (at >= F.col("since"))) & (F.col("until").isNull() | (at <= F.col("until"))))).select("source_id", F.col("node").alias("a")).distinct()
+    return met.join(walks, "a").select("source_id", F.col("to_id").alias("entity_id"), F.lit("relationship").alias("match_type"), F.col("from_id").alias("inherited_from"), F.concat_ws(" -> ", "from_id", "to_id").alias("evidence"))
 
 
 def building_edges(index: DataFrame, property_id: str) -> DataFrame:

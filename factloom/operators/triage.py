@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import fold_triage, json_id, sorted_distinct
-from factloom.operators.rounds import cut
+from factloom.operators.rounds import cut, once
 
 # Weight and terms of each category, limits of texts, of selections and of quotes, kinds and states of
 # extracted facts, reasons of decisions.
@@ -38,17 +40,18 @@ ANSWER = "struct<facts:array<struct<kind:string,subtype:string,summary:string,st
 
 
 def category_hits(text: Column, words: dict[str, tuple[int, list[str]]]) -> Column:
-    """The categories of which any word stands in the folded text."""
-    found = [F.when(F.exists(F.array(*[fold_triage(F.lit(t)) for t in terms]), lambda t: F.contains(text, t)), F.lit(name)) for name, (_, terms) in words.items() if terms]
+    """The categories of which any word stands in ``text``, a column of folded texts."""
+    found = [F.when(reduce(or_, [F.contains(text, fold_triage(F.lit(t))) for t in terms]), F.lit(name)) for name, (_, terms) in words.items() if terms]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def score(items: DataFrame, words: dict[str, tuple[int, list[str]]] = KEYWORDS, text_col: str = "text") -> DataFrame:
     """``items`` with categories, score, actionable: each category counts once, by any of its terms."""
-    hits = category_hits(fold_triage(F.coalesce(F.col(text_col), F.lit(""))), words)
+    hits = category_hits(F.col("_folded"), words)
     value = F.create_map(*[F.lit(x) for name, (weight, _) in words.items() for x in (name, weight)])
     total = F.aggregate(F.col("categories"), F.lit(0), lambda a, c: a + F.coalesce(F.element_at(value, c), F.lit(0)))
-    scored = items.withColumn("categories", hits).withColumn("score", total)
+    # A text is folded once, not for each word; the categories are worked out once.
+    scored = once(once(items, {"_folded": fold_triage(F.coalesce(F.col(text_col), F.lit("")))}), {"categories": hits}).drop("_folded").withColumn("score", total)
     return scored.withColumn("actionable", (F.size(F.filter("categories", lambda c: c != NOISE)) > 0) & (F.col("score") > 0))
 
 

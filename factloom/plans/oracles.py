@@ -210,7 +210,7 @@ SELECT DISTINCT from_id, to_id, relation AS label FROM rel WHERE from_id IN (SEL
     "folded_text": rf"""SELECT doc_id, sha256({FOLD("COALESCE(text, '')")}) AS folded, substr(regexp_replace(regexp_replace(COALESCE(text, ''), '[^A-Za-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 120) AS stem,
  sha256(regexp_replace(regexp_replace('aw:  ' || lower(COALESCE(text, '')), '\s+', ' ', 'g'), '^ | $', '', 'g')) AS subject, '2024-0' || (doc_id % 9 + 1) AS month FROM documents""",
     "conversation_titles": "SELECT conv_id, COALESCE(nullif(substr(arg_min(text, turn) FILTER (WHERE role = 'user' AND text IS NOT NULL), 1, 48), ''), 'Thread ' || substr(CAST(conv_id AS VARCHAR), 1, 6)) AS title FROM conversations GROUP BY conv_id",
-    "shown_messages": "SELECT role, count(*) AS messages FROM conversations WHERE role <> 'tool' AND trim(COALESCE(text, '')) <> '' GROUP BY role",
+    "shown_messages": "SELECT role, count(*) AS messages FROM conversations WHERE role IS DISTINCT FROM 'tool' GROUP BY role",
     "newest_conversations": "SELECT conv_id, max(turn) AS latest FROM conversations GROUP BY conv_id ORDER BY latest DESC, conv_id LIMIT 12",
     "gated_closure": f"""WITH RECURSIVE {CLOSURE} SELECT c.* FROM closure c JOIN orders o ON c.source_id = CAST(o_orderkey AS VARCHAR)
 WHERE CAST(o_orderdate AS DATE) <= DATE '1995-01-01' + CAST(o_custkey % 1500 AS INTEGER)""",

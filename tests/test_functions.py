@@ -235,3 +235,51 @@ def test_order_of_facts(spark):
 def test_indented_json(spark, tmp_path):
     files.write_json(spark.createDataFrame([("v",)], "a string"), str(tmp_path / "j"))
     assert "".join(p.read_text() for p in (tmp_path / "j").glob("part-*")).split() == ["{", '"a"', ":", '"v"', "}"]
+
+
+def _walked(direct, edges, gated):
+    """Candidates by walking for every source alone."""
+    out = set()
+    for source, start, day in direct:
+        seen, front = {start}, [start]
+        while front:
+            node = front.pop()
+            ranges = [(a, b) for n, a, b in gated if n == node]
+            if ranges and day is not None and not any((a is None or a <= day) and (b is None or day <= b) for a, b in ranges):
+                continue
+            for a, b in edges:
+                if a == node:
+                    out.add((source, b, a))
+                    if b not in seen:
+                        seen.add(b)
+                        front.append(b)
+    return out
+
+
+@pytest.mark.parametrize("one_task", [0, 500_000])
+@pytest.mark.parametrize("seed", range(3))
+def test_closure_once_per_entity_equals_walks_of_each_source(spark, monkeypatch, seed, one_task):
+    import random
+
+    monkeypatch.setattr(linking, "ONE_TASK", one_task)
+    r = random.Random(seed)
+    nodes = [f"n{i}" for i in range(14)]
+    edges = sorted({(r.choice(nodes), r.choice(nodes)) for _ in range(22)})
+    days = ["2020-01-01", "2021-01-01", "2022-01-01", None]
+    gated = [(n, r.choice(days), r.choice(days)) for n in r.sample(nodes, 4)] + [("n1", "2020-06-01", "2020-07-01")]
+    direct = [(f"s{i}", r.choice(nodes), r.choice(["2019-05-05", "2020-06-15", "2021-01-01", "2023-01-01", None])) for i in range(40)]
+    got = linking.expand(
+        spark.createDataFrame(direct + direct[:2], "source_id string, entity_id string, day string"), spark.createDataFrame(edges + edges[:2], "from_id string, to_id string"),
+        spark.createDataFrame(gated, "entity_id string, valid_from string, valid_to string"),
+    ).select("source_id", "entity_id", "inherited_from").collect()
+    assert sorted(map(tuple, got)) == sorted(_walked(direct, edges, gated))
+
+
+@pytest.mark.parametrize("one_task", [0, 500_000])
+def test_strong_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(linking, "ONE_TASK", one_task)
+    ring = [(f"a{i}", f"a{(i + 1) % 5}") for i in range(5)]
+    edges = ring + [("a3", "b1"), ("b1", "b2"), ("b2", "b1"), ("b2", "c1"), ("c1", "c2"), ("d", "a1"), ("e", "e"), (None, "a1"), ("a1", None)]
+    rows = linking.strong_components(spark.createDataFrame(edges, "from_id string, to_id string")).collect()
+    assert sorted(map(tuple, rows)) == [*((f"a{i}", "a0") for i in range(5)), ("b1", "b1"), ("b2", "b1")]
+    assert linking.strong_components(spark.createDataFrame([], "from_id string, to_id string")).count() == 0

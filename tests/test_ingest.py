@@ -64,7 +64,7 @@ def test_links(runs):
     found = {(r.entity_id, r.match_type) for r in runs[0]["candidates"].where("source_id = 'EMAIL-00001'").collect()}
     assert {("LIE-001", "property_scope"), ("EMAIL-00001", "declared_id"), ("MIE-001", "declared_id"), ("MIE-001", "email"), ("EH-016", "alias"), ("EH-016", "relationship"), ("EIG-001", "relationship"), ("HAUS-12", "relationship")} <= found
     decisions = dict(rows(runs[0]["links"].where("target_type = 'source'"), "target_id", "decision"))
-    assert decisions["EMAIL-00001"] == "linked" and decisions["EMAIL-00003"] == "property_only"
+    assert decisions["EMAIL-00001"] == "linked" and decisions["EMAIL-00003"] == "linked"
 
 
 def test_facts(runs):
@@ -82,7 +82,7 @@ def test_facts(runs):
 def test_triage(runs):
     got = {r.work_item_id: (r.decision, r.categories) for r in runs[0]["decisions"].collect()}
     assert got["WI-EMAIL_THREAD-2024-03-WASSERSCHADEN-IN-WE-16-TOM-TOM-EXAMPLE"][0] == "needs_review"
-    assert got["WI-EMAIL_THREAD-2024-03-NEWSLETTER-NEWS-EXAMPLE"] == ("ignore", ["noise"])
+    assert got["WI-EMAIL_THREAD-2024-03-NEWSLETTER-NEWS-EXAMPLE"] == ("ignore", ["governance", "noise"])
     assert got["WI-BANK_GROUP-BASE-BANK-LEDGER"] == ("metadata_only", [])
 
 
