@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.rounds import cut as checkpoint
+from factloom.operators.rounds import shared_folder
+
+__all__ = ["bound_batches", "checkpoint", "components", "let", "once", "shared_folder", "table"]
+
 #: Arrow batches of long texts stay under this many bytes, whatever the number of rows.
 ARROW_BATCH_BYTES = 4 << 20
 
@@ -23,20 +28,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for intermediate data; in the warehouse, which is shared too, if it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -68,5 +68,5 @@ def test_held_out_language_accuracy(spark):
 
 def test_registered_names():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
