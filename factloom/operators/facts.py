@@ -76,6 +76,12 @@ def scoped(observations: DataFrame) -> DataFrame:
     ).drop("_a")
 
 
+def subjects(observations: DataFrame) -> DataFrame:
+    """Observations with the fact_kind and subject_id that they are reduced by."""
+    told = scoped(observations)
+    return told.select(*observations.columns, "fact_kind", "subject_id")
+
+
 def reduce_observations(observations: DataFrame, fields: tuple[str, ...] = ("event_date", "primary_entity_id")) -> DataFrame:
     """One fact per kind and subject_id, of observations that aren't ignored or duplicates.
 
@@ -131,7 +137,7 @@ def build_facts(observations: DataFrame, index: DataFrame) -> tuple[DataFrame, D
 
     Attributes of profiles have the entity of the index besides; ``merged`` counts the observations of a fact.
     """
-    told = scoped(observations).withColumn("kind", F.col("fact_kind"))
+    told = scoped(observations.drop("fact_kind", "subject_id")).withColumn("kind", F.col("fact_kind"))
     facts = reduce_observations(told, SCOPED)
     known = index.select(F.col("entity_id").alias("_id"), F.to_json(F.struct("entity_id", "entity_type", "name", "related", "fields")).alias("canonical_entity"))
     joined = facts.join(known, F.col("entity_id") == F.col("_id"), "left").drop("_id", "entity_id")

@@ -32,12 +32,13 @@ def property_scope(sources: DataFrame, property_id: str) -> DataFrame:
     return sources.select("source_id", F.lit(property_id).alias("entity_id"), F.lit("property_scope").alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.lit(property_id).alias("evidence"))
 
 
-def contained(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str) -> DataFrame:
+def contained(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str, seen: tuple | None = None) -> DataFrame:
     """Pairs (id, term) of a text and each term that stands in it anywhere, each once.
 
     One scan of the texts, whatever the number of terms: the distinct terms are broadcast as an automaton that finds
     all of them at once.  Their size is checked; past TERM_CHARACTERS they are dealt over several automata by hash,
-    one scan each.  No text is ever shuffled.  Null and empty texts and terms give nothing.
+    one scan each.  No text is ever shuffled.  Null and empty texts and terms give nothing.  ``seen``: an Observation
+    and an aggregate that it takes of the texts of the first scan.
     """
     spark = texts.sparkSession
     distinct = terms.where(F.col(term_col).isNotNull() & (F.col(term_col) != "")).select(term_col).distinct()
@@ -65,7 +66,10 @@ def contained(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, te
                     hits += own
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=batch.schema.field(0).type), pa.array(hits, type=pa.string())], names=[id_col, term_col])
 
-        part = texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{term_col}` string")
+        scanned = texts.select(id_col, text_col)
+        if seen is not None and shard == 0:
+            scanned = scanned.observe(*seen)
+        part = scanned.mapInArrow(run, f"`{id_col}` {kind}, `{term_col}` string")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -82,7 +86,12 @@ def alias_links(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     ``aliases``: alias (the evidence), folded, entity_id, alias_type.
     """
     usable = searched_aliases(aliases)
-    hits = contained(texts, usable, "source_id", "text", "folded").join(usable, "folded")
+    return links_of_hits(contained(texts, usable, "source_id", "text", "folded"), usable)
+
+
+def links_of_hits(hits: DataFrame, usable: DataFrame) -> DataFrame:
+    """Candidates of the aliases (alias, folded, entity_id, alias_type) whose folded forms stand in texts (source_id, folded)."""
+    hits = hits.join(usable, "folded")
     kind = F.when(F.col("alias_type") == "email", "email").otherwise("alias")
     return hits.select("source_id", "entity_id", kind.alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.col("alias").alias("evidence")).distinct()
 

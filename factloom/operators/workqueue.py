@@ -206,3 +206,15 @@ def first_and_last(rows: DataFrame, key: str, order: str, value: str) -> DataFra
 def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their ``rank``."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def outcomes(items: DataFrame, observations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(work_item_id, status) of work items: ``error`` if its decision is one, ``ignored`` or ``processed`` by what it led to, else ``queued``.
+
+    ``observations`` and ``decisions``: rows with work_item_id, the latter with ``decision``.
+    """
+    seen = observations.select("work_item_id").distinct().withColumn("_seen", F.lit(True))
+    decided = decisions.groupBy("work_item_id").agg(F.max(F.col("decision") == "error").alias("_error"), F.max(F.col("decision") == "ignore").alias("_ignored"))
+    told = items.select("work_item_id").join(seen, "work_item_id", "left").join(decided, "work_item_id", "left")
+    status = F.when(F.col("_error"), "error").when(F.col("_seen"), "processed").when(F.col("_ignored"), "ignored").when(F.col("_error").isNotNull(), "processed").otherwise("queued")
+    return told.select("work_item_id", status.alias("status"))

@@ -2,6 +2,11 @@
 
 Each step's rows are written below ``store/runs/<number>`` and read again by the next ones, so a lost executor repeats
 one step at most.  The next run finds what it may reuse in the folder of the last one, which ``store/log`` names.
+
+What grows with all that was ever ingested is kept in tables of versions below ``store/tables``, to which a run adds
+what it changes: texts and rows of sources normalized now, found aliases, observations of work items read now, and the
+facts of subjects that new, withdrawn or otherwise described observations touch.  Aliases are looked for in new texts,
+and in old ones only if they are new themselves.
 """
 
 from __future__ import annotations
@@ -9,30 +14,37 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import fold_search, mentions
 from factloom.operators import changes, entities, extract, facts, linking, normalize, registry, triage, views, workqueue
 from factloom.operators.sections import Sections
 from factloom.sources.files import latest_day, read_files, read_table, write_lines
+from factloom.sources.versions import Delta, Versions, written
 
 # The property, versions that results are bound to, the day that stands for all drops.
 PROPERTY_ID, SEMANTIC_VERSION, ALL_DAYS = "LIE-001", 1, "day-99"
 # End of fixed values.
 
-LOG = "run long, at string, through string, folder string"
-EVENTS = "stage string, level string, message string"
+LOG = "run long, at string, through string, folder string, token string"
+EVENTS = "place int, stage string, level string, message string, rows map<string,long>"
+HITS, NAMED = "source_id string, folded string", "source_id string, entity_id string"
+OBSERVED = f"observation_id string, work_item_id string, input_hash string, source_id string, kind string, statement string, mentions array<string>, evidence array<{extract.EVIDENCE}>, decision string, reason string, processor string, attributes string"
+#: What the reduction groups observations by, kept with them.
+SUBJECT = "fact_kind string, subject_id string"
 ONE_AT_A_TIME = threading.Lock()
 
 
 @dataclass
 class Run:
-    """The tables of a run by name, its events and counts."""
+    """The tables of a run by name, its events and counts; ``rows``: how many rows it wrote to each table."""
 
     folder: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)
     events: list[tuple[str, str, str]] = field(default_factory=list)
     counts: dict[str, int | str | None] = field(default_factory=dict)
 
@@ -80,20 +92,36 @@ class _Ingest:
         self.through, base_only = through_day(spark, root, mode)
         self.files = read_files(spark, root, self.through, base_only)
         self.texts = spark.createDataFrame([], "path string, text string, page_count int") if texts is None else texts
-        last = read_table(spark, f"{store}/log", LOG).orderBy(F.desc("run")).limit(1).collect()
-        self.number, self.last = (last[0]["run"] + 1, last[0]["folder"]) if last else (0, None)
-        self.out = Run(f"{store}/runs/{self.number:06d}")
+        log = read_table(spark, f"{store}/log", LOG).orderBy("run").collect()
+        self.number, self.last = (log[-1]["run"] + 1, log[-1]["folder"]) if log else (0, None)
+        self.token, self.complete = uuid4().hex, [r["token"] for r in log]
+        self.out, self.told = Run(f"{store}/runs/{self.number:06d}"), set()
 
     def tell(self, stage: str, message: str, level: str = "success") -> None:
+        """An event, with the numbers of rows written since the one before; others can read it at once."""
         self.out.events.append((stage, level, message))
+        rows = {k: v for k, v in self.out.rows.items() if k not in self.told}
+        self.told |= rows.keys()
+        write_lines(self.spark.createDataFrame([(len(self.out.events) - 1, stage, level, message, rows)], EVENTS), f"{self.out.folder}/events", append=len(self.out.events) > 1)
         if self.on_progress:
             self.on_progress((stage, level, message))
 
     def keep(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.out.folder}/{name}")
+        self.out.rows[name] = written(rows, f"{self.out.folder}/{name}", "overwrite")
         self.out.tables[name] = self.spark.read.schema(rows.schema).parquet(f"{self.out.folder}/{name}")
         return self.out.tables[name]
 
+    def table(self, name: str, schema, key: list[str]) -> Versions:
+        """The table of versions of this name, as the last complete run left it."""
+        empty = self.spark.createDataFrame([], schema)
+        return Versions(self.spark, f"{self.store}/tables/{name}", empty.schema, key, self.token, self.complete)
+
+    def put(self, name: str, table: Versions, rows: DataFrame, keys: DataFrame | None) -> Delta:
+        """Add to a table; its rows are then those that count now."""
+        delta = table.put(rows, keys)
+        self.out.rows[name], self.out.tables[name] = delta.written, table.read()
+        return delta
+
     def before(self, name: str, schema) -> DataFrame:
         """A table of the last run, empty on the first one."""
         return self.spark.createDataFrame([], schema) if self.last is None else self.spark.read.schema(schema).parquet(f"{self.last}/{name}")
@@ -107,51 +135,72 @@ class _Ingest:
         self.facts(observations, index)
         self.views(index)
         self.coverage(items, assigned)
-        write_lines(self.spark.createDataFrame([(self.number, self.now, self.through, self.out.folder)], LOG), f"{self.store}/log", append=True)
-        write_lines(self.spark.createDataFrame(self.out.events, EVENTS), f"{self.out.folder}/events")
+        write_lines(self.spark.createDataFrame([(self.number, self.now, self.through, self.out.folder, self.token)], LOG), f"{self.store}/log", append=True)
         return self.out
 
     def sources(self) -> DataFrame:
         scanned = self.keep("scanned", registry.scan(self.files, self.before("manifest", registry.MANIFEST_SCHEMA), self.now))
-        self.tell("scan", f"Inventory scan found {scanned.count()} source file(s).")
+        self.tell("scan", f"Inventory scan found {self.out.rows['scanned']} source file(s).")
         first = self.keep("registered", registry.build_registry(scanned, self.before("registry", registry.REGISTRY_SCHEMA), normalize.NORMALIZER_VERSION))
         fresh = self.keep("normalized", normalize.normalize(first, self.files, self.texts))
         whole = self.keep("registry", normalize.registered(first, fresh).select(*first.columns))
-        again = first.where("status = 'normalized'").select("source_id")
-        documents = self.keep("documents", fresh.where("status = 'normalized'").unionByName(self.before("documents", fresh.schema).join(again, "source_id", "left_semi")))
+        ready = whole.where("status = 'normalized'")
+        texts = self.table("documents", fresh.schema, ["source_id"])
+        gone = texts.read().select("source_id").join(ready.select("source_id"), "source_id", "left_anti")
+        # What is known of these sources is replaced or dropped, in each table by source.
+        self.renewed = self.keep("renewed", fresh.select("source_id").unionByName(gone).distinct())
+        documents = self.put("documents", texts, fresh.where("status = 'normalized'"), self.renewed)
+        self.fresh = documents.rows
+        again = ready.join(self.renewed, "source_id", "left_anti")
         self.keep("manifest", registry.synced_status(scanned, whole, "source_id").select(*registry.MANIFEST))
         totals = whole.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("normalized", "duplicate", "ignored", "error")]).first()
-        self.out.counts |= totals.asDict() | {"manifest_items": scanned.count(), "reused_normalized": again.count()}
+        self.out.counts |= totals.asDict() | {"manifest_items": self.out.rows["scanned"], "reused_normalized": again.count()}
         self.tell("normalize", f"Normalization complete: {totals['normalized']} normalized, {self.out.counts['reused_normalized']} reused.")
-        return self.keep("sources", registry.eligible(whole).join(documents.select("source_id", "meta"), "source_id", "left"))
+        return self.keep("sources", registry.eligible(whole).join(self.out["documents"].select("source_id", "meta"), "source_id", "left"))
 
     def entities(self) -> DataFrame:
         whole = self.out["registry"]
-        self.keep("records", normalize.records(whole.where("status = 'normalized'"), self.files).join(whole.select("source_id", "path"), "source_id"))
+        own = whole.join(self.fresh.select("source_id"), "source_id", "left_semi")
+        rows = normalize.records(own, self.files).join(own.select("source_id", "path"), "source_id")
+        self.put("records", self.table("records", rows.schema, ["source_id"]), rows, self.renewed)
         index = self.keep("entities", entities.build_index(self.out["records"], whole, PROPERTY_ID))
         self.keep("aliases", entities.build_aliases(index))
-        self.out.counts["entities"] = index.count()
+        self.out.counts["entities"] = self.out.rows["entities"]
         self.tell("entities", f"Entity index contains {self.out.counts['entities']} entities.")
         return index
 
     def work(self, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
         assigned = self.keep("members", workqueue.members(sources))
         items = self.keep("queue", workqueue.work_items(assigned, sources))
-        self.out.counts["work_items"] = items.count()
+        self.out.counts["work_items"] = self.out.rows["queue"]
         self.tell("queue", f"Work queue contains {self.out.counts['work_items']} item(s).")
         return items, assigned
 
     def links(self, sources: DataFrame, items: DataFrame, assigned: DataFrame, index: DataFrame) -> None:
-        read = sources.join(self.out["documents"].select("source_id", "text"), "source_id", "left")
         text = linking.searched_text(F.col("path"), F.col("source_date"), F.col("declared_ids"), F.col("text"))
-        searched = read.select("source_id", text.alias("text"))
-        folded = self.out["aliases"].withColumn("folded", fold_search(F.col("alias")))
+        searched = lambda docs: sources.join(docs.select("source_id", "text"), "source_id").select("source_id", text.alias("text"))
+        fresh, old = searched(self.fresh), searched(self.out["documents"].join(self.renewed, "source_id", "left_anti"))
+        folded = linking.searched_aliases(self.out["aliases"].withColumn("folded", fold_search(F.col("alias"))))
+        terms = self.keep("terms", folded.select("folded").distinct())
+        new_terms = self.keep("new_terms", terms.join(self.before("terms", terms.schema), "folded", "left_anti"))
+        seen_fresh, seen_old = Observation(), Observation()
+        size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")
+        look = lambda docs, wanted, seen: linking.contained(docs.select("source_id", fold_search(F.col("text")).alias("text")), wanted, "source_id", "text", "folded", (seen, size))
+        # New texts against all terms, old ones against new terms only.
+        hits = look(fresh, terms, seen_fresh)
+        old_searched = self.last is not None and self.out.rows["new_terms"] > 0
+        if old_searched:
+            hits = hits.unionByName(look(old, new_terms, seen_old))
+        self.put("alias_hits", self.table("alias_hits", HITS, ["source_id"]), hits, self.renewed)
+        self.out.counts |= {"searched_bytes_new": seen_fresh.get["bytes"], "searched_bytes_old": seen_old.get["bytes"] if old_searched else 0}
+        self.put("named", self.table("named", NAMED, ["source_id"]), fresh.select("source_id", F.explode(mentions(F.col("text"))).alias("entity_id")), self.renewed)
+        eligible = sources.select("source_id")
         direct = self.keep(
             "direct",
             linking.property_scope(sources, PROPERTY_ID)
             .unionByName(linking.mention_links(sources.select("source_id", F.explode("declared_ids").alias("entity_id")), index, "declared_id"))
-            .unionByName(linking.mention_links(searched.select("source_id", F.explode(mentions(F.col("text"))).alias("entity_id")), index, "declared_id"))
-            .unionByName(linking.alias_links(searched.select("source_id", fold_search(F.col("text")).alias("text")), folded)).distinct(),
+            .unionByName(linking.mention_links(self.out["named"].join(eligible, "source_id", "left_semi"), index, "declared_id"))
+            .unionByName(linking.links_of_hits(self.out["alias_hits"].join(eligible, "source_id", "left_semi"), folded)).distinct(),
         )
         edges = entities.relation_edges(index).unionByName(linking.building_edges(index, PROPERTY_ID)).distinct()
         dated = direct.join(sources.select("source_id", F.col("source_date").alias("day")), "source_id")
@@ -163,15 +212,20 @@ class _Ingest:
         records = self.keep("links", linking.union_records(own, theirs))
         summary = linking.link_summary(records).first().asDict()
         self.out.counts |= summary
-        self.tell("entity_linking", f"Entity linking complete: {records.count()} records, {summary['unlinked']} unlinked.")
-
-    def observations(self, sources: DataFrame, items: DataFrame, assigned: DataFrame) -> DataFrame:
-        schema = self.spark.createDataFrame([], f"observation_id string, work_item_id string, input_hash string, source_id string, kind string, statement string, mentions array<string>, evidence array<{extract.EVIDENCE}>, decision string, reason string, processor string, attributes string").schema
-        held, open_ = registry.split_reuse(items.select("work_item_id", "input_hash"), self.before("deterministic", schema), ["work_item_id", "input_hash"])
+        self.out.counts |= {"source_records": self.out.rows["sources"], "work_item_records": self.out.rows["queue"]}
+        self.tell("entity_linking", f"Entity linking complete: {self.out.rows['sources']} source records, {self.out.rows['queue']} work-item records, {summary['unlinked']} unlinked.")
+
+    def observations(self, sources: DataFrame, items: DataFrame, assigned: DataFrame) -> list[Delta]:
+        table = self.table("deterministic", f"{OBSERVED}, {SUBJECT}", ["work_item_id"])
+        before = table.read()
+        held, open_ = registry.split_reuse(items.select("work_item_id", "input_hash"), before, ["work_item_id", "input_hash"])
+        open_ = self.keep("reread", open_)
         fresh = items.join(open_, ["work_item_id", "input_hash"], "left_semi")
         members = assigned.join(fresh.select("kind", "group_key"), ["kind", "group_key"], "left_semi")
         found = extract.route(sources, self.out["records"].select("source_id", "field", "line_no", "row"), fresh, members, PROPERTY_ID)
-        plain = self.keep("deterministic", held.select(*schema.names).unionByName(found.select(*schema.names)))
+        gone = before.select("work_item_id").distinct().join(items.select("work_item_id"), "work_item_id", "left_anti")
+        deltas = [self.renew("deterministic", table, facts.subjects(found), open_.select("work_item_id").unionByName(gone))]
+        plain = self.out["deterministic"]
         summary = extract.extraction_summary(items, held, plain).first().asDict()
         self.out.counts |= {f"extraction_{k}": v for k, v in summary.items()}
         self.tell("deterministic_extraction", f"Deterministic extraction produced {summary['observations']} observations, {summary['reused']} work items reused.")
@@ -185,8 +239,11 @@ class _Ingest:
         decisions = self.keep("decisions", kept.select("work_item_id", "input_hash", "categories", "decision", "reason", "decision_id").unionByName(triage.decide(asked, self.limit, self.extractor is not None)))
         self.out.counts |= {f"decided_{k}": v for k, v in triage.decision_counts(decisions).first().asDict().items()}
         self.tell("semantic_extraction", f"{self.out.counts['decided_decisions']} work items decided.")
+        semantics = self.table("semantic", f"{OBSERVED}, {SUBJECT}", ["work_item_id"])
+        earlier = semantics.read()
         if self.extractor is None:
-            return self.keep("observations", extract.union(plain))
+            deltas.append(self.renew("semantic", semantics, earlier.limit(0), earlier.select("work_item_id")))
+            return deltas
         chosen = decisions.where("decision = 'deep_extract'").select("work_item_id", "input_hash")
         answers = self.keep("answers", triage.extract(chosen.join(texts, "work_item_id").select(F.col("work_item_id").alias("id"), "text"), self.extractor))
         allowed = links.groupBy("work_item_id").agg(F.slice(F.array_sort(F.collect_set("entity_id")), 1, linking.MOST_CANDIDATES).alias("allowed"))
@@ -194,29 +251,53 @@ class _Ingest:
         told = chosen.join(answers.where("answer IS NOT NULL").select(F.col("id").alias("work_item_id"), "answer"), "work_item_id").join(own, "work_item_id").join(allowed, "work_item_id", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>")))
         semantic = triage.supported(told, PROPERTY_ID)
         evidence = F.transform("evidence", lambda e: F.struct(e["sourceId"].alias("sourceId"), F.lit(None).cast("string").alias("normalizedPath"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("lineStart"), F.lit(None).cast("long").alias("lineEnd"), e["quote"].alias("quote")))
-        return self.keep("observations", extract.union(plain, semantic.withColumn("evidence", evidence.cast(f"array<{extract.EVIDENCE}>")).select(*schema.names)))
-
-    def facts(self, observations: DataFrame, index: DataFrame) -> None:
-        made, sources, touched, evidence = facts.build_facts(observations, index)
-        now = self.keep("facts", made)
-        self.keep("fact_sources", sources)
-        self.keep("fact_entities", touched)
-        self.keep("fact_evidence", evidence)
-        earlier = self.before("facts", now.schema)
+        told = semantic.withColumn("evidence", evidence.cast(f"array<{extract.EVIDENCE}>")).select(*[c for c in semantics.schema.names if c not in ("fact_kind", "subject_id")])
+        answered = self.keep("semantic_now", facts.subjects(told))
+        deltas.append(self.renew("semantic", semantics, answered, earlier.select("work_item_id").unionByName(answered.select("work_item_id"))))
+        return deltas
+
+    def renew(self, name: str, table: Versions, rows: DataFrame, items: DataFrame) -> Delta:
+        """Put observations in place of those of ``items``; what these were is kept as ``<name>_withdrawn``."""
+        keys = self.keep(f"{name}_items", items.distinct())
+        self.keep(f"{name}_withdrawn", table.read().join(keys, "work_item_id", "left_semi").select("fact_kind", "subject_id").distinct())
+        return self.put(name, table, rows, keys)
+
+    def facts(self, deltas: list[Delta], index: DataFrame) -> None:
+        """Reduce the subjects again that observations came to or went from, or whose entity is described otherwise."""
+        every = extract.union(self.out["deterministic"], self.out["semantic"])
+        described = changes.compare(self.before("entities", index.schema), index, "entity_id", [c for c in index.columns if c != "entity_id"]).where("status <> 'unchanged'")
+        subjects = every.select("fact_kind", "subject_id")
+        touched = subjects.join(described.select(F.col("entity_id").alias("subject_id")), "subject_id", "left_semi").select("fact_kind", "subject_id") if self.last is not None else subjects.limit(0)
+        for name, delta in zip(("deterministic", "semantic"), deltas, strict=True):
+            touched = touched.unionByName(delta.rows.select("fact_kind", "subject_id")).unionByName(self.out[f"{name}_withdrawn"])
+        touched = self.keep("touched_subjects", touched.distinct())
+        made, sources, named, evidence = facts.build_facts(every.join(touched, ["fact_kind", "subject_id"], "left_semi"), index)
+        now = self.keep("facts_now", made)
+        kept = self.table("facts", now.schema, ["kind", "subject_id"])
+        all_before = kept.read()
+        earlier = self.keep("facts_before", all_before.join(touched.withColumnRenamed("fact_kind", "kind"), ["kind", "subject_id"], "left_semi").select(*now.columns))
+        unmoved = all_before.count() - self.out.rows["facts_before"]
+        self.put("facts", kept, now, touched.withColumnRenamed("fact_kind", "kind"))
+        ids = self.keep("touched_facts", now.select("fact_id").unionByName(earlier.select("fact_id")).distinct())
+        before_of = {}
+        for name, rows in {"fact_sources": sources, "fact_entities": named, "fact_evidence": evidence}.items():
+            table = self.table(name, rows.schema, ["fact_id"])
+            before_of[name] = table.read()
+            self.put(name, table, rows, ids)
         compared = self.keep("compared", changes.compare(earlier, now, "fact_id", [c for c in now.columns if c != "fact_id"]))
         summary = changes.change_summary(compared).first().asDict()
+        summary = {k: v + (unmoved if k in ("previous", "following", "unchanged") else 0) for k, v in summary.items()}
         self.out.counts |= {f"facts_{k}": v for k, v in summary.items()}
         changed_ids = self.keep("changes", compared.where("status <> 'unchanged'"))
         gone = earlier.join(now.select("fact_id"), "fact_id", "left_anti")
         changed = now.unionByName(gone).join(changed_ids.select("fact_id"), "fact_id", "left_semi")
-        named = self.out["fact_entities"].unionByName(self.before("fact_entities", self.out["fact_entities"].schema).join(gone.select("fact_id"), "fact_id", "left_semi"))
-        lists = named.join(changed_ids.select("fact_id"), "fact_id", "left_semi")
-        ends = changes.changed_entities(changed.withColumn("entities", F.array().cast("array<string>")), PROPERTY_ID) if not changed.isEmpty() else lists.select("entity_id").limit(0)
+        lists = self.out["fact_entities"].join(changed_ids.select("fact_id"), "fact_id", "left_semi").unionByName(before_of["fact_entities"].join(gone.select("fact_id"), "fact_id", "left_semi").join(changed_ids.select("fact_id"), "fact_id", "left_semi"))
+        ends = changes.changed_entities(changed.withColumn("entities", F.array().cast("array<string>")), PROPERTY_ID) if self.out.rows["changes"] else lists.select("entity_id").limit(0)
         entities_ = self.keep("changed_entities", ends.unionByName(lists.select("entity_id")).distinct())
-        both = self.out["fact_sources"].unionByName(self.before("fact_sources", self.out["fact_sources"].schema)).distinct()
+        both = self.out["fact_sources"].unionByName(before_of["fact_sources"])
         self.keep("changed_sources", changes.changed_sources(changed_ids, both))
         self.keep("affected_views", changes.affected_views(changed, entities_, index, PROPERTY_ID))
-        self.tell("facts", f"Changes: +{summary['added']}, ~{summary['modified']}, -{summary['removed']}.")
+        self.tell("facts", f"Fact index contains {summary['following']} facts. Changes: +{summary['added']}, ~{summary['modified']}, -{summary['removed']}.")
 
     def views(self, index: DataFrame) -> None:
         made, sources, touched, evidence = (self.out[n] for n in ("facts", "fact_sources", "fact_entities", "fact_evidence"))
@@ -241,7 +322,7 @@ class _Ingest:
         self.tell("context", f"Context materialized: {counted['patched']} patched section(s), {counted['conflicts']} conflict(s).", "warning" if counted["conflicts"] else "success")
 
     def coverage(self, items: DataFrame, assigned: DataFrame) -> None:
-        done = items.select("work_item_id", F.lit("processed").alias("status"))
+        done = self.keep("work_item_states", workqueue.outcomes(items, self.out["deterministic"], self.out["decisions"]))
         counts = self.keep("coverage", registry.coverage_counts(self.out["registry"], done, assigned))
         self.keep("coverage_report", registry.coverage_document(counts, registry.coverage_faults(self.out["registry"], assigned), PROPERTY_ID, self.now))
         row = counts.first()
