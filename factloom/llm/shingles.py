@@ -4,10 +4,12 @@ SimHash fingerprints alone can't find these: at a similarity of 0.8 two fingerpr
 and in up to 24, which unrelated texts often do too.  So fingerprints, of WORDS times 64 bits, are compared within groups
 that share more: texts with equal sets are one node, and a set's minima under BANDS * ROWS permutations put it in one bucket per band; two
 sets of similarity 0.8 share none with a chance of 5 in 100000, more similar ones with less.  Links come only from
-comparing the sets themselves.  In each of two rounds the nodes of a bucket are compared with one of them, so that a group of
+comparing the sets themselves.  In each of STARS rounds the nodes of a bucket are compared with one of them, so that a group of
 copies isn't expanded to all its pairs.  Nodes of buckets that still aren't one component meet once more, by the rarest
 shingles of each: sets of similarity 0.8 always share one of the rarest fifth, while texts that only share a passage
-hardly ever do.  Those that meet are searched for in a Gray-order index of their fingerprints.
+hardly ever do.  Those that meet are searched for in a Gray-order index of their fingerprints, which are longer here
+(LONG words): they tell a similarity of 0.7 from 0.8, so that in a group of copies with many changes few pairs are told
+that aren't links.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ SLICE, PERMUTED = 1 << 16, 1024
 #: 64-bit words of a fingerprint.  Fingerprints that differ in more bits, in all or in the first word, aren't compared
 #: further: over 5 deviations more than the mean of sets of similarity 0.8.
 WORDS, MOST_BITS, FIRST_BITS = 4, 72, 26
+#: The same of the longer fingerprints: 2048 bits, of which 309 differ on average at 0.8, with a deviation of 16.
+LONG, LONG_BITS = 32, 400
+#: Rounds in which the nodes of a bucket are compared with one of them.
+STARS = 4
 #: Nodes of a bucket that one task searches at once; larger buckets are cut into blocks, which meet in pairs.
 BLOCK = 4096
 #: Groups of up to so many nodes are compared all at once with others; pairs that a task remembers so as to tell them once.
@@ -66,12 +72,12 @@ def minima(hashes):
     return np.minimum.reduce(parts)
 
 
-def spread(hashes):
-    """The hashes, then WORDS - 1 times hashes made of them, for further words of a fingerprint."""
+def spread(hashes, words: int = WORDS):
+    """The hashes, then ``words`` - 1 times hashes made of them, for further words of a fingerprint."""
     import numpy as np
 
     yield hashes
-    for n in range(1, WORDS):
+    for n in range(1, words):
         mixed = (hashes ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x94D049BB133111EB)
@@ -169,6 +175,20 @@ def rarest(known: DataFrame, least: float) -> DataFrame:
     return known.select("node", "hashes").mapInArrow(run, "node binary, key long")
 
 
+def long_codes(known: DataFrame) -> DataFrame:
+    """(node, code): the longer fingerprint of each set."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            codes = [[voted(x) for x in spread(np.frombuffer(own, dtype="<u8"), LONG)] for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, type=pa.list_(pa.int64()))], names=["node", "code"])
+
+    return known.select("node", "hashes").mapInArrow(run, "node binary, code array<long>")
+
+
 def differing(a: str, b: str) -> Column:
     """In how many bits two fingerprints differ."""
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
@@ -183,7 +203,7 @@ def near_one(members: DataFrame, least: float, turn: int) -> DataFrame:
 
 
 def near_others(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a key's nodes in different components that may link."""
+    """Pairs (a, b) of a key's nodes in different components that may link by their longer fingerprints."""
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     drawn = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets every block from itself on.
@@ -215,7 +235,7 @@ def near_others(members: DataFrame, least: float) -> DataFrame:
         def told(t):
             """Pairs among whole groups: small ones all at once, by their distance in the table."""
             c = {n: t.column(n).to_numpy() for n in ("key", "left", "right", "block", "size")}
-            c["code"] = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+            c["code"] = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONG)
             node, component = t.column("node").to_pylist(), t.column("component").to_pylist()
             # A number that is equal where the component is.
             number = {x: i for i, x in enumerate(dict.fromkeys(component))}
@@ -233,7 +253,7 @@ def near_others(members: DataFrame, least: float) -> DataFrame:
             for x, y in found:
                 good = (group[x] != group[y]) & (np.minimum(c["size"][x], c["size"][y]) >= least * np.maximum(c["size"][x], c["size"][y]))
                 x, y = x[good], y[good]
-                near = np.bitwise_count(c["code"][x] ^ c["code"][y]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+                near = np.bitwise_count(c["code"][x] ^ c["code"][y]).sum(axis=1, dtype=np.int64) <= LONG_BITS
                 ends = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True)} - seen
                 if ends:
                     seen.update(ends)
@@ -297,13 +317,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
         """Those whose key has nodes of several components."""
         return rows.join(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "key")
 
-    for step in range(3):
+    for step in range(STARS + 1):
         now = several(told(members)) if groups is not None else told(members)
-        if step == 2:
-            open_ = checkpoint(now.select("node", "size", "code").distinct())
-            keys = rarest(known.join(open_.select("node"), "node", "left_semi"), least)
-            now = several(told(keys.join(open_, "node")))
-        links.append(checkpoint(confirmed(checkpoint(near_one(now, least, step) if step < 2 else near_others(now, least)), known, least)))
+        if step == STARS:
+            open_ = checkpoint(now.select("node", "size").distinct())
+            own = known.join(open_.select("node"), "node", "left_semi")
+            now = several(told(rarest(own, least).join(open_, "node"))).join(checkpoint(long_codes(own)), "node")
+        links.append(checkpoint(confirmed(checkpoint(near_one(now, least, step) if step < STARS else near_others(now, least)), known, least)))
         groups = components(reduce(DataFrame.unionByName, links))
     named = nodes.select("node", "first_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
