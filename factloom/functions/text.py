@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,21 +20,41 @@ DEFAULT_AUTHOR, AUTHOR_LENGTH = "frontend-user", 80
 NO_ROWS = "_No facts available yet._"
 # End of fixed values.
 
-def _plain_letters() -> dict[str, str]:
-    """Characters of the basic plane whose compatibility decomposition is one character and combining marks."""
-    out = {}
-    for code in [*range(0xA0, 0x3000), *range(0xFF00, 0xFFF0)]:
-        bare = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not "\u0300" <= x <= "\u036f")
-        if len(bare) == 1 and bare != chr(code) and bare.isascii():
-            out[chr(code)] = bare
-    return out
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility decompositions, without combining marks, that fold_search tells from the character itself.
 
-
-#: For translate(): characters and what stays of them.
-PLAIN = _plain_letters()
-ACCENTED, UNACCENTED = "".join(PLAIN), "".join(PLAIN.values())
-#: Letters that decompose into several: written out where a text holds any.
-LIGATURES = {x: unicodedata.normalize("NFKD", x) for x in "ﬀﬁﬂﬃﬄﬅﬆĲĳǄǅǆǇǈǉǊǋǌǱǲǳ"}
+    Those of one character or none, and those of several.  Others hold nothing that fold_search keeps, so that they end
+    as a space like the character.
+    """
+    one, several = {}, {}
+    for code in range(0xA0, sys.maxunicode + 1):
+        letter = chr(code)
+        parts = unicodedata.normalize("NFKD", letter)
+        if parts != letter:
+            bare = "".join(x for x in parts if not "\u0300" <= x <= "\u036f")
+            if len(bare) > 1 and re.search("[A-Za-z0-9@._+-]", bare):
+                several[letter] = bare
+            elif not bare or (len(bare) == 1 and bare.isascii()):
+                one[letter] = bare
+    return one, several
+
+
+def _ranges(letters: Iterable[str]) -> str:
+    """Letters as the inside of a pattern's class; what is not ASCII is asked first."""
+    codes, parts = sorted(map(ord, letters)), []
+    for code in codes:
+        if parts and parts[-1][1] == code - 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[\\x{80}-\\x{10FFFF}&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]]"
+
+
+#: For translate(), where what has no counterpart is dropped; and letters that are several, written out where a text holds any.
+ONE, SEVERAL = _decomposed()
+_KEPT = [x for x in ONE if ONE[x]]
+LETTERS, PLAIN_LETTERS = "".join(_KEPT + [x for x in ONE if not ONE[x]]), "".join(ONE[x] for x in _KEPT)
+HOLDS_SEVERAL = _ranges(SEVERAL)
 
 EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
 
@@ -83,12 +105,11 @@ def fold_search(c: Column, fold_capitals: bool = False) -> Column:
     them as pairs too.
     """
     first = _fold(F.lower(c) if fold_capitals else c)
-    wide = first
-    for letter, parts in LIGATURES.items():
-        wide = F.replace(wide, F.lit(letter), F.lit(parts))
-    spread = F.when(first.rlike(f"[{''.join(LIGATURES)}]"), wide).otherwise(first)
+    written = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    wide = F.array_join(F.transform(F.split(first, ""), lambda x: F.coalesce(F.element_at(written, x), x)), "")
+    spread = F.when(first.rlike(HOLDS_SEVERAL), wide).otherwise(first)
     # Marks that stand alone are dropped; others went with their letters.
-    plain = F.lower(F.regexp_replace(F.translate(spread, ACCENTED, UNACCENTED), "[\u0300-\u036f]", ""))
+    plain = F.lower(F.regexp_replace(F.translate(spread, LETTERS, PLAIN_LETTERS), "[\u0300-\u036f]", ""))
     return F.trim(F.regexp_replace(plain, "[^a-z0-9@._+-]+", " "))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import json_id
+from factloom.operators.rounds import numbered
 
 # Decisions from the one that prevails to the weakest, kinds of facts by kinds of observations and of
 # entities, observation kinds that are facts as they are, the attribute that names each kind's subject.
@@ -145,8 +146,8 @@ def build_facts(observations: DataFrame, index: DataFrame) -> tuple[DataFrame, D
 
 
 def ordered(facts: DataFrame) -> DataFrame:
-    """Facts in the order of kind and subject, as Unicode collates them."""
-    return facts.orderBy(F.collate(F.concat_ws(":", "kind", F.coalesce("subject_id", "fact_id")), "UNICODE"), "fact_id")
+    """Facts with their ``place`` in the order of kind and subject, as Unicode collates them, then of id."""
+    return numbered(facts, [F.collate(F.concat_ws(":", "kind", F.coalesce("subject_id", "fact_id")), "UNICODE"), F.col("fact_id")])
 
 
 def fact_counts(facts: DataFrame) -> DataFrame:

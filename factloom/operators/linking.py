@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.rounds import cut
+from factloom.operators.rounds import cut, numbered
 
 # Types of aliases that aren't searched for, those that count at any length, the length of others, types
 # that don't decide a link, how many code units of a text are searched, how many candidates a reader is shown.
@@ -17,8 +17,9 @@ SEARCHED_TEXT, MOST_CANDIDATES = 60_000, 40
 CANDIDATE = ["source_id", "entity_id", "match_type", "inherited_from", "evidence"]
 #: Edges of a graph's cycles that one task solves (about 200 MB there); more are solved by rounds of joins.
 ONE_TASK = 500_000
-#: Characters of all terms that one automaton holds; more terms are dealt over several, each of which scans the texts.
-TERM_CHARACTERS = 20_000_000
+#: Characters of all terms that one automaton holds, which takes up to 190 MB of a worker (measured with 258046 terms that
+#: share little); more terms are dealt over several automata, each of which scans the texts.
+TERM_CHARACTERS = 4_000_000
 
 
 def mention_links(mentions: DataFrame, index: DataFrame, match_type: str) -> DataFrame:
@@ -291,6 +292,19 @@ def item_candidates(items: DataFrame, candidates: DataFrame) -> DataFrame:
     return grouped.select("work_item_id", "entity_id", kind.alias("match_type"), "inherited_from", "first.evidence", "sources")
 
 
+def ordered_candidates(candidates: DataFrame, index: DataFrame, target: str = "source_id") -> DataFrame:
+    """Candidates that are entities, with ``place``: their order over all targets, then by entity type, entity and match
+    type as Unicode collates them, then by origin and evidence."""
+    named = candidates.join(index.select("entity_id", "entity_type"), "entity_id")
+    collated = [F.collate(c, "UNICODE") for c in (F.col(target), F.concat_ws(":", "entity_type", "entity_id", "match_type"))]
+    return numbered(named, [*collated, F.coalesce("inherited_from", F.lit("")), F.coalesce("evidence", F.lit(""))])
+
+
+def ordered_records(records: DataFrame) -> DataFrame:
+    """Records of ``union_records`` with ``place``: their order by type and id of the target, as Unicode collates them."""
+    return numbered(records, [F.collate(F.concat_ws(":", "target_type", "target_id"), "UNICODE"), F.col("target_id")])
+
+
 def union_records(sources: DataFrame, items: DataFrame) -> DataFrame:
     """Records of sources and of work items together: (target_type, target_id, decision, candidate_count)."""
     one = lambda rows, kind, key: rows.select(F.lit(kind).alias("target_type"), F.col(key).alias("target_id"), "decision", "candidate_count")

@@ -509,6 +509,18 @@ def fact_entities(t: Tables) -> DataFrame:
     return facts.fact_entities(_scoped(t), _facts(t))
 
 
+@query
+def fact_order(t: Tables) -> DataFrame:
+    return facts.ordered(_facts(t)).select("fact_id", "place")
+
+
+@query
+def candidate_order(t: Tables) -> DataFrame:
+    """Candidates of orders by customer; names of part types, with blanks and punctuation, as evidence."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(tagged("S-", "l_orderkey").alias("source_id"), tagged("DL-", "l_suppkey").alias("entity_id"), F.col("p_brand").alias("match_type"), F.lit(None).cast("string").alias("inherited_from"), F.concat_ws(" ", "p_name", F.concat(F.lit("#"), F.col("l_linenumber").cast("string"))).alias("evidence"))
+    return linking.ordered_candidates(rows, _index(t)).select("source_id", "entity_id", "match_type", "evidence", "place")
+
+
 @query
 def fact_kinds(t: Tables) -> DataFrame:
     """Every kind of observation, dealt over the events, and the kind of fact it gives."""

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from uuid import uuid4
 
@@ -23,6 +24,7 @@ from factloom.functions.text import fold_search, mentions
 from factloom.operators import changes, entities, extract, facts, linking, normalize, registry, triage, views, workqueue
 from factloom.operators.sections import Sections
 from factloom.sources.files import latest_day, read_files, read_table, write_lines
+from factloom.sources.leases import Lease, local_path
 from factloom.sources.versions import Delta, Versions, written
 
 # The property, versions that results are bound to, the day that stands for all drops.
@@ -69,14 +71,18 @@ def ingest(
     spark: SparkSession, root: str, store: str, now: str, mode: str | None = None, texts: DataFrame | None = None, extractor: Callable[[str], str] | None = None, limit: int = triage.DEEP_LIMIT,
     on_progress: Callable[[tuple[str, str, str]], None] | None = None,
 ) -> Run:
-    """Run over the files below ``root`` and write all tables below ``store``; only one run at a time.
+    """Run over the files below ``root`` and write all tables below ``store``; only one run at a time on a store.
 
+    Of runs by several drivers one holds the store's lease, if the store is a path of a file system that they share; for
+    other addresses (object stores) only runs of this process are kept apart.
     ``mode``: see ``through_day``.  ``texts``: path, text, page_count of PDF files.  ``extractor``: text to an answer.
     """
     if not ONE_AT_A_TIME.acquire(blocking=False):
         raise RuntimeError("a run is going on")
     try:
-        return _Ingest(spark, root, store, now, mode, texts, extractor, limit, on_progress).run()
+        path = local_path(store)
+        with nullcontext() if path is None else Lease(path) as lease:
+            return _Ingest(spark, root, store, now, mode, texts, extractor, limit, on_progress, lease).run()
     finally:
         ONE_AT_A_TIME.release()
 
@@ -87,7 +93,8 @@ def replay(spark: SparkSession, root: str, store: str, now: str, days: list[str]
 
 
 class _Ingest:
-    def __init__(self, spark, root, store, now, mode, texts, extractor, limit, on_progress):
+    def __init__(self, spark, root, store, now, mode, texts, extractor, limit, on_progress, lease=None):
+        self.lease = lease
         self.spark, self.root, self.store, self.now, self.extractor, self.limit, self.on_progress = spark, root, store, now, extractor, limit, on_progress
         self.through, base_only = through_day(spark, root, mode)
         self.files = read_files(spark, root, self.through, base_only)
@@ -99,6 +106,8 @@ class _Ingest:
 
     def tell(self, stage: str, message: str, level: str = "success") -> None:
         """An event, with the numbers of rows written since the one before; others can read it at once."""
+        if self.lease is not None:
+            self.lease.renew()
         self.out.events.append((stage, level, message))
         rows = {k: v for k, v in self.out.rows.items() if k not in self.told}
         self.told |= rows.keys()

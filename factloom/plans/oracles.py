@@ -180,6 +180,9 @@ SELECT subject_id, 'Invoice ' || subject_id || ' (' || o_orderkey || ') is dated
 SELECT s_suppkey, CAST(v AS DOUBLE) AS amount, CAST(COALESCE(TRY_CAST(CASE WHEN contains(substr(g, 1, 3), ',') THEN replace(replace(substr(g, 1, 3), '.', ''), ',', '.') ELSE substr(g, 1, 3) END AS DECIMAL(18,2)), 0) AS DOUBLE) AS cut FROM y""",
     "date_normalize": f"SELECT o_orderkey, {DAY('o_orderdate')} AS from_german, {DAY('o_orderdate + INTERVAL 1 DAY')} AS from_mail, epoch_ms(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS millis FROM orders",
     "fact_reduce": f"WITH {FACTS} SELECT fact_id, kind, subject_id, statement, decision, event_date, primary_entity_id, relationship_type, from_entity_id, to_entity_id, merged, source_count, first_source FROM fact",
+    "fact_order": f"WITH {FACTS} SELECT fact_id, row_number() OVER (ORDER BY kind || ':' || subject_id COLLATE en, fact_id) - 1 AS place FROM fact",
+    "candidate_order": """SELECT *, row_number() OVER (ORDER BY source_id COLLATE en, 'contractor:' || entity_id || ':' || match_type COLLATE en, evidence) - 1 AS place
+ FROM (SELECT 'S-' || l_orderkey AS source_id, 'DL-' || l_suppkey AS entity_id, p_brand AS match_type, p_name || ' #' || l_linenumber AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey)""",
     "fact_id": f"WITH x AS (SELECT o_orderkey, 'INV-' || o_orderkey AS s, 'Invoice INV-' || o_orderkey || ' is dated ' || {DAY('o_orderdate')} || '.' AS t FROM orders) SELECT o_orderkey, {obs_id('FACT', kind=chr(39) + 'invoice' + chr(39), subjectId='s', statement='t')} AS fact_id FROM x",
     "fact_stats": f"WITH {FACTS} SELECT kind, count(*) AS facts FROM fact GROUP BY kind",
     "last_fact_per_subject": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
