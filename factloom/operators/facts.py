@@ -107,6 +107,13 @@ def reduce_observations(observations: DataFrame, fields: tuple[str, ...] = ("eve
     )
 
 
+def reduce_touched(before: DataFrame, observations: DataFrame, touched: DataFrame, fields: tuple[str, ...] = ("event_date", "primary_entity_id")) -> DataFrame:
+    """The facts after some subjects' observations changed: those of ``touched`` (kind, subject_id) reduced again, others as ``before``."""
+    key = ["kind", "subject_id"]
+    again = reduce_observations(observations.join(touched.select(*key).distinct(), key, "left_semi"), fields)
+    return before.join(touched.select(*key).distinct(), key, "left_anti").select(*again.columns).unionByName(again)
+
+
 def fact_sources(observations: DataFrame, facts: DataFrame) -> DataFrame:
     """(fact_id, source_id) of every source that supports a fact, each once."""
     used = observations.where(~F.col("decision").isin("ignore", "duplicate")).select("kind", "subject_id", "source_id").distinct()

@@ -294,6 +294,18 @@ def alias_contains(t: Tables) -> DataFrame:
     return linking.alias_links(folded, _terms(t)).select("source_id", F.sha2("entity_id", 256).alias("entity"), "match_type")
 
 
+@query
+def alias_delta(t: Tables) -> DataFrame:
+    """Every second document is new, and so is every alias of odd length: new texts against all, old ones against new aliases."""
+    folded = cut(t.documents.select(F.col("doc_id").cast("string").alias("source_id"), text.fold_search(F.col("text")).alias("text"), (F.col("doc_id") % 2 == 0).alias("new")))
+    usable = cut(linking.searched_aliases(_terms(t)))
+    old, new, fresh = folded.where("NOT new"), folded.where("new"), F.length("folded") % 2 == 1
+    look = lambda docs, terms: linking.contained(docs, terms, "source_id", "text", "folded")
+    before = cut(look(old, usable.where(~fresh)))
+    hits = before.unionByName(look(new, usable)).unionByName(look(old, usable.where(fresh)))
+    return linking.links_of_hits(hits, usable).select("source_id", F.sha2("entity_id", 256).alias("entity"), "match_type")
+
+
 def _direct(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").cast("string").alias("source_id"), tagged("MIE-", "o_custkey").alias("entity_id"), day("o_orderdate").alias("day"))
 
@@ -509,6 +521,18 @@ def fact_entities(t: Tables) -> DataFrame:
     return facts.fact_entities(_scoped(t), _facts(t))
 
 
+FACT_COLUMNS = ("fact_id", "kind", "subject_id", "statement", "decision", "event_date", "primary_entity_id", "relationship_type", "from_entity_id", "to_entity_id", "merged", "source_count", "first_source")
+
+
+@query
+def fact_delta(t: Tables) -> DataFrame:
+    """Facts of the first lines of all orders, then those of the other lines put in: only their subjects are reduced again."""
+    told = cut(_scoped(t))
+    first = (F.col("kind") != "payment") | F.col("source_id").rlike("^[0-9]+-1-")
+    before = cut(facts.reduce_observations(told.where(first), facts.SCOPED))
+    return facts.reduce_touched(before, told, told.where(~first), facts.SCOPED).select(*FACT_COLUMNS)
+
+
 @query
 def fact_order(t: Tables) -> DataFrame:
     return facts.ordered(_facts(t)).select("fact_id", "place")
@@ -809,6 +833,50 @@ def semantic_filter(t: Tables) -> DataFrame:
 # -- scalar functions and conversations ------------------------------------------------------------------------------
 
 
+@query
+def view_mentions(t: Tables) -> DataFrame:
+    """Ids named in a text, the first 18 of them in order; those within a word don't count."""
+    number = F.col("o_orderkey").cast("string")
+    many = F.concat_ws(" ", *[F.concat(F.lit(f"INV-{i}X"), number) for i in range(20)])
+    body = F.concat(F.lit("TX-"), number, F.lit(" and FACT-"), (F.col("o_orderkey") % 7).cast("string"), F.lit(" xWI-9 WI-9, TX-"), number, F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" "), many)).otherwise(""))
+    return t.orders.select("o_orderkey", F.array_join(text.view_ids(body), ",").alias("ids"))
+
+
+@query
+def split_lists(t: Tables) -> DataFrame:
+    listed = F.regexp_replace("p_name", " ", " ;, ")
+    return t.part.select("p_partkey", F.array_join(text.split_list(listed), "|").alias("parts"), F.array_join(text.sorted_distinct(text.split_list(F.concat(listed, F.lit(","), listed))), "|").alias("sorted"))
+
+
+@query
+def human_sizes(t: Tables) -> DataFrame:
+    size = F.floor(F.col("o_totalprice") * F.when(F.col("o_orderkey") % 3 == 0, 0.01).when(F.col("o_orderkey") % 3 == 1, 1).otherwise(100)).cast("long")
+    return t.orders.select("o_orderkey", size.alias("size")).select("o_orderkey", text.human_bytes(F.col("size")).alias("shown"))
+
+
+@query
+def message_ids(t: Tables) -> DataFrame:
+    raw = F.when(F.col("o_orderkey") % 9 == 0, " < > ").otherwise(F.concat(F.lit(" <"), F.upper("o_orderpriority"), F.lit("@Mail."), F.col("o_orderkey").cast("string"), F.lit("> ")))
+    return t.orders.select("o_orderkey", text.message_id(raw).alias("message_id"))
+
+
+@query
+def markdown_parts(t: Tables) -> DataFrame:
+    """Parts as pages with a section per word of their names: titles, bullets and table cells read back."""
+    page = F.concat(F.lit("# "), F.col("p_name"), F.array_join(F.transform(F.split("p_name", " "), lambda w: F.concat(F.lit("\n## "), w, F.lit(" \n\n- "), F.upper(w), F.lit("\n* b\n| a | b |\n| --- | --- |\n| "), w, F.lit(" | x\\|y |\n"))), ""))
+    read = t.part.select("p_partkey", page.alias("page"))
+    cells = F.transform(text.markdown_rows(F.col("page")), lambda r: F.array_join(r, "/"))
+    return read.select("p_partkey", F.array_join(F.transform(text.markdown_sections(F.col("page")), lambda s: s["title"]), "|").alias("titles"), F.array_join(text.markdown_bullets(F.col("page")), "|").alias("bullets"), F.array_join(cells, "|").alias("cells"))
+
+
+@query
+def work_item_outcomes(t: Tables) -> DataFrame:
+    """Orders as work items: finished ones have observations, the others decisions by priority, or none yet."""
+    items = t.orders.select(tagged("WI-", "o_orderkey").alias("work_item_id"), "o_orderstatus", "o_orderpriority")
+    decided = items.where("o_orderpriority NOT LIKE '3%'").select("work_item_id", F.when(F.col("o_orderpriority").startswith("1"), "error").when(F.col("o_orderpriority").startswith("2"), "ignore").otherwise("metadata_only").alias("decision"))
+    return workqueue.outcomes(items, items.where("o_orderstatus = 'F'").select("work_item_id"), decided)
+
+
 @query
 def json_fields(t: Tables) -> DataFrame:
     return t.events.select("event_id", text.json_text(F.col("props"), "k").alias("k"), text.json_text(F.col("props"), "absent").alias("absent"))

@@ -118,6 +118,12 @@ mem AS (SELECT doc_id, 'S-' || doc_id AS source_id, CASE WHEN doc_id % 11 = 0 TH
  CASE WHEN doc_id % 11 = 0 THEN 'day-01' WHEN k = 'invoice_pdf' THEN 'DL-' || doc_id % 7 || ':INV-' || doc_id % 50 WHEN k = 'letter_pdf' THEN CASE WHEN doc_id % 2 = 0 THEN '2024-01' ELSE '2024-0' || (doc_id % 9 + 1) END || ':typ' || doc_id % 4
  WHEN k = 'bank_csv' THEN 'base-bank-ledger' ELSE 'base-master-data-and-indexes' END AS group_key FROM src)"""
 
+ALIAS_SQL = f"""WITH w0 AS (SELECT unnest(string_split(p_name, ' ')) AS w, 'name' AS k FROM part UNION ALL SELECT text, 'name' FROM benchmark UNION ALL SELECT 'a@b', 'email' UNION ALL SELECT 'der', 'email'),
+w AS (SELECT DISTINCT w, k, {SEARCH('w')} AS folded FROM w0 WHERE w IS NOT NULL),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, {SEARCH('text')} AS t FROM documents)
+SELECT DISTINCT source_id, sha256(w) AS entity, CASE WHEN k = 'email' THEN 'email' ELSE 'alias' END AS match_type FROM d JOIN w ON contains(t, folded) WHERE folded <> '' AND (k = 'email' OR length(folded) >= 5)"""
+FACT_SQL = f"WITH {FACTS} SELECT fact_id, kind, subject_id, statement, decision, event_date, primary_entity_id, relationship_type, from_entity_id, to_entity_id, merged, source_count, first_source FROM fact"
+
 ORACLES = {
     "inventory_hash": "SELECT doc_id, sha256(text) AS raw_sha256, CAST(length(text) AS BIGINT) AS chars FROM documents",
     "classify_sources": """SELECT page_id, CASE WHEN page_id % 4 = 0 AND url NOT LIKE '%/' THEN 'invoice_pdf' WHEN page_id % 4 = 1 AND url NOT LIKE '%/' THEN 'email' WHEN page_id % 4 = 2 THEN 'index_csv' ELSE 'unknown' END AS kind FROM pages""",
@@ -157,10 +163,7 @@ SELECT conv_id || ':' || min(up) AS thread_key, lpad(CAST(conv_id AS VARCHAR), 8
     "mention_join": r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all('ref DL-' || doc_id % 400 || ', MIE-' || doc_id % 7000 || ' ' || COALESCE(text, ''), '\b(?:LIE|HAUS|EH|EIG|MIE|DL|TX|INV|EMAIL|LTR)-[A-Z0-9-]*\d+\b')) AS entity_id FROM documents)
 SELECT DISTINCT doc_id AS source_id, entity_id, 'mention' AS match_type FROM x WHERE entity_id IN (SELECT 'DL-' || s_suppkey FROM supplier UNION SELECT 'MIE-' || c_custkey FROM customer)""",
     "mail_address_join": r"WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9._+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+')) AS email FROM documents) SELECT email, count(*) AS documents, min(doc_id) AS first_doc FROM x GROUP BY email",
-    "alias_contains": f"""WITH w0 AS (SELECT unnest(string_split(p_name, ' ')) AS w, 'name' AS k FROM part UNION ALL SELECT text, 'name' FROM benchmark UNION ALL SELECT 'a@b', 'email' UNION ALL SELECT 'der', 'email'),
-w AS (SELECT DISTINCT w, k, {SEARCH('w')} AS folded FROM w0 WHERE w IS NOT NULL),
-d AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, {SEARCH('text')} AS t FROM documents)
-SELECT DISTINCT source_id, sha256(w) AS entity, CASE WHEN k = 'email' THEN 'email' ELSE 'alias' END AS match_type FROM d JOIN w ON contains(t, folded) WHERE folded <> '' AND (k = 'email' OR length(folded) >= 5)""",
+    "alias_contains": ALIAS_SQL,
     "closure": f"WITH RECURSIVE {CLOSURE} SELECT * FROM closure",
     "temporal_validity": f"WITH r AS (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey, {DAY('a')} AS valid_from, {DAY('b')} AS valid_to FROM orders JOIN r ON o_orderkey = l_orderkey WHERE o_orderdate + INTERVAL 30 DAYS BETWEEN a AND b",
     "link_decision": f"""WITH RECURSIVE {CLOSURE}, k AS (SELECT source_id, bool_or(entity_type NOT IN ('property', 'email', 'letter')) AS strong, count(*) AS n FROM closure JOIN index_ USING (entity_id) GROUP BY 1)
@@ -179,7 +182,16 @@ SELECT subject_id, 'Invoice ' || subject_id || ' (' || o_orderkey || ') is dated
     "money_parse": """WITH x AS (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(18,2)) AS v FROM supplier), y AS (SELECT *, translate(format('{:,.2f}', CAST(v AS DOUBLE)), ',.', '.,') AS g FROM x)
 SELECT s_suppkey, CAST(v AS DOUBLE) AS amount, CAST(COALESCE(TRY_CAST(CASE WHEN contains(substr(g, 1, 3), ',') THEN replace(replace(substr(g, 1, 3), '.', ''), ',', '.') ELSE substr(g, 1, 3) END AS DECIMAL(18,2)), 0) AS DOUBLE) AS cut FROM y""",
     "date_normalize": f"SELECT o_orderkey, {DAY('o_orderdate')} AS from_german, {DAY('o_orderdate + INTERVAL 1 DAY')} AS from_mail, epoch_ms(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS millis FROM orders",
-    "fact_reduce": f"WITH {FACTS} SELECT fact_id, kind, subject_id, statement, decision, event_date, primary_entity_id, relationship_type, from_entity_id, to_entity_id, merged, source_count, first_source FROM fact",
+    "fact_reduce": FACT_SQL,
+    "view_mentions": "SELECT o_orderkey, 'TX-' || o_orderkey || ',FACT-' || o_orderkey % 7 || ',WI-9' || CASE WHEN o_orderkey % 5 = 0 THEN (SELECT string_agg(',INV-' || i || 'X' || o_orderkey, '' ORDER BY i) FROM range(15) r(i)) ELSE '' END AS ids FROM orders",
+    "split_lists": "SELECT p_partkey, replace(p_name, ' ', '|') AS parts, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '|') AS sorted FROM part",
+    "human_sizes": """WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice * CASE o_orderkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 1 ELSE 100 END) AS BIGINT) AS c FROM orders), q AS (SELECT *, CAST(floor(c * 10 / 1024.0 + 0.5) AS BIGINT) AS k, CAST(floor(c * 10 / 1048576.0 + 0.5) AS BIGINT) AS m FROM s)
+SELECT o_orderkey, CASE WHEN c < 1024 THEN c || ' B' WHEN c < 1048576 THEN k // 10 || '.' || k % 10 || ' KB' ELSE m // 10 || '.' || m % 10 || ' MB' END AS shown FROM q""",
+    "message_ids": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN lower(o_orderpriority) || '@mail.' || o_orderkey END AS message_id FROM orders",
+    "markdown_parts": r"SELECT p_partkey, replace(p_name, ' ', '|') AS titles, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w) || '|b'), '|') AS bullets, array_to_string(list_transform(string_split(p_name, ' '), lambda w: 'a/b|' || w || '/x\|y'), '|') AS cells FROM part",
+    "work_item_outcomes": "SELECT 'WI-' || o_orderkey AS work_item_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'error' WHEN o_orderstatus = 'F' THEN 'processed' WHEN o_orderpriority LIKE '2%' THEN 'ignored' WHEN o_orderpriority NOT LIKE '3%' THEN 'processed' ELSE 'queued' END AS status FROM orders",
+    "alias_delta": ALIAS_SQL,
+    "fact_delta": FACT_SQL,
     "fact_order": f"WITH {FACTS} SELECT fact_id, row_number() OVER (ORDER BY kind || ':' || subject_id COLLATE en, fact_id) - 1 AS place FROM fact",
     "candidate_order": """SELECT *, row_number() OVER (ORDER BY source_id COLLATE en, 'contractor:' || entity_id || ':' || match_type COLLATE en, evidence) - 1 AS place
  FROM (SELECT 'S-' || l_orderkey AS source_id, 'DL-' || l_suppkey AS entity_id, p_brand AS match_type, p_name || ' #' || l_linenumber AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey)""",
