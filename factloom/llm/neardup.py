@@ -401,8 +401,12 @@ def audit(all_nodes: DataFrame, kind: str, graph: DataFrame, least: float) -> tu
     return total[0], total[1]
 
 
-def link_graph(all_nodes: DataFrame, kind: str, least: float) -> tuple[DataFrame, float]:
-    """(id, other): all links of each node that has one; and the recall of the last audit, 1 if all nodes were compared."""
+def link_graph(all_nodes: DataFrame, kind: str, least: float) -> tuple[DataFrame, int | None, int | None]:
+    """(id, other): all links of each node that has one; and the links of the last audit, those of them that were found.
+
+    Both are None if no audit was clean and all nodes of each label were compared, which is the last resort: each vector
+    then meets every block of its label.
+    """
     graph, most = None, most_bits(least)
     for batch in range(BATCHES):
         known = checkpoint(sketches(all_nodes, kind, batch))
@@ -416,12 +420,13 @@ def link_graph(all_nodes: DataFrame, kind: str, least: float) -> tuple[DataFrame
                 break
         true, told = audit(all_nodes, kind, graph, least)
         if told == true:
-            return graph, 1.0
-    return checkpoint(merge(exhaustive(all_nodes, kind, least))), 1.0
+            return graph, true, told
+    return checkpoint(merge(exhaustive(all_nodes, kind, least))), None, None
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row, and recall: the share of the audited nodes' links that were found.
+    """vec_id, n_links, component_id, kept of every row; recall and audited_links: of so many links of the audited nodes
+    the share that was found (null without any; audited_links is null, recall 1, if all nodes of each label were compared).
 
     Rows link if their labels are equal and not null and their cosine is ``least`` or more, in double precision.
     Null, empty and zero vectors, those with a null or non-finite entry, and rows with a null id or label link
@@ -430,7 +435,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     """
     rows, kind = packed(vectors, id_col, vector_col, label_col), number_kind(vectors, vector_col)
     all_nodes = checkpoint(nodes(rows))
-    graph, recall = link_graph(all_nodes, kind, least)
+    graph, audited, found = link_graph(all_nodes, kind, least)
+    recall = F.lit(1.0) if audited is None else F.lit(found / audited if audited else None).cast("double")
     members, lists = twins(graph)
     steps = checkpoint(lists.select("twin", F.explode("other").alias("id")))
     # Links count copies: one for each linked node, and those beyond one of every node of the closed neighbourhood.
@@ -448,4 +454,4 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     joined = rows.select(F.col("id").alias("vec_id"), "label", "key").join(counted, ["label", "key"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
-    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("recall", F.lit(recall))
+    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumn("recall", recall).withColumn("audited_links", F.lit(audited).cast("long"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import ngrams, urlfilter
-from factloom.llm.quality import CUTOFFS, DELTA, RISK
+from factloom.llm import urlfilter
+
+# The values that the operators are registered with, typed here.
+CUTOFFS = {
+    "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01], "dup_line_share": [0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
+    "repeat_share": [0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05], "long_words": [40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0], "short_words": [-1.0, -1.5, -2.0, -2.5, -3.0, -3.5, -4.0],
+}
+RISK, DELTA, LEAST_COUNT, BACKOFF = 0.01, 0.05, 2, 0.4
 
 
 def quality_rules() -> str:
@@ -75,8 +81,8 @@ e AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS u FROM (SEL
 c1 AS (SELECT w, count(*) AS n FROM e GROUP BY w),
 c2 AS (SELECT u, w, count(*) AS n FROM e WHERE u IS NOT NULL GROUP BY u, w),
 s AS (SELECT e.r, CASE WHEN e.u IS NULL THEN ln(cw.n / (SELECT count(*) FROM e))
-                       WHEN c2.n >= {ngrams.LEAST_COUNT} THEN ln(c2.n) - ln(cu.n)
-                       ELSE ln({ngrams.BACKOFF}) + ln(cw.n / (SELECT count(*) FROM e)) END AS x
+                       WHEN c2.n >= {LEAST_COUNT} THEN ln(c2.n) - ln(cu.n)
+                       ELSE ln({BACKOFF}) + ln(cw.n / (SELECT count(*) FROM e)) END AS x
       FROM e JOIN c1 AS cw ON cw.w = e.w LEFT JOIN c2 ON c2.u = e.u AND c2.w = e.w LEFT JOIN c1 AS cu ON cu.w = e.u),
 d AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(COALESCE(x, 0), 3) AS log_score, round(x / len(ws), 6) AS score
