@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.numbers import epoch_millis, money_text, parse_number, signed_payment
 from factloom.functions.text import NO_ROWS, cell, json_list, json_text, missing_if_blank, source_reference, squeeze
 from factloom.operators.facts import SEMANTIC_KINDS, first_values
+from factloom.operators.rounds import cut, numbered
 
 # Titles of the sections, columns and fields of the entity tables, limits of lists, words of interest.
 TITLES = {
@@ -251,6 +252,17 @@ class Sections:
             every = every.unionByName(part)
         return every.select(*LINE)
 
+    def numbered(self, lines: DataFrame | None = None) -> DataFrame:
+        """(section_id, line_no, line) of all sections, or of some ``lines``: a section of any size stays rows over many tasks.
+
+        Lines are numbered from 1 within their section, by ranges of the order in which they stand.
+        """
+        order = F.create_map(*[x for n, s in enumerate(TITLES) for x in (F.lit(s), F.lit(n))])
+        rows = (self.lines() if lines is None else lines).withColumn("_section", F.element_at(order, F.col("section_id")))
+        placed = cut(numbered(rows, [F.col(c) for c in ("_section", "part", "place", "line")], "_at"))
+        first = placed.groupBy("section_id").agg(F.min("_at").alias("_first"))
+        return placed.join(F.broadcast(first), "section_id").select("section_id", (F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
+
     def fact_ids(self) -> DataFrame:
         """(section_id, fact_id): the facts that each kind's section stands on."""
         from factloom.operators.changes import section_of

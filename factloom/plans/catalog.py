@@ -755,6 +755,18 @@ def context_contractors(t: Tables) -> DataFrame:
     return _context(t).entity_table("contractors").select("part", "line")
 
 
+@query
+def context_tenants(t: Tables) -> DataFrame:
+    return _context(t).entity_table("tenants").select("part", "line")
+
+
+@query
+def context_line_numbers(t: Tables) -> DataFrame:
+    """Lines of the tenants' and contractors' sections with their numbers."""
+    context = _context(t)
+    return context.numbered(context.entity_table("tenants").unionByName(context.entity_table("contractors")))
+
+
 @query
 def context_invoices(t: Tables) -> DataFrame:
     return _context(t).invoices().where("part IN (0, 2)").select("part", "line")

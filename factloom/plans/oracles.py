@@ -277,6 +277,13 @@ f AS (SELECT unnest(['- Context.md is a materialized view, not the source of tru
  '- Semantic observations: workdir/semantic/observations.jsonl', '- Latest change set: workdir/changes/latest-change-set.json', '- Entity context views: contexts/LIE-001/entities/*.md', '- Patch log: contexts/LIE-001/patch-log.jsonl', '']) AS line, unnest(range(11)) AS k)
 SELECT 'provenance' AS section_id, CAST(0 AS INTEGER) AS part, lpad(CAST(k AS VARCHAR), 4, '0') AS place, line FROM f UNION ALL SELECT 'provenance', 1, '0000', '| Fact kind | Count |' UNION ALL SELECT 'provenance', 1, '0001', '| --- | --- |' UNION ALL SELECT 'provenance', 2, kind, '| ' || kind || ' | ' || n || ' |' FROM n""",
     "context_contractors": """SELECT 0 AS part, '| ID | Company | Trade | Contact | Email | Phone | Sources |' AS line UNION ALL SELECT 0, '| --- | --- | --- | --- | --- | --- | --- |' UNION ALL SELECT 1, '| DL-' || s_suppkey || ' | ' || s_name || ' |  |  |  |  | [MASTER] |' FROM supplier""",
+    "context_tenants": """SELECT 0 AS part, '| ID | Name | Unit | Owner | Start | End | Sources |' AS line UNION ALL SELECT 0, '| --- | --- | --- | --- | --- | --- | --- |'
+ UNION ALL SELECT 1, '| MIE-' || c_custkey || ' | ' || c_name || ' |  |  |  | active | [MASTER] |' FROM customer""",
+    "context_line_numbers": """WITH x AS (SELECT 'contractors' AS section_id, 0 AS k, '' AS id, '| ID | Company | Trade | Contact | Email | Phone | Sources |' AS line UNION ALL SELECT 'contractors', 1, '', '| --- | --- | --- | --- | --- | --- | --- |'
+ UNION ALL SELECT 'contractors', 2, 'DL-' || s_suppkey, '| DL-' || s_suppkey || ' | ' || s_name || ' |  |  |  |  | [MASTER] |' FROM supplier
+ UNION ALL SELECT 'tenants', 0, '', '| ID | Name | Unit | Owner | Start | End | Sources |' UNION ALL SELECT 'tenants', 1, '', '| --- | --- | --- | --- | --- | --- | --- |'
+ UNION ALL SELECT 'tenants', 2, 'MIE-' || c_custkey, '| MIE-' || c_custkey || ' | ' || c_name || ' |  |  |  | active | [MASTER] |' FROM customer)
+SELECT section_id, row_number() OVER (PARTITION BY section_id ORDER BY k, id) AS line_no, line FROM x""",
     "context_invoices": f"""WITH r AS (SELECT *, 'INV-DUP-' || o_orderkey AS i FROM orders WHERE o_orderkey % 11 = 0)
 SELECT 0 AS part, unnest(['- Invoice facts: ' || (SELECT count(*) FROM orders), '- Amount available from structured index: ' || (SELECT count(*) FROM orders), '- Metadata-only PDF invoices pending text extraction: 0', '- Review/anomaly candidates: ' || (SELECT count(*) FROM r),
  '- Complete invoice ledger is in contexts/LIE-001/fact-index.json; Context.md shows review items and latest invoices only.', '', '### Review Candidates', '']) AS line
