@@ -95,5 +95,18 @@ def test_financials_against_plain_sums(spark):
     assert sum(part == 2 for part, _ in rows) == min(30, facts)
 
 
+def test_numbered_lines_are_those_of_the_whole_sections(spark):
+    context = catalog._context(catalog.Tables(spark, SF))
+    whole = {r.section_id: (r.title, r.content) for r in context.build().collect()}
+    lines = {}
+    for r in sorted(context.numbered().collect(), key=lambda r: r.line_no):
+        lines.setdefault(r.section_id, []).append((r.line_no, r.line))
+    # The stand-in index has no property and so no profile.
+    assert len(whole) == 13 and set(lines) == set(whole)
+    for section, (title, content) in whole.items():
+        assert [n for n, _ in lines[section]] == list(range(1, len(lines[section]) + 1))
+        assert "\n".join([f"## {title}", "", *[x for _, x in lines[section]]]).rstrip() == content.rstrip()
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
