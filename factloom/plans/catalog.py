@@ -513,12 +513,14 @@ def fact_reduce(t: Tables) -> DataFrame:
 
 @query
 def fact_sources(t: Tables) -> DataFrame:
-    return facts.fact_sources(_scoped(t), _facts(t))
+    told = cut(_scoped(t))
+    return facts.fact_sources(told, facts.reduce_observations(told, facts.SCOPED))
 
 
 @query
 def fact_entities(t: Tables) -> DataFrame:
-    return facts.fact_entities(_scoped(t), _facts(t))
+    told = cut(_scoped(t))
+    return facts.fact_entities(told, facts.reduce_observations(told, facts.SCOPED))
 
 
 FACT_COLUMNS = ("fact_id", "kind", "subject_id", "statement", "decision", "event_date", "primary_entity_id", "relationship_type", "from_entity_id", "to_entity_id", "merged", "source_count", "first_source")
