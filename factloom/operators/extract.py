@@ -20,6 +20,8 @@ REASONS = {
 }
 # End of fixed values.
 
+#: Columns of rows that their observations keep, see ``facts.reduce_rows``.
+CARRIED = ("together", "carried")
 EVIDENCE = "struct<sourceId:string,normalizedPath:string,field:string,lineStart:bigint,lineEnd:bigint,quote:string>"
 
 
@@ -50,17 +52,19 @@ def evidence(field: Column | str | None = None, line: Column | None = None) -> C
 def observe(rows: DataFrame, kind: str, statement: Column, attributes: Column, reason: Column | str, seen: Column, decision: Column | str = "keep", processor: str = "structured_extractor") -> DataFrame:
     """Observations of ``rows`` (source_id, artifact, work_item_id, input_hash); their ids are made of all that they say.
 
-    Mentions are the ids in statement, attributes and source id, sorted.
+    Mentions are the ids in statement, attributes and source id, sorted.  CARRIED columns stay, if there are any.
     """
+    kept = [c for c in CARRIED if c in rows.columns]
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     said = {"statement": statement, "attributes": F.to_json(attributes), "decision": lit(decision), "reason": lit(reason), "evidence": seen}
-    made = once(rows, said).select("source_id", "work_item_id", "input_hash", *said)
+    made = once(rows, said).select("source_id", "work_item_id", "input_hash", *kept, *said)
     # The id's JSON text ends with that of the attributes, which is written once.
     head = F.to_json(F.struct(F.col("input_hash").alias("inputHash"), F.lit(kind).alias("kind"), F.array("source_id").alias("sourceIds"), "statement"))
     identity = stable_id("OBS", F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"attributes":'), F.col("attributes"), F.lit("}")))
-    found = F.array_sort(mentions(F.concat_ws(" ", "statement", "attributes", "source_id"), OBSERVED_ID_PATTERN))
+    # None is null; sort_array, unlike array_sort, needs no comparator that is interpreted.
+    found = F.sort_array(mentions(F.concat_ws(" ", "statement", "attributes", "source_id"), OBSERVED_ID_PATTERN))
     told = once(made, {"_head": head})
-    return told.select(identity.alias("observation_id"), "work_item_id", "input_hash", "source_id", F.lit(kind).alias("kind"), "statement", found.alias("mentions"), "evidence", "decision", "reason", F.lit(processor).alias("processor"), "attributes")
+    return told.select(identity.alias("observation_id"), "work_item_id", "input_hash", "source_id", F.lit(kind).alias("kind"), "statement", found.alias("mentions"), "evidence", "decision", "reason", F.lit(processor).alias("processor"), "attributes", *kept)
 
 
 def _row(c: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -107,17 +109,51 @@ def reduce_observations(observations: DataFrame, fields: tuple[str, ...] = ("eve
     )
 
 
+def reduce_rows(rows: DataFrame, key: str, made: Callable[[DataFrame], DataFrame], fields: tuple[str, ...] = ("event_date", "primary_entity_id"), whole: bool = True) -> DataFrame:
+    """``reduce_observations`` of ``made(rows)``, observations whose texts are far longer than the rows, with ``key``.
+
+    ``key``: a column that is equal for rows of one kind and subject_id and different for others.  Rows that stand
+    together by it already, as behind a join on it, aren't shuffled again.  Only the rows are sorted and grouped: statement
+    and attributes (these unless not ``whole``) are made again from the first and the last row of a fact.
+    """
+    told = scoped(made(rows.select("*", F.col(key).alias("together"), F.struct(*rows.columns).alias("carried")))).withColumn("kind", F.col("fact_kind"))
+    used = told.where(~F.col("decision").isin("ignore", "duplicate"))
+    order = F.struct("phase", "observation_id")
+    first_of = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
+    once = used.groupBy("together", "kind", "subject_id", "phase", "observation_id").agg(
+        F.min(F.struct("carried", *fields)).alias("o"), F.min(decision_rank(F.col("decision"))).alias("rank"), F.count("*").alias("sources"), F.min("source_id").alias("first_source")
+    )
+    flat = once.select("together", "kind", "subject_id", "phase", "observation_id", "o.*", "rank", "sources", "first_source")
+    grouped = flat.groupBy("together", "kind", "subject_id").agg(
+        F.min_by("carried", order).alias("_first"), *([F.max_by("carried", order).alias("_last")] if whole else []), *[first_of(c).alias(c) for c in fields],
+        F.count("*").alias("merged"), F.min("rank").alias("rank"), F.sum("sources").alias("source_count"), F.min("first_source").alias("first_source"),
+    )
+    for end, text in {"_first": "statement", "_last": "attributes"}.items():
+        if end in grouped.columns:
+            others = [c for c in grouped.columns if c not in (end, "together")]
+            grouped = made(grouped.select(f"{end}.*", "together", F.struct(*others).alias("carried"))).select("together", "carried.*", text)
+    return grouped.select(
+        json_id("FACT", kind=F.col("kind"), subjectId=F.col("subject_id"), statement=F.col("statement")).alias("fact_id"),
+        "kind", "subject_id", "statement", *(["attributes"] if whole else []), *fields, "source_count", "first_source", "merged", decision_of(F.col("rank")).alias("decision"), F.col("together").alias(key),
+    )
+
+
 def reduce_touched(before: DataFrame, observations: DataFrame, touched: DataFrame, fields: tuple[str, ...] = ("event_date", "primary_entity_id")) -> DataFrame:
     """The facts after some subjects' observations changed: those of ``touched`` (kind, subject_id) reduced again, others as ``before``."""
     key = ["kind", "subject_id"]
-    again = reduce_observations(observations.join(touched.select(*key).distinct(), key, "left_semi"), fields)
-    return before.join(touched.select(*key).distinct(), key, "left_anti").select(*again.columns).unionByName(again)
+    return replace_touched(before, touched.select(*key).distinct(), key, lambda keys: reduce_observations(observations.join(keys, key, "left_semi"), fields))
+
+
+def replace_touched(before: DataFrame, touched: DataFrame, key: list[str], reduced: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``before`` without the facts of ``touched`` (distinct keys), and those that ``reduced`` gives for these."""
+    again = reduced(touched)
+    return before.join(touched, key, "left_anti").select(*again.columns).unionByName(again)
 
 
 def fact_sources(observations: DataFrame, facts: DataFrame) -> DataFrame:
     """(fact_id, source_id) of every source that supports a fact, each once."""
-    used = observations.where(~F.col("decision").isin("ignore", "duplicate")).select("kind", "subject_id", "source_id").distinct()
-    return used.join(facts.select("kind", "subject_id", "fact_id"), ["kind", "subject_id"]).select("fact_id", "source_id")
+    used = observations.where(~F.col("decision").isin("ignore", "duplicate")).select("kind", "subject_id", "source_id")
+    return used.join(facts.select("kind", "subject_id", "fact_id"), ["kind", "subject_id"]).select("fact_id", "source_id").distinct()
 
 
 def fact_entities(observations: DataFrame, facts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,12 @@ def latest(facts: DataFrame, date: Column, k: int) -> DataFrame:
 
 
 class Sections:
-    """``facts`` with their ``sources``, ``entities`` and ``evidence`` (see ``facts.build_facts``), and the entity ``index``."""
+    """``facts`` with their ``sources``, ``entities`` and ``evidence`` (see ``facts.build_facts``), and the entity ``index``.
+
+    ``sources`` may also be a function that gives the sources of some facts (fact_id, kind, subject_id).
+    """
 
-    def __init__(self, facts: DataFrame, sources: DataFrame, entities: DataFrame, evidence: DataFrame, index: DataFrame, property_id: str):
+    def __init__(self, facts: DataFrame, sources: DataFrame | Callable[[DataFrame], DataFrame], entities: DataFrame, evidence: DataFrame, index: DataFrame, property_id: str):
         self.facts, self.sources, self.entities, self.evidence, self.index, self.property_id = facts, sources, entities, evidence, index, property_id
         self.spark = facts.sparkSession
 
@@ -74,8 +79,12 @@ class Sections:
 
     def referenced(self, facts: DataFrame) -> DataFrame:
         """``facts`` with ``ref``: the first sources of each."""
-        own = first_values(self.sources.join(facts.select("fact_id"), "fact_id", "left_semi"), "fact_id", "source_id", SOURCES_SHOWN)
-        return facts.join(own.withColumnRenamed("values", "_sources"), "fact_id", "left").withColumn("ref", source_reference(F.col("_sources"))).drop("_sources")
+        # A fact of one source names it itself; the others, written so that few of them are looked up by a broadcast.
+        several = cut(facts.where("source_count > 1").select("fact_id", "kind", "subject_id"))
+        found = self.sources(several) if callable(self.sources) else self.sources.join(several.select("fact_id"), "fact_id", "left_semi")
+        own = first_values(found, "fact_id", "source_id", SOURCES_SHOWN)
+        named = F.when(F.col("source_count") > 1, F.col("_sources")).otherwise(F.array("first_source"))
+        return facts.join(own.withColumnRenamed("values", "_sources"), "fact_id", "left").withColumn("ref", source_reference(named)).drop("_sources")
 
     def concerned(self, facts: DataFrame) -> DataFrame:
         """``facts`` with ``concerns``: the first entities of each."""
@@ -106,8 +115,8 @@ class Sections:
     # -- sections --------------------------------------------------------------------------------------------------
 
     def by_subject(self) -> DataFrame:
-        """(subject_id, fact_id): of the facts of a subject the last in the order of kinds."""
-        return self.facts.where("subject_id IS NOT NULL").groupBy("subject_id").agg(F.max_by("fact_id", F.struct("kind", "fact_id")).alias("fact_id"))
+        """(subject_id, fact_id, kind, source_count, first_source): of the facts of a subject the last in the order of kinds."""
+        return self.facts.where("subject_id IS NOT NULL").groupBy("subject_id").agg(F.max_by(F.struct("fact_id", "kind", "source_count", "first_source"), F.struct("kind", "fact_id")).alias("f")).select("subject_id", "f.*")
 
     def of_type(self, kind: str) -> DataFrame:
         own = self.index.where(F.col("entity_type") == kind)
@@ -241,7 +250,7 @@ class Sections:
         return head.unionByName(self.table(section, 1, ["Thread/Fact", "Date range", "Subject", "Triage", "Sources"], shown, F.format_string("%04d", "rank"), *cells))
 
     def provenance(self) -> DataFrame:
-        counts = self.facts.groupBy("kind").agg(F.count("*").cast("string").alias("n"))
+        counts = cut(self.facts.groupBy("kind").agg(F.count("*").cast("string").alias("n")))
         return self.fixed("provenance", 0, [*PROVENANCE, ""]).unionByName(self.table("provenance", 1, ["Fact kind", "Count"], counts, F.col("kind"), F.col("kind"), F.col("n")))
 
     def lines(self) -> DataFrame:
