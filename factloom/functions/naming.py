@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import money_text, parse_money
-from factloom.functions.text import missing_if_blank, normalize_whitespace, posix_path, trim
+from factloom.functions.text import let, missing_if_blank, normalize_whitespace, posix_path, trim
 
 # Identifier patterns in the order in which they name a source, kinds, patterns of names and of texts.
 DECLARED = (r"EMAIL-\d+", r"LTR-\d+", r"INV-(?:DUP-|FAKE-)?\d+", r"DL-(?:FAKE-)?\d+", r"TX-\d+")
@@ -116,16 +116,19 @@ def letter_name(path: Column) -> Column:
 
 def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     """The first pattern's group that is not blank, trimmed."""
-    return F.coalesce(*[missing_if_blank(trim(F.regexp_extract(text, p, 1))) for p in patterns])
+    return F.coalesce(*[let(trim(F.regexp_extract(text, p, 1)), lambda x: F.when(x != "", x)) for p in patterns])
 
 
 def amount(text: Column, patterns: tuple[str, ...]) -> Column:
-    return money_text(parse_money(first_match(text, patterns)))
+    return money_text(let(first_match(text, patterns), parse_money))
 
 
 def invoice_fields(text: Column) -> Column:
     """What an invoice's text tells; missing fields are null."""
-    compact = normalize_whitespace(text)
+    return let(normalize_whitespace(text), _invoice_fields)
+
+
+def _invoice_fields(compact: Column) -> Column:
     return F.struct(
         first_match(compact, INVOICE_NUMBER).alias("invoice_number"), first_match(compact, CUSTOMER_NUMBER).alias("customer_number"), first_match(compact, TEXT_DATE).alias("invoice_date"),
         amount(compact, NET_AMOUNT).alias("net_amount"), amount(compact, VAT_AMOUNT).alias("vat_amount"), amount(compact, GROSS_AMOUNT).alias("gross_amount"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import missing_if_blank, trim
+from factloom.functions.text import let, missing_if_blank, trim
 
 MONEY = "decimal(18,2)"
 
@@ -16,9 +16,9 @@ def parse_money(c: Column) -> Column:
     Everything but digits, commas, dots and minus signs is dropped first; what follows the leading number is ignored;
     no leading number: null.
     """
-    bare = F.regexp_replace(c, r"[^0-9,.-]", "")
-    plain = F.when(bare.contains(","), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
-    number = missing_if_blank(F.regexp_extract(plain, r"^(-?(?:\d+\.?\d*|\.\d+))", 1))
+    plain = lambda bare: F.when(bare.contains(","), F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(bare)
+    # No leading number gives an empty text, which is no decimal either.
+    number = F.regexp_extract(let(F.regexp_replace(c, r"[^0-9,.-]", ""), plain), r"^(-?(?:\d+\.?\d*|\.\d+))", 1)
     return number.try_cast("decimal(30,6)").try_cast(MONEY)
 
 

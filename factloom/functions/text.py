@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,6 +64,11 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, EDGES, "")
 
 
+def let(c: Column, told: Callable[[Column], Column]) -> Column:
+    """``told(c)``, with ``c`` worked out once, however often ``told`` reads it."""
+    return F.get(F.transform(F.array(c), told), F.lit(0))
+
+
 def missing_if_blank(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 

@@ -19,3 +19,13 @@ def test_facts_of_short_rows_equal_those_of_observations(spark):
         assert exchanges(found) == most
         wanted = facts.reduce_observations(part.told(), facts.SCOPED)
         assert sorted(map(repr, found.select(*wanted.columns).collect())) == sorted(map(repr, wanted.collect()))
+
+
+def test_fields_of_a_text_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.functions import naming
+
+    plan = spark.createDataFrame([("x",)], "p string").select(naming.invoice_fields(F.col("p")).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    # The text is normalized once, not once for each pattern and each time that a field is read.
+    assert plan.count("regexp_replace(p#") <= 2
