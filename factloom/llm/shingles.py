@@ -19,23 +19,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bound_batches, checkpoint, components
-from factloom.llm.simhash import GrayIndex, gray_rank, voted
+from factloom.llm.common import checkpoint, components
+from factloom.llm.simhash import GrayIndex, fingerprints, gray_rank, links, shingle_hashes, voted
 
 BANDS, ROWS = 25, 5
-#: Shingles hashed at once and shingles permuted at once.
-SLICE, PERMUTED = 1 << 16, 1024
+#: Shingles permuted at once.
+PERMUTED = 1024
 #: 64-bit words of a fingerprint.  Fingerprints that differ in more bits, in all or in the first word, aren't compared
 #: further: over 5 deviations more than the mean of sets of similarity 0.8.
 WORDS, MOST_BITS, FIRST_BITS = 4, 72, 26
+#: Bits in which SimHash fingerprints that are linked may differ.
+BITS = 2
 #: The same of the longer fingerprints: 2048 bits, of which 309 differ on average at 0.8, with a deviation of 16.
 LONG, LONG_BITS = 32, 400
 #: Rounds in which the nodes of a bucket are compared with one of them.
 STARS = 4
-#: Nodes of a bucket that one task searches at once; larger buckets are cut into blocks, which meet in pairs.
-BLOCK = 4096
-#: Groups of up to so many nodes are compared all at once with others; pairs that a task remembers so as to tell them once.
-SMALL, REMEMBERED = 8, 500_000
+#: Nodes of a bucket, and their shingles in all, that one task searches at once; larger buckets are cut into blocks, which
+#: meet in pairs.
+BLOCK, BLOCK_SHINGLES = 768, 1 << 20
+#: Pairs that a task remembers so as to tell them once.
+REMEMBERED = 500_000
+#: Pairs that a task searches for, and compares by fingerprints, at once.
+SEARCHED, COMPARED = 1 << 20, 1 << 15
 #: Counters of shingles by which the rarest are told: they order the search and never change its result.
 COUNTERS = 1 << 20
 #: Nodes whose sets are asked for by a broadcast list; beyond that, all sets travel to the join that picks them.
@@ -46,20 +51,8 @@ PAIR = "a binary, b binary"
 def shingle_set(text: str | None, words: int = 5):
     """Sorted distinct 64-bit hashes of the text's shingles; no words: none; fewer than ``words``: one shingle of all."""
     import numpy as np
-    from xxhash import xxh64_intdigest
-
-    parts = (text or "").encode("utf-8", "replace").lower().split()
-    if not parts:
-        return np.zeros(0, dtype="<u8")
-    joined = b" ".join(parts)
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths).tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    made = [
-        np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype="<u8")
-        for at in range(0, len(ends), SLICE)
-    ]
-    return np.unique(np.concatenate(made))
+
+    return np.unique(shingle_hashes(text, words))
 
 
 def minima(hashes):
@@ -85,31 +78,21 @@ def spread(hashes, words: int = WORDS):
 
 
 def described(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, size, keys, code) of each row: its set's digest and size, a key per band, its fingerprint's words."""
-    bound_batches(docs.sparkSession)
+    """(doc_id, fingerprint, node, size, keys, code) of each row: its SimHash fingerprint, its set's digest and size, a key
+    per band, the words of the set's own fingerprint."""
 
-    def run(batches):
+    def describe(hashes):
         import numpy as np
-        import pyarrow as pa
         from xxhash import xxh3_128_digest, xxh64_intdigest
 
-        for batch in batches:
-            nodes, sizes, keys, codes = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, words)
-                nodes.append(xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                least = minima(own) if len(own) else np.zeros(0, dtype=np.uint64)
-                bands = [b.tobytes() for b in least.reshape(-1, ROWS)]
-                keys.append(np.array([xxh64_intdigest(b, n) for n, b in enumerate(bands)], dtype=np.uint64).view(np.int64))
-                codes.append([voted(x) for x in spread(own)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(codes, type=pa.list_(pa.int64()))],
-                names=["doc_id", "node", "size", "keys", "code"],
-            )
-
-    shape = "doc_id long, node binary, size long, keys array<long>, code array<long>"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, shape)
+        own = np.unique(hashes)
+        least = minima(own) if len(own) else np.zeros(0, dtype=np.uint64)
+        keys = np.array([xxh64_intdigest(b.tobytes(), n) for n, b in enumerate(least.reshape(-1, ROWS))], dtype=np.uint64)
+        return xxh3_128_digest(own.tobytes()), len(own), keys.view(np.int64), [voted(x) for x in spread(own)]
+
+    shape = {"node": "binary", "size": "long", "keys": "array<long>", "words": "array<long>"}
+    made = fingerprints(docs, words, id_col, text_col, shape, describe)
+    return made.withColumnsRenamed({"code": "fingerprint", "words": "code"})
 
 
 def sets(docs: DataFrame, words: int, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -202,10 +185,93 @@ def near_one(members: DataFrame, least: float, turn: int) -> DataFrame:
     return met.where(close).select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
 
 
-def near_others(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a key's nodes in different components that may link by their longer fingerprints."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    drawn = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def whole_groups(batches, keys: tuple[str, ...]):
+    """Tables of whole groups of equal ``keys`` from sorted batches, each with the places where its groups begin."""
+    import numpy as np
+    import pyarrow as pa
+
+    def begins(t):
+        key = np.stack([t.column(c).to_numpy() for c in keys])
+        return np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        if t.num_rows and (last := int(begins(t)[-1])):
+            yield (whole := t.slice(0, last)), begins(whole)
+            t = t.slice(last)
+        held = t
+    if held is not None and held.num_rows:
+        yield held, begins(held)
+
+
+def numbers(values: list):
+    """An integer for each value, equal where the values are."""
+    import numpy as np
+
+    number = {x: i for i, x in enumerate(dict.fromkeys(values))}
+    return np.fromiter(map(number.__getitem__, values), dtype=np.int64, count=len(values))
+
+
+def words_of(column):
+    """The longer fingerprints of a column, a row each."""
+    import numpy as np
+
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONG)
+
+
+def forest(asked, known, code, size, component, least: float, hashes=None):
+    """A spanning forest (x, y) of what may link between places in ``asked`` and ``known``, or of what does link.
+
+    Candidates are nodes of different components that differ in at most LONG_BITS bits, found in a Gray-order index of
+    ``known`` by the first word of their codes.  With their sets (``hashes``) these are compared, and components that are
+    one by now aren't compared again.  ``asked`` and ``known`` are the same places or have none in common.
+    """
+    import numpy as np
+
+    once, label = asked is known, np.arange(len(size)) if hashes is None else component.copy()
+    if hashes is not None:
+        begin = np.cumsum(size) - size
+        terms, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        mark = np.zeros(len(terms), dtype=bool)
+    known = known[np.argsort(gray_rank(code[known, 0]), kind="stable")]
+    index, step = GrayIndex(code[known, 0]), max(1, SEARCHED // max(1, len(known)))
+    for at in range(0, len(asked), step):
+        who, leaf = index.search(code[asked[at : at + step], 0], FIRST_BITS)
+        x, y = asked[at + who], known[leaf]
+        good = (component[x] != component[y]) & (label[x] != label[y]) & (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y]))
+        good &= (x < y) if once else True
+        x, y = x[good], y[good]
+        near = [np.bitwise_count(code[x[n : n + COMPARED]] ^ code[y[n : n + COMPARED]]).sum(axis=1, dtype=np.int64) <= LONG_BITS for n in range(0, len(x), COMPARED)]
+        near = np.concatenate([np.zeros(0, dtype=bool), *near])
+        x, y = x[near], y[near]
+        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+        for start, end in zip(cuts, cuts[1:] if len(x) else [], strict=False):
+            one, others = int(x[start]), y[start:end]
+            others = others[label[others] != label[one]]
+            if hashes is not None and len(others):
+                mark[place[begin[one] : begin[one] + size[one]]] = True
+                lengths = size[others]
+                starts = np.cumsum(lengths) - lengths
+                own = np.arange(lengths.sum()) + np.repeat(begin[others] - starts, lengths)
+                both = np.add.reduceat(mark[place[own]].astype(np.int64), starts)
+                mark[place[begin[one] : begin[one] + size[one]]] = False
+                others = others[both >= least * (size[one] + lengths - both)]
+            for other in others.tolist():
+                if label[one] != label[other]:
+                    yield one, other
+                    label[label == label[other]] = label[one]
+
+
+def spanned(members: DataFrame, least: float, exact: bool) -> DataFrame:
+    """Pairs (a, b) that unite the nodes of each key that may link, or do so by their sets (``exact``: column hashes).
+
+    ``members``: key, node, size, component, code.  The nodes are compared by the task where they meet, which tells a
+    spanning forest: fewer rows than nodes, however many pairs there are.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    drawn = members.join(members.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each block meets every block from itself on.
     met = drawn.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = met.withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
@@ -216,64 +282,41 @@ def near_others(members: DataFrame, least: float) -> DataFrame:
         import pyarrow as pa
 
         seen: set = set()
-
-        def search(group):
-            """Pairs of places of one large group: those of its left block found in an index of its right block."""
-            block, code, at = group["block"], group["code"][:, 0], group["at"]
-            asked, known = np.flatnonzero(block == group["left"][0]), np.flatnonzero(block == group["right"][0])
-            known = known[np.argsort(gray_rank(code[known]), kind="stable")]
-            if not len(known):
-                return
-            index, step = GrayIndex(code[known]), max(1, (1 << 22) // len(known))
-            for begin in range(0, len(asked), step):
-                who, leaf = index.search(code[asked[begin : begin + step]], FIRST_BITS)
-                x, y = asked[begin + who], known[leaf]
-                # Each pair of a block with itself is met both ways.
-                once = (group["left"][0] != group["right"][0]) | (x < y)
-                yield at[x[once]], at[y[once]]
-
-        def told(t):
-            """Pairs among whole groups: small ones all at once, by their distance in the table."""
-            c = {n: t.column(n).to_numpy() for n in ("key", "left", "right", "block", "size")}
-            c["code"] = t.column("code").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LONG)
-            node, component = t.column("node").to_pylist(), t.column("component").to_pylist()
-            # A number that is equal where the component is.
-            number = {x: i for i, x in enumerate(dict.fromkeys(component))}
-            group = np.fromiter(map(number.__getitem__, component), dtype=np.int64, count=len(component))
-            fresh = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["left"][1:] != c["left"][:-1]) | (c["right"][1:] != c["right"][:-1])]
-            first = np.flatnonzero(fresh)
-            sizes = np.diff(np.r_[first, t.num_rows])
-            last, own = np.repeat(first + sizes, sizes), np.repeat(sizes, sizes)
-            at = np.arange(t.num_rows)
-            found = [(x, x + n) for n in range(1, SMALL) for x in [at[(own <= SMALL) & (at + n < last)]]]
-            # Of two blocks only pairs across them are asked for.
-            found = [(x[m], y[m]) for x, y in found for m in [(c["left"][x] == c["right"][x]) | (c["block"][x] != c["block"][y])]]
-            for begin, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                found += search({n: v[begin : begin + size] for n, v in c.items()} | {"at": at[begin : begin + size]})
-            for x, y in found:
-                good = (group[x] != group[y]) & (np.minimum(c["size"][x], c["size"][y]) >= least * np.maximum(c["size"][x], c["size"][y]))
-                x, y = x[good], y[good]
-                near = np.bitwise_count(c["code"][x] ^ c["code"][y]).sum(axis=1, dtype=np.int64) <= LONG_BITS
-                ends = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True)} - seen
+        for t, first in whole_groups(batches, ("key", "left", "right")):
+            code, size, node = words_of(t.column("code")), t.column("size").to_numpy(), t.column("node").to_pylist()
+            block, sides = t.column("block").to_numpy(), [t.column(c).to_numpy() for c in ("left", "right")]
+            component = numbers(t.column("component").to_pylist())
+            for at, end in zip(first.tolist(), [*first[1:].tolist(), t.num_rows], strict=True):
+                here = slice(at, end)
+                left, right = (np.flatnonzero(block[here] == side[at]) for side in sides)
+                right = left if sides[0][at] == sides[1][at] else right
+                if end - at < 2 or not len(left) or not len(right):
+                    continue
+                hashes = [np.frombuffer(h, dtype="<u8") for h in t.column("hashes")[here].to_pylist()] if exact else None
+                found = forest(left, right, code[here], size[here], component[here], least, hashes)
+                ends = {(min(x, y), max(x, y)) for i, j in found for x, y in [(node[at + i], node[at + j])]} - seen
                 if ends:
                     seen.update(ends)
                     yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
             if len(seen) > REMEMBERED:
                 seen.clear()
 
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "left", "right")])
-            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if len(ends):
-                yield from told(t.slice(0, int(ends[-1])))
-                t = t.slice(int(ends[-1]))
-            held = t
-        if held is not None and held.num_rows:
-            yield from told(held)
+    return dealt.select("key", "left", "right", "block", "node", "size", "component", "code", *["hashes"] * exact).mapInArrow(run, PAIR)
 
-    return dealt.select("key", "left", "right", "block", "node", "size", "component", "code").mapInArrow(run, PAIR).distinct()
+
+def linked_others(members: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that unite all nodes of different components that link and share a key (key, node, size, component).
+
+    Those that may link by their longer fingerprints are clusters first, so that each set travels to one place, where it
+    is compared with the others of its cluster, and not to every key's.
+    """
+    codes = checkpoint(long_codes(known))
+    clusters = components(spanned(members.join(codes, "node"), least, False))
+    # The smallest node of a cluster, which names it, belongs to it too.
+    clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
+    placed = members.select("node", "size", "component").distinct().join(clusters.withColumnRenamed("component", "cluster"), "node")
+    whole = placed.withColumn("key", F.xxhash64("cluster")).join(codes, "node").join(known.select("node", "hashes"), "node")
+    return spanned(whole, least, True)
 
 
 def confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -302,12 +345,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
     of rows with one id none is told apart.  An empty table gives an empty result.
     """
     rows = checkpoint(described(docs, words, id_col, text_col))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("size", "keys", "code")])
-    placed = nodes.select("node", "size", "code", F.explode("keys").alias("key"))
+    nodes = rows.groupBy("node").agg(*[F.min(c).alias(n) for c, n in (("doc_id", "first_id"), ("fingerprint", "fingerprint"))], *[F.first(c).alias(c) for c in ("size", "keys", "code")])
+    # Fingerprints that the Gray-order index links are one more bucket.
+    near = components(links(nodes.select(F.col("fingerprint").alias("code")).distinct(), BITS))
+    alike = nodes.join(near.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("node", "size", "code", F.coalesce("component", "fingerprint").alias("key"))
+    placed = nodes.select("node", "size", "code", F.explode("keys").alias("key")).unionByName(alike)
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = checkpoint(placed.join(shared, "key"))
     known = checkpoint(sets(docs, words, text_col, members.select("node").distinct()))
-    links, groups = [], None
+    edges, groups = [], None
 
     def told(rows: DataFrame) -> DataFrame:
         """``rows`` of nodes with their component."""
@@ -319,12 +365,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
 
     for step in range(STARS + 1):
         now = several(told(members)) if groups is not None else told(members)
-        if step == STARS:
+        if step < STARS:
+            found = confirmed(checkpoint(near_one(now, least, step)), known, least)
+        else:
             open_ = checkpoint(now.select("node", "size").distinct())
-            own = known.join(open_.select("node"), "node", "left_semi")
-            now = several(told(rarest(own, least).join(open_, "node"))).join(checkpoint(long_codes(own)), "node")
-        links.append(checkpoint(confirmed(checkpoint(near_one(now, least, step) if step < STARS else near_others(now, least)), known, least)))
-        groups = components(reduce(DataFrame.unionByName, links))
+            own = checkpoint(known.join(open_.select("node"), "node", "left_semi"))
+            found = linked_others(checkpoint(several(told(rarest(own, least).join(open_, "node")))), own, least)
+        edges.append(checkpoint(found))
+        groups = components(reduce(DataFrame.unionByName, edges))
     named = nodes.select("node", "first_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     told = named.join(lowest, "component").select("node", "component_id")

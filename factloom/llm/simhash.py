@@ -9,6 +9,8 @@ that each node adds to its parent's and drops a whole node once they exceed ``bi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,23 +23,28 @@ BLOCK = 2048
 SLICE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The text's fingerprint as a signed 64-bit integer; no words: zero; fewer than ``words``: one shingle of all."""
+def shingle_hashes(text: str | None, words: int = 3):
+    """The hashes of the text's shingles, repeats included; no words: none; fewer than ``words``: one shingle of all."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(lengths + 1) - 1
-    starts, k = (ends - lengths).tolist(), min(words, len(parts))
-    ends, total = ends[k - 1 :].tolist(), len(parts) - k + 1
-    votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, total, SLICE):
-        votes += ones(np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype="<u8"))
-    return majority(votes, total)
+    starts, ends = (ends - lengths).tolist(), ends[min(words, len(parts)) - 1 :].tolist()
+    made = [
+        np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at : at + SLICE], ends[at : at + SLICE])], dtype="<u8")
+        for at in range(0, len(ends), SLICE)
+    ]
+    return np.concatenate(made)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The text's fingerprint as a signed 64-bit integer; no words: zero."""
+    return voted(shingle_hashes(text, words))
 
 
 def ones(hashes):
@@ -62,18 +69,30 @@ def voted(hashes) -> int:
     return majority(np.sum(parts, axis=0), len(hashes)) if parts else 0
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, code) for each row of ``docs``; a null text has no words."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", further: dict[str, str] | None = None, describe: Callable | None = None) -> DataFrame:
+    """(doc_id, code) for each row of ``docs``; a null text has no words.
+
+    ``further``: names and types (long, binary, array<long>) of columns that ``describe`` gives for the hashes of a text's
+    shingles, so that these are worked out once.
+    """
     bound_batches(docs.sparkSession)
+    kinds = {"code": "long"} | (further or {})
 
     def run(batches):
         import pyarrow as pa
 
+        types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
         for batch in batches:
-            codes = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, type=pa.int64())], names=["doc_id", "code"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, code long")
+            made = []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, words)
+                made.append((voted(hashes), *(describe(hashes) if describe else ())))
+            columns = zip(*made, strict=True) if made else [()] * len(kinds)
+            arrays = [pa.array(values, type=types[kind]) for values, kind in zip(columns, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *kinds])
+
+    shape = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"doc_id long, {shape}")
 
 
 def gray_rank(codes):
