@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ ONE_TASK = 500_000
 #: share little); more terms are dealt over several automata, each of which scans the texts.
 TERM_CHARACTERS = 4_000_000
 
+#: Rows that one task sorts or groups when sources meet nodes; rows of one key, beyond which what they meet is broadcast, and
+#: rows of a broadcast (some 60 MB).
+TASK_ROWS, HOT_ROWS, HOT_OTHERS = 300_000, 100_000, 300_000
+
 
 def mention_links(mentions: DataFrame, index: DataFrame, match_type: str) -> DataFrame:
     """Candidates for named ids (source_id, entity_id) that are entities."""
@@ -215,14 +221,22 @@ def reach(roots: DataFrame, steps: DataFrame, gates: DataFrame) -> DataFrame:
         known = cut(known.unionByName(front))
 
 
-def expand(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None) -> DataFrame:
-    """Candidates for everything the direct ones relate to, until nothing is new.
+class Reached(NamedTuple):
+    """What sources come to, not yet spread over them: see ``reached``."""
+
+    own: DataFrame
+    table: DataFrame
+    walks: DataFrame
+    tasks: int
+    hot: DataFrame
 
-    ``direct``: source_id, entity_id and day; ``edges``: from_id, to_id.  Every edge walked is a candidate.  ``gated``
-    (entity_id, valid_from, valid_to) are entities, tenants, from which nothing is walked on days out of their range.
 
-    Nothing is walked for a single source: entities on one cycle are made one node, what each node comes to, and when,
-    is worked out once, and sources are joined to that by their entities.
+def reached(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None) -> Reached:
+    """The sources' nodes (own: source_id, day, root), what each node comes to (table: root, node, since, until) and the
+    edges from there (walks: a, from_id, to_id), for ``expand``, ``item_relations`` and ``relation_records``.
+
+    Nothing is walked for a single source: entities on one cycle are made one node, and what each node comes to, and when,
+    is worked out once.  ``tasks``: so many that none holds more than TASK_ROWS sources' nodes; ``hot``: nodes of many.
     """
     spark = direct.sparkSession
     day = lambda c: F.substring(c, 1, 10).try_cast("date")
@@ -231,15 +245,78 @@ def expand(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None)
     edges = cut(edges.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
     shut = gates.select("node").distinct()
     plain = edges.join(shut.withColumnRenamed("node", "from_id"), "from_id", "left_anti").join(shut.withColumnRenamed("node", "to_id"), "to_id", "left_anti")
-    cycles = strong_components(plain)
+    cycles = cut(strong_components(plain))
     merged = lambda rows, c: rows.join(cycles.withColumnsRenamed({"node": c, "component": "_c"}), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
     walks = cut(merged(edges.withColumn("a", F.col("from_id")), "a"))
     steps = merged(walks.select("a", F.col("to_id").alias("b")), "b").where("a <> b").distinct()
-    own = merged(direct.select("source_id", "day", F.col("entity_id").alias("root")), "root").distinct()
-    table = reach(own.select("root").distinct(), cut(steps), gates)
-    at = day(F.col("day"))
-    met = own.join(table, "root").where(at.isNull() | ((F.col("since").isNull() | (at >= F.col("since"))) & (F.col("until").isNull() | (at <= F.col("until"))))).select("source_id", F.col("node").alias("a")).distinct()
-    return met.join(walks, "a").select("source_id", F.col("to_id").alias("entity_id"), F.lit("relationship").alias("match_type"), F.col("from_id").alias("inherited_from"), F.concat_ws(" -> ", "from_id", "to_id").alias("evidence"))
+    own = cut(merged(direct.select("source_id", day(F.col("day")).alias("day"), F.col("entity_id").alias("root")), "root"))
+    tasks = max(spark.sparkContext.defaultParallelism, own.count() // TASK_ROWS + 1)
+    roots = cut(own.groupBy("root").count())
+    table = reach(roots.select("root"), cut(steps), gates)
+    return Reached(own, table, walks, tasks, roots.where(F.col("count") > HOT_ROWS).select("root"))
+
+
+def beside(rows: DataFrame, other: DataFrame, key: str, hot: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``rows`` joined with ``other`` by ``key``: neither rows of a key in ``hot`` nor sorts of large tasks stand in one task.
+
+    What ``other`` has for the hot keys is broadcast, HOT_OTHERS of its rows at a time; the rest is shuffled.
+    """
+    keys = F.broadcast(hot.select(key))
+    many, few = cut(other.join(keys, key, "left_semi")), other.join(keys, key, "left_anti")
+    dealt = lambda df: df if tasks is None else df.repartition(tasks, key)
+    found = dealt(rows.join(keys, key, "left_anti")).join(dealt(few), key)
+    shards = -(-many.count() // HOT_OTHERS)
+    for shard in range(shards):
+        part = many if shards == 1 else many.where(F.pmod(F.xxhash64(*many.columns), F.lit(shards)) == shard)
+        found = found.unionByName(rows.join(F.broadcast(part), key))
+    return found
+
+
+def _met(r: Reached, told: DataFrame | None = None) -> DataFrame:
+    """(source_id, a): the nodes that each source comes to, each once, dealt by source_id; with ``told``'s (a, ...) of them."""
+    table = r.table if told is None else r.table.join(told.withColumnRenamed("a", "node"), "node", "left")
+    more = [] if told is None else [c for c in told.columns if c != "a"]
+    met = beside(r.own, table, "root", r.hot, r.tasks).where("day IS NULL OR ((since IS NULL OR day >= since) AND (until IS NULL OR day <= until))")
+    return met.select("source_id", F.col("node").alias("a"), *more).repartition(2 * r.tasks, "source_id").distinct()
+
+
+def _walked(rows: DataFrame, walks: DataFrame) -> DataFrame:
+    """``rows`` (a, ...) with each edge that leaves their nodes."""
+    rows = cut(rows)
+    hot = cut(rows.groupBy("a").count().where(F.col("count") > HOT_ROWS))
+    return beside(rows, walks, "a", hot, max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // TASK_ROWS + 1))
+
+
+def expand(direct: DataFrame, edges: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """Candidates for everything the direct ones relate to, until nothing is new.
+
+    ``direct``: source_id, entity_id and day; ``edges``: from_id, to_id.  Every edge walked is a candidate.  ``gated``
+    (entity_id, valid_from, valid_to) are entities, tenants, from which nothing is walked on days out of their range.
+    """
+    r = reached(direct, edges, gated)
+    return _walked(_met(r), r.walks).select("source_id", F.col("to_id").alias("entity_id"), F.lit("relationship").alias("match_type"), F.col("from_id").alias("inherited_from"), _evidence())
+
+
+def _evidence() -> Column:
+    return F.concat_ws(" -> ", "from_id", "to_id").alias("evidence")
+
+
+def item_relations(items: DataFrame, r: Reached) -> DataFrame:
+    """``item_candidates`` of ``expand``'s candidates, which are not written out for it.
+
+    An edge leaves one node, so the sources are counted by item and node, and edges joined to these counts.
+    """
+    own = items.select("work_item_id", "source_id").repartition(2 * r.tasks, "source_id").distinct()
+    counted = own.join(_met(r), "source_id").groupBy("work_item_id", "a").agg(F.count("*").alias("sources"))
+    return _walked(counted, r.walks).select("work_item_id", F.col("to_id").alias("entity_id"), F.lit("work_item_aggregate").alias("match_type"), F.col("from_id").alias("inherited_from"), _evidence(), "sources")
+
+
+def relation_records(sources: DataFrame, r: Reached, index: DataFrame, property_id: str | None = None) -> DataFrame:
+    """``link_records`` of ``expand``'s candidates, which are not written out for it: each node tells what its edges lead to."""
+    typed = r.walks.join(index.select(F.col("entity_id").alias("to_id"), "entity_type"), "to_id")
+    told = typed.groupBy("a").agg(*_kinds("to_id", property_id))
+    kinds = _met(r, told).groupBy("source_id").agg(F.max("strong").alias("strong"), F.sum("typed").alias("typed"), F.sum("candidate_count").alias("candidate_count"), F.max("scoped").alias("scoped"))
+    return _records(sources, kinds.where("candidate_count > 0"), "source_id", property_id, 2 * r.tasks)
 
 
 def building_edges(index: DataFrame, property_id: str) -> DataFrame:
@@ -253,10 +330,19 @@ def tenancies(index: DataFrame) -> DataFrame:
     return index.where("entity_type = 'tenant'").select("entity_id", f("mietbeginn").alias("valid_from"), f("mietende").alias("valid_to"))
 
 
-def decide(types: Column, has_property: Column | None = None) -> Column:
+def _kinds(entity: str, property_id: str | None) -> list[Column]:
+    """Of candidates with their entity_type: whether any type decides, how many have one, how many there are, whether one is the property."""
+    own = F.lit(None).cast("boolean") if property_id is None else F.col(entity) == property_id
+    return [F.max(~F.col("entity_type").isin(*WEAK_TYPES)).alias("strong"), F.count("entity_type").alias("typed"), F.count("*").alias("candidate_count"), F.max(own).alias("scoped")]
+
+
+def _records(sources: DataFrame, kinds: DataFrame, target: str, property_id: str | None, tasks: int | None = None) -> DataFrame:
     """linked if any candidate's type decides; property_only if the property is a candidate; else unlinked."""
-    strong = F.exists(types, lambda t: ~t.isin(*WEAK_TYPES))
-    return F.when(strong, "linked").when((F.size(types) > 0) if has_property is None else has_property, "property_only").otherwise("unlinked")
+    scoped = F.col("typed") > 0 if property_id is None else F.col("scoped")
+    decision = F.when(F.col("strong"), "linked").when(scoped, "property_only").otherwise("unlinked")
+    own = sources.select(target)
+    own = own if tasks is None else own.repartition(tasks, target)
+    return own.join(kinds, target, "left").select(target, decision.alias("decision"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
 
 
 def last_candidates(candidates: DataFrame, target: str, order: Column) -> DataFrame:
@@ -269,11 +355,10 @@ def last_candidates(candidates: DataFrame, target: str, order: Column) -> DataFr
 
 def link_records(sources: DataFrame, candidates: DataFrame, index: DataFrame, target: str = "source_id", property_id: str | None = None) -> DataFrame:
     """(target, decision, candidate_count) of every source, or of another ``target``; candidates that aren't entities don't count."""
-    own = F.lit(None).cast("boolean") if property_id is None else F.col("entity_id") == property_id
-    kinds = candidates.join(index.select("entity_id", "entity_type"), "entity_id").groupBy(target).agg(F.collect_set("entity_type").alias("types"), F.count("*").alias("candidate_count"), F.max(own).alias("scoped"))
-    none = F.array().cast("array<string>")
-    scoped = None if property_id is None else F.coalesce("scoped", F.lit(False))
-    return sources.select(target).join(kinds, target, "left").select(target, decide(F.coalesce("types", none), scoped).alias("decision"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
+    named = candidates.select(target, "entity_id")
+    hot = cut(named.groupBy("entity_id").count().where(F.col("count") > HOT_ROWS))
+    kinds = beside(named, index.select("entity_id", "entity_type"), "entity_id", hot).groupBy(target).agg(*_kinds("entity_id", property_id))
+    return _records(sources, kinds, target, property_id)
 
 
 def link_summary(records: DataFrame) -> DataFrame:
