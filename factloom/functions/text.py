@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -55,6 +56,9 @@ ONE, SEVERAL = _decomposed()
 _KEPT = [x for x in ONE if ONE[x]]
 LETTERS, PLAIN_LETTERS = "".join(_KEPT + [x for x in ONE if not ONE[x]]), "".join(ONE[x] for x in _KEPT)
 HOLDS_SEVERAL = _ranges(SEVERAL)
+#: Runs of what fold_search doesn't keep.  Letters are listed one by one: Java looks these up in one table, but asks ranges one
+#: after another.
+UNSEARCHED = f"[^{string.ascii_lowercase}{string.digits}@._+-]+"
 
 EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
 
@@ -113,9 +117,9 @@ def fold_search(c: Column, fold_capitals: bool = False) -> Column:
     written = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
     wide = F.array_join(F.transform(F.split(first, ""), lambda x: F.coalesce(F.element_at(written, x), x)), "")
     spread = F.when(first.rlike(HOLDS_SEVERAL), wide).otherwise(first)
-    # Marks that stand alone are dropped; others went with their letters.
-    plain = F.lower(F.regexp_replace(F.translate(spread, LETTERS, PLAIN_LETTERS), "[\u0300-\u036f]", ""))
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9@._+-]+", " "))
+    # Marks that stand alone are dropped; others went with their letters.  Texts of ASCII alone have nothing to be written otherwise.
+    bare = F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spread, LETTERS, PLAIN_LETTERS), "[\u0300-\u036f]", "")).otherwise(c)
+    return F.trim(F.regexp_replace(F.lower(bare), UNSEARCHED, " "))
 
 
 def fold_triage(c: Column) -> Column:
