@@ -261,10 +261,51 @@ def candidates(docs: DataFrame) -> DataFrame:
     return checkpoint(short.unionByName(long).select(F.col("key").bitwiseAND(~(SHARDS - 1)).alias("key")).distinct())
 
 
+def _known(hashes, seed: int, known: Bitmap) -> Iterator:
+    """(n, starts, counts): one place of each phrase of n words that ``known`` may hold, and how often it stands there.
+
+    All parts of a phrase that is frequent in a shard are, so only places whose shorter phrases are held are asked for longer ones.
+    """
+    import numpy as np
+
+    held = None
+    for n, (places, found) in enumerate(phrases(hashes, seed), 1):
+        if held is not None:
+            near = held[places] & held[places + 1]
+            places, found = places[near], found[near]
+        good = known.holds(found & ~np.uint64(SHARDS - 1))
+        places, found = places[good], found[good]
+        if not len(places):
+            return
+        held = np.zeros(len(hashes) + 1, dtype=bool)
+        held[places] = True
+        # Any place of a phrase names it, so the sort needn't be stable.
+        order = np.argsort(found)
+        found = found[order]
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        yield n, places[order[first]], np.diff(np.append(first, len(found)))
+
+
+def _names(words, numbers, starts, n: int):
+    """The phrases of n words from ``starts``, as an Arrow array; ``words``: that of the numbers' words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.binary_join_element_wise(*[words.take(pa.array(numbers[starts + i])) for i in range(n)], " ")
+
+
+def _rows(lang: str, names, n: int, counts):
+    """A batch of (lang, phrase, words, f)."""
+    import pyarrow as pa
+
+    size = len(counts)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), size), names, pa.repeat(pa.scalar(n, pa.int32()), size), pa.array(counts, type=pa.int64())], names=["lang", "phrase", "words", "f"])
+
+
 def count_exactly(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(lang, phrase, words, f): occurrences in the whole table of all phrases of ``keys``; words 0: all words of a lang.
 
-    Phrases whose hash only shares a bit with one of ``keys`` are counted exactly as well.
+    ``keys`` hold the parts of their phrases, too.  Phrases whose hash only shares a bit with one of them may be counted as well, exactly.
     """
     known = docs.sparkSession.sparkContext.broadcast(bitmap(keys))
 
@@ -273,23 +314,13 @@ def count_exactly(docs: DataFrame, keys: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         def flush(buffer):
-            words = buffer.words.words
+            words = pa.array([w.decode("utf-8", "replace") for w in buffer.words.words], type=pa.string())
             for lang, numbers, hashes in buffer.groups():
-                names, sizes, counts = [""], [0], [int(np.count_nonzero(numbers))]
-                for n, (places, found) in enumerate(phrases(hashes, seed_of(lang)), 1):
-                    good = known.value.holds(found & ~np.uint64(SHARDS - 1))
-                    _, first, times = np.unique(found[good], return_index=True, return_counts=True)
-                    starts = places[good][first]
-                    rows = numbers[starts[:, None] + np.arange(n)].tolist()
-                    names += [b" ".join([words[i] for i in row]).decode("utf-8", "replace") for row in rows]
-                    sizes += [n] * len(rows)
-                    counts += times.tolist()
-                for at in range(0, len(names), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    size = len(names[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * size), pa.array(names[part], type=pa.string()), pa.array(sizes[part], type=pa.int32()), pa.array(counts[part], type=pa.int64())], names=["lang", "phrase", "words", "f"]
-                    )
+                yield _rows(lang, pa.array([""]), 0, np.array([np.count_nonzero(numbers)]))
+                for n, starts, counts in _known(hashes, seed_of(lang), known.value):
+                    for at in range(0, len(starts), 1 << 16):
+                        part = slice(at, at + (1 << 16))
+                        yield _rows(lang, _names(words, numbers, starts[part], n), n, counts[part])
 
         yield from _read(batches, lambda _, lang: lang, flush)
 

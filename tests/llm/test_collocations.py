@@ -93,3 +93,29 @@ def test_bitmap_holds_its_keys(spark):
     others = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 20000)
     assert held.holds(np.array(keys)).all() and held.holds(others).mean() < 0.06
     assert not collocations.bitmap(spark.createDataFrame([], "key long")).holds(others).any()
+
+
+def test_longer_phrases_are_asked_for_only_where_their_parts_are_held():
+    import numpy as np
+
+    buffer = collocations.Buffer()
+    list(buffer.add("en", "a b c \udc80x a b c".encode("utf-8", "surrogateescape")))
+    [(_, numbers, hashes)] = buffer.groups()
+    levels = [set((found & ~np.uint64(collocations.SHARDS - 1)).tolist()) for _, found in collocations.phrases(hashes, 7)]
+
+    class Held:
+        def __init__(self, *levels):
+            self.keys = set().union(*levels)
+
+        def holds(self, keys):
+            return np.array([k in self.keys for k in keys.tolist()], dtype=bool)
+
+    import pyarrow as pa
+
+    words = pa.array([w.decode("utf-8", "replace") for w in buffer.words.words])
+    told = lambda *kept: [dict(zip(collocations._names(words, numbers, at, n).to_pylist(), c.tolist(), strict=True)) for n, at, c in collocations._known(hashes, 7, Held(*kept))]
+    assert told(*levels) == [
+        {"a": 2, "b": 2, "c": 2, "\ufffdx": 1}, {"a b": 2, "b c": 2, "c \ufffdx": 1, "\ufffdx a": 1}, {"a b c": 2, "b c \ufffdx": 1, "c \ufffdx a": 1, "\ufffdx a b": 1},
+        {"a b c \ufffdx": 1, "b c \ufffdx a": 1, "c \ufffdx a b": 1, "\ufffdx a b c": 1},
+    ]
+    assert len(told(levels[0], levels[2])) == 1 and told(levels[1]) == []
